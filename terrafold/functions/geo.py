@@ -26,9 +26,10 @@ def utm_epsg(lon: Column, lat: Column) -> Column:
     return F.when(lat > 84, F.lit(5041)).when(lat < -80, F.lit(5042)).otherwise(utm).cast("int")
 
 
-def utm_forward(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """(easting, northing) in the point's own UTM zone."""
-    zone = F.least(F.floor((lon + 180) / 6) + 1, F.lit(60))
+def utm_forward(lon: Column, lat: Column, epsg: Column | None = None) -> tuple[Column, Column]:
+    """(easting, northing) in the UTM zone of an EPSG code, the point's own if none is given. Polar codes are not projected."""
+    code = utm_epsg(lon, lat) if epsg is None else epsg
+    zone, south = code % 100, code >= 32700
     dlon = F.radians(lon - (zone * 6 - 183))
     s = F.sin(F.radians(lat))
     e = 2 * math.sqrt(_N) / (1 + _N)
@@ -39,7 +40,7 @@ def utm_forward(lon: Column, lat: Column) -> tuple[Column, Column]:
     for j, a in enumerate(_ALPHA, 1):
         x = x + F.lit(a) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         y = y + F.lit(a) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return F.lit(500000.0) + F.lit(0.9996 * _RADIUS) * x, F.when(lat < 0, F.lit(1e7)).otherwise(F.lit(0.0)) + F.lit(0.9996 * _RADIUS) * y
+    return F.lit(500000.0) + F.lit(0.9996 * _RADIUS) * x, F.when(south, F.lit(1e7)).otherwise(F.lit(0.0)) + F.lit(0.9996 * _RADIUS) * y
 
 
 def grid_of_box(w: Column, s: Column, e: Column, n: Column, res: float) -> dict[str, Column]:
@@ -48,9 +49,27 @@ def grid_of_box(w: Column, s: Column, e: Column, n: Column, res: float) -> dict[
     return {"minx": x0 * res, "miny": y0 * res, "maxx": x1 * res, "maxy": y1 * res, "width": (x1 - x0).cast("int"), "height": (y1 - y0).cast("int")}
 
 
+def fixed_text(v: Column, digits: int) -> Column:
+    """A number with a fixed number of decimals, rounded from its exact binary value, exact halves to even.
+
+    format_string rounds the shortest decimal form instead, which differs where that ends in 5. The product with the
+    power of ten is taken in two parts, as a rounded value and its error; the error decides what looks like a half.
+    """
+    x, scale = F.abs(v), float(10**digits)
+    p = x * scale
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    error = (high * scale - p) + (x - high) * scale
+    whole = F.floor(p)
+    rest = p - whole
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    n = whole + up.cast("long")
+    sign = F.when(v < 0, "-").otherwise("")
+    return F.concat(sign, F.floor(n / 10**digits).cast("string"), F.lit("."), F.lpad((n % 10**digits).cast("string"), digits, "0"))
+
+
 def coordinate_text(lon: Column, lat: Column) -> Column:
     """'45.1549°N, 15.0020°E'."""
-    return F.format_string("%.4f°%s, %.4f°%s", F.abs(lat), F.when(lat >= 0, "N").otherwise("S"), F.abs(lon), F.when(lon >= 0, "E").otherwise("W"))
+    return F.concat(fixed_text(F.abs(lat), 4), F.lit("°"), F.when(lat >= 0, "N").otherwise("S"), F.lit(", "), fixed_text(F.abs(lon), 4), F.lit("°"), F.when(lon >= 0, "E").otherwise("W"))
 
 
 def resolution_text(res: Column) -> Column:
@@ -59,7 +78,7 @@ def resolution_text(res: Column) -> Column:
 
 def anchor_stem(lon: Column, lat: Column, dates: Column, res: Column) -> Column:
     """'13.000000_52.000000_20240115_10m'."""
-    return F.concat_ws("_", F.format_string("%.6f", lon), F.format_string("%.6f", lat), dates, resolution_text(res))
+    return F.concat_ws("_", fixed_text(lon, 6), fixed_text(lat, 6), dates, resolution_text(res))
 
 
 def footprint_json(w: Column, s: Column, e: Column, n: Column) -> Column:

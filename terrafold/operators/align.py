@@ -34,7 +34,7 @@ def align_sources(tiles: DataFrame, by: list[str], sources: list[str], *, source
     position = F.array_position(F.array(*map(F.lit, sources)), F.col(source))
     known = tiles.where(F.col(source).isin(sources))
     counts = known.groupBy(*by, source).agg(F.count("*").alias("n"))
-    lead = counts.groupBy(*by).agg(F.max_by(source, F.struct(F.col("n"), -position)).alias("lead"), F.count("*").alias("k")).where(F.col("k") == len(sources)).drop("k")
+    lead = counts.groupBy(*by).agg(F.max_by(source, F.struct(F.col("n"), -position)).alias("lead"), F.count("*").alias("_k")).where(F.col("_k") == len(sources)).drop("_k")
     known = known.join(lead, by)
     rest = [c for c in tiles.columns if c not in (*by, source)]
     refs = known.where(F.col(source) == F.col("lead")).select(*by, F.col("lead"), F.col(order).alias("ref_ord"), F.col("start").alias("at"), F.struct(*rest).alias("ref"))

@@ -91,7 +91,7 @@ def mosaic_with(tiles: DataFrame, on: list[str], merge, *, order: str = "tile_or
 
     @F.pandas_udf("double")
     def merged(values):
-        return values.map(lambda vs: merge([x for x in vs if x is not None]))
+        return values.map(lambda vs: merge([x for x in vs if x is not None and x == x]))
 
     listed = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value])
     return tiles.groupBy(*on).agg(listed.alias("_v")).select(*on, merged("_v").alias("value"))
@@ -107,7 +107,8 @@ def resample_nearest(pixels: DataFrame, on: list[str], factor: float) -> DataFra
         keep = (F.col("y") == source(target("y"))) & (F.col("x") == source(target("x")))
         return pixels.where(keep).select(*on, target("y").cast("int").alias("y"), target("x").cast("int").alias("x"), "value")
     span = lambda c: F.sequence(F.ceil(F.col(c) / factor - 0.5), F.ceil((F.col(c) + 1) / factor - 0.5) - 1)
-    return pixels.select(*on, F.explode(span("y")).alias("_y"), "x", "value").select(*on, F.col("_y").cast("int").alias("y"), F.explode(span("x")).cast("int").alias("x"), "value")
+    rows = pixels.select(*on, F.explode(span("y")).alias("_y"), "x", "value").select(*on, "_y", F.explode(span("x")).alias("_x"), "value")
+    return rows.select(*on, F.col("_y").cast("int").alias("y"), F.col("_x").cast("int").alias("x"), "value")
 
 
 def resample_mean(pixels: DataFrame, on: list[str], factor: int) -> DataFrame:

@@ -32,13 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there on.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir, set as the context's own if it has none yet.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only a local session may fall back
-    to a folder of this machine; elsewhere a missing setting is an error, as executors would not see it.
+    Only a local session may fall back to a folder of this machine; elsewhere a missing setting is an error, as executors
+    would not see it.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -47,6 +46,12 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="terrafold-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it from there on; a lost executor loses nothing of it."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
