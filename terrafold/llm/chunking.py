@@ -93,7 +93,7 @@ def cuts(data: np.ndarray, cells: np.ndarray, *, limit: int, overlap: int, sizes
         if sizes[n] - sizes[start] <= room:
             out.append((start, n, ""))
             return out
-        low = int(np.searchsorted(sizes, sizes[start] + max(1, limit // 4)))
+        low = int(np.searchsorted(sizes, sizes[start] + max(1, limit // 4, overlap)))
         high = int(np.searchsorted(sizes, sizes[start] + room, side="right")) - 1
         end, kind = 0, ""
         for name, found in zip(KINDS, snapped):

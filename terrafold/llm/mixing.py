@@ -12,7 +12,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.functions.names import source_name
@@ -94,8 +94,8 @@ def mixture(documents: DataFrame, targets: DataFrame, *, key: str = "doc_id", so
 def mixture_report(documents: DataFrame, targets: DataFrame, **options) -> DataFrame:
     """(source, target_share, actual_share, n_tokens, n_docs, most_copies) of every target source."""
     got = mixture(documents, targets, **options).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n_tokens"), F.count("*").alias("n_docs"), F.max("copies").alias("most_copies"))
-    all_ = got.agg(F.sum("n_tokens").alias("all_tokens"))
     t = targets.select(source_name(F.col("source")).alias("source"), "target_share").groupBy("source").agg(F.sum("target_share").alias("target_share"))
-    out = t.join(got, "source", "left").join(F.broadcast(all_))  # one row
+    out = t.join(got, "source", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return out.select("source", "target_share", (zero("n_tokens") / F.col("all_tokens")).alias("actual_share"), zero("n_tokens").alias("n_tokens"), zero("n_docs").alias("n_docs"), zero("most_copies").alias("most_copies"))
+    whole = F.sum("n_tokens").over(Window.partitionBy(F.lit(0)))  # over as many rows as there are sources
+    return out.select("source", "target_share", (zero("n_tokens") / whole).alias("actual_share"), zero("n_tokens").alias("n_tokens"), zero("n_docs").alias("n_docs"), zero("most_copies").alias("most_copies"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrafold.llm import chunking, leakage, mixing, overlap, splits, survivors
@@ -34,7 +34,8 @@ def p3_shares(spark: SparkSession, d: str) -> DataFrame:
     """Rows, tiles and share of each split after the allocation."""
     got = splits.tile_splits(table(spark, d, "yolo_labels"), table(spark, d, "split_targets"))
     per = got.groupBy("split").agg(F.sum("n_rows").alias("n_rows"), F.count("*").alias("n_tiles"))
-    return per.join(F.broadcast(per.agg(F.sum("n_rows").alias("all_rows")))).select("split", "n_rows", "n_tiles", (F.col("n_rows") / F.col("all_rows")).alias("share"))
+    whole = F.sum("n_rows").over(Window.partitionBy(F.lit(0)))  # over as many rows as there are splits
+    return per.select("split", "n_rows", "n_tiles", (F.col("n_rows") / whole).alias("share"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
