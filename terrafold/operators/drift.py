@@ -273,9 +273,9 @@ def canonical_fields(raw: DataFrame, *, threshold: float = 0.5, max_fields: int
     held = fields.groupBy("path").agg(F.count("*").alias("held"))
     links = links.join(both, ["old_path", "new_path"], "left").join(held.select(F.col("path").alias("old_path"), F.col("held").alias("o")), "old_path").join(held.select(F.col("path").alias("new_path"), F.col("held").alias("w")), "new_path")
     links = links.where(2 * F.coalesce("both", F.lit(0)) <= F.least("o", "w")).select("old_path", "new_path", "n")
-    got = seen.limit(max_fields + 1).collect()
-    if len(got) > max_fields:
-        raise ValueError(f"more than {max_fields} distinct fields and types; raise max_fields if this is meant")
+    got, pairs = seen.limit(max_fields + 1).collect(), links.limit(max_fields + 1).collect()
+    if max(len(got), len(pairs)) > max_fields:
+        raise ValueError(f"more than {max_fields} distinct fields or correspondences; raise max_fields if this is meant")
     count: Counter = Counter()
     kinds: dict[str, Counter] = defaultdict(Counter)
     for r in got:
@@ -288,7 +288,7 @@ def canonical_fields(raw: DataFrame, *, threshold: float = 0.5, max_fields: int
             p = parent[p]
         return p
 
-    for r in sorted(links.limit(max_fields).collect(), key=lambda r: (-r["n"], r["old_path"], r["new_path"])):
+    for r in sorted(pairs, key=lambda r: (-r["n"], r["old_path"], r["new_path"])):
         x, y = root(r["old_path"]), root(r["new_path"])
         if x != y:
             keep, drop = (x, y) if (count[x], y) >= (count[y], x) else (y, x)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrafold.session import broadcast_if_small, salt_of
+from terrafold.session import broadcast_if_small, cut, salt_of
 
 EARTH_RADIUS_M = 6371008.8
 MERCATOR_RADIUS_M = 6378137.0
@@ -91,7 +91,8 @@ def near_pairs(points: DataFrame, radius_m: float, *, key: str = "key", lon: str
     pts = pts.where(F.col("k").isNotNull() & F.col("x").isNotNull() & F.col("y").between(-90.0, 90.0)).dropDuplicates(["k"])
     seg = lambda slab: F.least(F.floor((F.col("x") + 180.0) / 360.0 * _segments(slab, radius_m, height)), _segments(slab, radius_m, height) - 1)
     pts = pts.withColumn("slab", F.least(F.floor((F.col("y") + 90.0) / height), F.lit(n_slabs - 1)).cast("long"))
-    pts = pts.withColumn("seg", seg(F.col("slab")).cast("long"))
+    # placed once, then read by the count of hot segments, the homes and the probes
+    pts = cut(pts.withColumn("seg", seg(F.col("slab")).cast("long")))
     # each cell's partners: itself, the next segment, and the three next to it in the slab above
     up = F.col("slab") + 1
     n_here, n_up = _segments(F.col("slab"), radius_m, height), _segments(up, radius_m, height)
@@ -260,16 +261,16 @@ def _edges_below(edges: Column, x: Column, y: Column, max_steps: Column) -> Colu
 
 
 def containing_regions(
-    points: DataFrame, regions: DataFrame, *, key: str = "key", lon: str = "lon", lat: str = "lat", region: str = "region", polygon: str = "polygon", cells: int = 360, broadcast_rows: int = 50_000, salts: int = 32
+    points: DataFrame, regions: DataFrame, *, key: str = "key", lon: str = "lon", lat: str = "lat", region: str = "region", polygon: str = "polygon", cells: int = 360, broadcast_edges: int = 500_000, salts: int = 32
 ) -> DataFrame:
     """(key, region) for every region that contains a point, in the plane of the region's own CRS.
 
     Regions are JSON texts {"geojson": Polygon or MultiPolygon, "polygon_crs": ...}; null, broken or unknown ones
     contain nothing. A point in any part and outside that part's holes is inside. Points without a place are in
-    no region. Slabs are broadcast if there are at most ``broadcast_rows`` of them, else points and slabs are
-    shuffled by cell, points salted ``salts`` ways so that a hot cell is spread over as many tasks.
+    no region. Slabs are broadcast if they hold at most ``broadcast_edges`` edges, about 60 bytes each, else points and
+    slabs are shuffled by cell, points salted ``salts`` ways so that a hot cell is spread over as many tasks.
     """
-    slabs = region_slabs(regions, region=region, polygon=polygon, cells=cells)
+    slabs = cut(region_slabs(regions, region=region, polygon=polygon, cells=cells))
     pts = points.select(F.col(key).alias("key"), wrap_longitude(F.col(lon).cast("double")).alias("lon"), F.col(lat).cast("double").alias("lat"))
     pts = pts.where(F.col("lon").isNotNull() & F.col("lat").between(-90.0, 90.0))
     planes = F.array(
@@ -281,9 +282,9 @@ def containing_regions(
     half = F.when(F.col("plane") == "deg", F.lit(WORLD["deg"] / 2)).otherwise(F.lit(WORLD["merc"] / 2))
     pts = pts.withColumn("cx", F.pmod(F.floor((F.col("px") + half) / size), F.lit(cells))).withColumn("cy", F.floor(F.col("py") / size))
     on = ["plane", "cx", "cy"]
-    n = slabs.count()
-    if n <= broadcast_rows:
-        joined = pts.join(broadcast_if_small(slabs, n, broadcast_rows), on)
+    n = slabs.agg(F.coalesce(F.sum(F.size("edges") + 1), F.lit(0))).first()[0]
+    if n <= broadcast_edges:
+        joined = pts.join(broadcast_if_small(slabs, n, broadcast_edges), on)
     else:
         spread = slabs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = pts.withColumn("salt", salt_of(F.col("key"), salts)).join(spread, [*on, "salt"])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.functions import classes, dates, geo, strings
-from terrafold.operators import catalog, datasets, metrics, patches, points
+from terrafold.operators import catalog, datasets, inference, metrics, patches, points, tiles
 from terrafold.session import table
 from terrafold.sources import sensors, yolo
 
@@ -367,6 +367,72 @@ def geojson_shapes(spark, d):
     return shape_summary(table(spark, d, "geo_tags"), key="tag_id", polygon="polygon")
 
 
+# --- tiles -------------------------------------------------------------------------------------------
+
+
+@query("""SELECT anchor_id, layer, CAST(greatest(count(DISTINCT band), 1) AS INTEGER) AS n_bands, coalesce(string_agg(DISTINCT band, ',' ORDER BY band), '') AS bands, count(DISTINCT date_trunc('second', ts)) AS n_times, count(ts) > 0 AS has_time FROM pixels GROUP BY ALL""")
+def layer_summary(spark, d):
+    return tiles.layer_summary(table(spark, d, "pixels"))
+
+
+@query("""SELECT anchor_id, layer, 'mixes bands with none' AS problem FROM pixels GROUP BY ALL HAVING count(*) FILTER (band IS NULL) > 0 AND count(band) > 0""")
+def band_problems(spark, d):
+    return tiles.band_problems(tiles.validate_pixels(table(spark, d, "pixels")))
+
+
+@query(f"""WITH {_LOC}, a AS (SELECT anchor_id, min(lon) AS lon FROM loc JOIN footprints USING (footprint_id) WHERE anchor_id IS NOT NULL GROUP BY 1)
+SELECT anchor_id, CAST(ts + to_microseconds(CAST(round(lon / 15 * 3600) AS BIGINT) * 1000000) AS DATE) AS day, count(*) AS n FROM scenes JOIN a USING (anchor_id) WHERE ts IS NOT NULL GROUP BY ALL""")
+def solar_days(spark, d):
+    a = _locations(spark, d).join(table(spark, d, "footprints").select("footprint_id", "anchor_id"), "footprint_id").where("anchor_id IS NOT NULL").groupBy("anchor_id").agg(F.min("lon").alias("lon"))
+    s = table(spark, d, "scenes").where("ts IS NOT NULL").join(a, "anchor_id")
+    return s.groupBy("anchor_id", tiles.solar_day(F.col("ts"), F.col("lon")).alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH t AS (SELECT mgrs_tile, rec_id, ts, platform, item_id FROM stac_items WHERE mgrs_tile IS NOT NULL AND ts IS NOT NULL)
+SELECT mgrs_tile, min(ts) AS start, max(ts) AS "end", arg_max(platform, rec_id) FILTER (platform IS NOT NULL) AS platform, CAST(count(item_id) AS INTEGER) AS n_items, md5(string_agg(item_id, ',' ORDER BY rec_id)) AS items FROM t GROUP BY 1""")
+def mosaic_tags(spark, d):
+    t = table(spark, d, "stac_items").where("mgrs_tile IS NOT NULL AND ts IS NOT NULL")
+    meta = F.when(F.col("platform").isNotNull(), F.create_map(F.lit("platform"), F.col("platform")))
+    t = t.select("mgrs_tile", F.col("rec_id").alias("tile_ord"), F.col("ts").alias("start"), F.col("ts").alias("end"), meta.alias("metadata"), F.lit(None).cast("string").alias("plot_meta"), F.when(F.col("item_id").isNotNull(), F.array("item_id")).otherwise(F.array().cast("array<string>")).alias("items"))
+    m = tiles.mosaic_tags(t, ["mgrs_tile"])
+    return m.select("mgrs_tile", "start", "end", F.try_element_at("metadata", F.lit("platform")).alias("platform"), F.size("items").alias("n_items"), F.md5(F.concat_ws(",", "items")).alias("items"))
+
+
+@query("SELECT anchor_id, layer, band, ts, y, x, value FROM pixels")
+def chunk_round_trip(spark, d):
+    on = ["anchor_id", "layer", "band", "ts"]
+    return tiles.chunks_to_pixels(tiles.pixels_to_chunks(table(spark, d, "pixels"), on, 128), on, 128)
+
+
+@query("""SELECT rec_id, '{"datetime":["' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '","' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '"]' || CASE WHEN platform IS NULL THEN '' ELSE ',"platform":"' || platform || '"' END || '}' AS tag, ts AS start FROM stac_items WHERE ts IS NOT NULL""")
+def tag_json(spark, d):
+    t = table(spark, d, "stac_items").where("ts IS NOT NULL").select("rec_id", tiles.tag_json(F.col("ts"), F.col("ts"), platform=F.col("platform")).alias("tag"))
+    return t.select("rec_id", "tag", tiles.read_tag(F.col("tag"))[0].alias("start"))
+
+
+@query("""SELECT vec_id, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x, CAST(v AS DOUBLE) AS value FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddings)""")
+def nested_arrays(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.transform(F.slice("embedding", r * 8 + 1, 8), lambda v: v.cast("double"))).alias("values"))
+    return tiles.arrays_to_pixels(e, ["vec_id"]).select("vec_id", "y", "x", "value")
+
+
+@query(f"""WITH {_TILE}, t AS (SELECT unnest(range(4)) AS k), p AS (SELECT k, greatest(0, least(7, (k + 0.5) * 2 - 0.5)) AS s FROM t)
+SELECT vec_id, CAST(a.k AS INTEGER) AS y, CAST(b.k AS INTEGER) AS x, round(sum(value * (1 - abs(a.s - y)) * (1 - abs(b.s - x))), 6) + 0.0 AS value FROM px JOIN p a ON abs(a.s - y) < 1 JOIN p b ON abs(b.s - x) < 1 GROUP BY ALL""")
+def resize_bilinear(spark, d):
+    r = inference.resize_bilinear(_tiles(spark, d), ["vec_id"], height=8, width=8, to=(4, 4))
+    return r.select("vec_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), (F.round("value", 6) + 0.0).alias("value"))
+
+
+@query(f"""WITH {_TILE} SELECT vec_id, y, x, CAST(CASE WHEN round(value, 4) > 0 THEN 0 ELSE 1 END AS INTEGER) AS pred FROM px WHERE abs(value) > 0.001""")
+def segment_tiles(spark, d):
+    """A model of two classes, the value and its negative, run over overlapping patches."""
+    import numpy as np
+
+    s = inference.segment(_tiles(spark, d), ["vec_id"], lambda x: np.stack([x, -x], axis=1), height=8, width=8, size=4, overlap=0.5, n_classes=2, pad=2)
+    known = _tiles(spark, d).where(F.abs("value") > 0.001).select("vec_id", "y", "x")
+    return s.join(known, ["vec_id", "y", "x"], "left_semi").select("vec_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "pred")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -15,7 +15,7 @@ def _located(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    pts = cut(_located(spark, d))
+    pts = _located(spark, d)
     near = points.near_pairs(pts, 500.0).select(F.lit("near").alias("relation"), "key_a", "key_b")
     inside = points.containing_regions(pts, table(spark, d, "geo_tags"), region="tag_id")
     return near.unionAll(inside.select(F.lit("inside"), "key", "region"))

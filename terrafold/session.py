@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,15 +54,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
+def broadcast_if_small(df: DataFrame, size: int, most: int) -> DataFrame:
     """A broadcast hint if the counted size is within the bound, else the frame as it is (shuffle join)."""
-    return F.broadcast(df) if rows <= max_rows else df
+    return F.broadcast(df) if size <= most else df
 
 
 def salt_of(col, n_salts):
     """Salt in [0, n_salts) by hash; n_salts may be a column."""
     return F.pmod(F.xxhash64(col), F.lit(n_salts) if isinstance(n_salts, int) else n_salts).cast("int")
-
-
-def spark_cores(spark: SparkSession) -> int:
-    return max(spark.sparkContext.defaultParallelism, int(os.environ.get("BENCH_CPUS", 0)))

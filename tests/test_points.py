@@ -62,7 +62,7 @@ def test_regions_with_holes_parts_and_the_date_line(spark):
     pts = spark.createDataFrame([(1, 0.5, 0.5, ""), (2, 2.0, 2.0, ""), (3, -179.0, 0.5, ""), (4, 181.0, 0.0, ""), (5, 5.0, 5.0, ""), (6, 11.0, 10.5, ""), (7, None, 0.0, ""), (8, 10.2, 11.0, ""), (9, 2.0, 95.0, "")], SCHEMA)
     want = [(1, 0), (1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (4, 1), (8, 8)]
     assert rows(points.containing_regions(pts, regions)) == want
-    assert rows(points.containing_regions(pts, regions, broadcast_rows=0, salts=3)) == want
+    assert rows(points.containing_regions(pts, regions, broadcast_edges=0, salts=3)) == want
     assert points.containing_regions(pts, regions.limit(0)).collect() == []
     assert points.containing_regions(pts.limit(0), regions).collect() == []
 
