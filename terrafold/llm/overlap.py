@@ -10,6 +10,7 @@ starts. Exact copies are joined as one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,23 +37,39 @@ def _levels(side: float, stretch: float) -> list[int]:
     return [k, k - 1] if side < stretch * CELLS * 2.0**k else [k]
 
 
+@lru_cache
+def _hash_family(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Odd multipliers and addends of the hashes, and a number for each band."""
+    order = np.arange(1, bands * rows + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        mult, add = _mix(order * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1), _mix(order + np.uint64(0x51ED270B)).astype(np.uint32)
+        return mult, add, np.arange(bands, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
+
+
+def _cells(low: float, high: float, level: int) -> np.ndarray:
+    """Cells of a grid level whose centres lie between two bounds, along one axis."""
+    return np.arange(np.ceil(low / 2.0**level - 0.5), np.floor(high / 2.0**level - 0.5) + 1).astype(np.int64).astype(np.uint64)
+
+
 def box_bands(w: float, s: float, e: float, n: float, *, bands: int, rows: int, similarity: float) -> list[int]:
     """Bucket keys of one box: ``bands`` for each pair of grid levels. None for a box without area."""
     if not (e > w and n > s) or not np.isfinite([w, s, e, n]).all():
         return []
+    keys: list[int] = []
     with np.errstate(over="ignore"):
-        order = np.arange(1, bands * rows + 1, dtype=np.uint64)
-        mult, add = _mix(order * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1), _mix(order + np.uint64(0x51ED270B))
-        keys: list[int] = []
+        mult, add, number = _hash_family(bands, rows)
         for kx in _levels(e - w, 1 / similarity):
-            ix = np.arange(np.ceil(w / 2.0**kx - 0.5), np.floor(e / 2.0**kx - 0.5) + 1).astype(np.int64).astype(np.uint64)
+            hx = _mix(_cells(w, e, kx)).astype(np.uint32)
             for ky in _levels(n - s, 1 / similarity):
-                iy = np.arange(np.ceil(s / 2.0**ky - 0.5), np.floor(n / 2.0**ky - 0.5) + 1).astype(np.int64).astype(np.uint64)
-                cell = _mix(_mix(ix)[:, None] + iy[None, :] * np.uint64(0xD6E8FEB86659FD93)).ravel()
-                least = (_mix(cell)[:, None] * mult[None, :] + add[None, :]).min(axis=0).reshape(bands, rows)
-                key = np.arange(bands, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64((kx * 4096 + ky) & 0xFFFFFFFF)
-                for r in range(rows):
-                    key = _mix(key ^ least[:, r])
+                hy = _mix(_cells(s, n, ky) ^ np.uint64(0x5DEECE66D)).astype(np.uint32)
+                c = (hx[:, None] + hy[None, :]).ravel()
+                c = (c ^ (c >> np.uint32(16))) * np.uint32(0x7FEB352D)
+                c = (c ^ (c >> np.uint32(15))) * np.uint32(0x846CA68B)
+                # one row per hash, so that the minimum runs over neighbouring numbers
+                least = (mult[:, None] * c[None, :] + add[:, None]).min(axis=1).reshape(rows, bands)
+                key = number + np.uint64((kx * 4096 + ky) & 0xFFFFFFFF)
+                for r in least:
+                    key = _mix(key ^ r)
                 keys.extend(key.astype(np.int64).tolist())
     return keys
 
@@ -65,7 +82,7 @@ def cross_split_pairs(records: DataFrame, *, similarity: float = 0.8, within_hou
     n_train, n_eval); members: (rep, key). Rows of equal split, start and box are copies and have one representative, the
     smallest key. At the given bands and rows a pair at the similarity threshold is missed with a chance below 1e-7.
     """
-    ok = records.where("key IS NOT NULL AND split IS NOT NULL AND start IS NOT NULL AND e > w AND n > s")
+    ok = records.select("key", "split", "start", "w", "s", "e", "n").where("key IS NOT NULL AND split IS NOT NULL AND start IS NOT NULL AND e > w AND n > s")
     same = ["split", "start", "w", "s", "e", "n"]
     copies = ok.groupBy(*same).agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
     reps = cut(copies)
@@ -73,12 +90,8 @@ def cross_split_pairs(records: DataFrame, *, similarity: float = 0.8, within_hou
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, keys = [], []
-            for rep, w, s, e, n in zip(pdf["rep"], pdf["w"], pdf["s"], pdf["e"], pdf["n"]):
-                got = box_bands(w, s, e, n, bands=bands, rows=rows, similarity=similarity)
-                keys.extend(got)
-                ids.extend([rep] * len(got))
-            yield pd.DataFrame({"rep": ids, "band": keys})
+            keys = [box_bands(w, s, e, n, bands=bands, rows=rows, similarity=similarity) for w, s, e, n in zip(pdf["w"], pdf["s"], pdf["e"], pdf["n"])]
+            yield pd.DataFrame({"spot": pdf["rep"], "bands": keys})
 
     span = within_hours * 3600
     period = 8 * span
@@ -89,9 +102,11 @@ def cross_split_pairs(records: DataFrame, *, similarity: float = 0.8, within_hou
     periods = F.when(train, F.array(F.floor(at / period))).otherwise(F.sequence(lo, hi))
     # boxes first, as many samples of a place share one; then the periods
     spots = reps.groupBy("w", "s", "e", "n").agg(F.min("rep").alias("spot"))
-    banded = spots.select(F.col("spot").alias("rep"), "w", "s", "e", "n").mapInPandas(run, "rep long, band long").withColumnRenamed("rep", "spot")
-    timed = reps.join(spots, ["w", "s", "e", "n"]).select("spot", "rep", train.alias("train"), F.explode(periods).alias("period"))
-    keyed = timed.join(banded, "spot").select("rep", "train", F.xxhash64("band", "period").alias("bucket"))
+    banded = spots.select(F.col("spot").alias("rep"), "w", "s", "e", "n").mapInPandas(run, "spot long, bands array<long>")
+    timed = reps.join(spots, ["w", "s", "e", "n"]).select("spot", "rep", train.alias("train"), periods.alias("periods"))
+    # hashed once, kept as one row per representative, and written out as buckets where they are joined
+    held = cut(timed.join(banded, "spot").select("rep", "train", "periods", "bands"))
+    keyed = held.select("rep", "train", "bands", F.explode("periods").alias("period")).select("rep", "train", "period", F.explode("bands").alias("band")).select("rep", "train", F.xxhash64("band", "period").alias("bucket"))
     left, right = keyed.where("train").select("bucket", F.col("rep").alias("rep_train")), keyed.where("NOT train").select("bucket", F.col("rep").alias("rep_eval"))
     hot = left.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") > rows_per_salt).select("bucket", F.ceil(F.col("c") / rows_per_salt).cast("int").alias("salts"))
     salts = F.coalesce("salts", F.lit(1))
