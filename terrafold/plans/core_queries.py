@@ -204,7 +204,9 @@ def grid_window(spark, d):
 
 def _mosaic_query(method: str, sql: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        p = table(spark, d, "pixels").where("layer = 'sentinel_2_l2a' AND ts IS NOT NULL").select("anchor_id", "band", "y", "x", "ts", "value").distinct()
+        p = table(spark, d, "pixels").where("layer = 'sentinel_2_l2a' AND ts IS NOT NULL").select("anchor_id", "band", "y", "x", "ts", "value")
+        if method in ("sum", "count"):  # repeated rows change nothing else
+            p = p.distinct()
         return grid.mosaic(p, ["anchor_id", "band", "y", "x"], method=method, order="ts").withColumn("value", F.col("value").cast("double"))
 
     base = "WITH p AS (SELECT DISTINCT anchor_id, band, y, x, ts, value FROM pixels WHERE layer = 'sentinel_2_l2a' AND ts IS NOT NULL)"

@@ -70,3 +70,18 @@ def from_request(spark: SparkSession, request: dict) -> DataFrame:
         f = f.withColumn("ring", ring).where("ring IS NOT NULL").withColumn("datetime", F.lit(when)).withColumn("key", F.xxhash64(*[c for c in ("path", "feature_no") if c in f.columns]))
         return from_polygons(f, key="key", ring="ring", res=res, tile_size=tile)
     raise ValueError(f"unknown source type {kind!r}")
+
+
+def register_cells(spark: SparkSession, name: str = "cells") -> None:
+    """A table function for SQL: cells(width, height, size) gives cy, cx, y0, x0, h, w of a grid's tiles."""
+
+    @F.udtf(returnType="cy int, cx int, y0 int, x0 int, h int, w int")
+    class Cells:
+        def eval(self, width: int, height: int, size: int):
+            if size < 1:
+                raise ValueError("size must be at least 1")
+            for y in range(0, height, size):
+                for x in range(0, width, size):
+                    yield y // size, x // size, y, x, min(size, height - y), min(size, width - x)
+
+    spark.udtf.register(name, Cells)

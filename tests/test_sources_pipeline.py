@@ -172,3 +172,8 @@ def test_sequences_in_state(spark, tmp_path):
     st = spark.readStream.schema("anchor_id string, start timestamp, mean double").parquet(str(tmp_path / "in"))
     out = windows.run_to_end(windows.slot_sequences(st, "anchor_id", slots=3, strides=1), mode="append")
     assert rows(out, "anchor_id", "sample", "values") == [("a", 0, [1.0, 2.0, 3.0]), ("a", 1, [2.0, 3.0, 4.0]), ("a", 2, [3.0, 4.0, 5.0])]
+
+
+def test_cells_in_sql(spark):
+    anchors.register_cells(spark)
+    assert rows(spark.sql("SELECT cy, cx, h, w FROM cells(70, 33, 32)")) == [(0, 0, 32, 32), (0, 1, 32, 32), (0, 2, 32, 6), (1, 0, 1, 32), (1, 1, 1, 32), (1, 2, 1, 6)]
