@@ -79,20 +79,22 @@ def item_names(items: DataFrame, most: int) -> frozenset[str]:
 
 
 class Templates:
-    """Word hashes and template hashes of texts. Holds the words it has seen, up to a bound, for speed only."""
+    """Word hashes and template hashes of texts. Holds the words it has seen, up to a bound in characters, for speed only."""
 
-    def __init__(self, names: frozenset[str], most: int = 500_000) -> None:
+    def __init__(self, names: frozenset[str], most: int = 5_000_000) -> None:
         self.fixed = {**dict.fromkeys(names, _NAME), **dict.fromkeys(UNIT_WORDS, _UNIT), **dict.fromkeys(NUMBER_WORDS, _NUMBER)}
         self.most = most
         self._reset()
 
     def _reset(self) -> None:
         self.ids: dict[str, int] = {}
+        self.held = 0
         self.exact, self.template = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
 
     def _id(self, word: str) -> int:
         i = len(self.ids)
         self.ids[word] = i
+        self.held += len(word) + 16
         if i == len(self.exact):
             self.exact, self.template = np.concatenate([self.exact, np.zeros_like(self.exact)]), np.concatenate([self.template, np.zeros_like(self.template)])
         own = xxhash.xxh64_intdigest(word)
@@ -105,7 +107,7 @@ class Templates:
         n = len(words) - WINDOW + 1
         if n < 1:
             return np.zeros(0, np.uint64)
-        if len(self.ids) > self.most:
+        if self.held > self.most:
             self._reset()
         get, new = self.ids.get, self._id
         ids = np.fromiter((i if (i := get(w)) is not None else new(w) for w in words), np.int64, len(words))
