@@ -82,7 +82,7 @@ def cross_split_pairs(records: DataFrame, *, similarity: float = 0.8, within_hou
     n_train, n_eval); members: (rep, key). Rows of equal split, start and box are copies and have one representative, the
     smallest key. At the given bands and rows a pair at the similarity threshold is missed with a chance below 1e-7.
     """
-    ok = records.select("key", "split", "start", "w", "s", "e", "n").where("key IS NOT NULL AND split IS NOT NULL AND start IS NOT NULL AND e > w AND n > s")
+    ok = cut(records.select("key", "split", "start", "w", "s", "e", "n").where("key IS NOT NULL AND split IS NOT NULL AND start IS NOT NULL AND e > w AND n > s"))
     same = ["split", "start", "w", "s", "e", "n"]
     copies = ok.groupBy(*same).agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
     reps = cut(copies)
