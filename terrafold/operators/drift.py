@@ -193,12 +193,17 @@ def schema_changes(raw: DataFrame, *, threshold: float = 0.5) -> DataFrame:
     files, fields = file_schemas(raw)
     fields = cut(fields)
     entry = F.concat_ws("\t", "path", F.concat_ws(",", "types"))
-    per_file = fields.groupBy("fk", "at").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    chain = files.join(per_file, ["fk", "at"], "left").withColumn("entries", F.coalesce("entries", F.array().cast("array<string>")))
-    before = F.lag("entries").over(Window.partitionBy("fk").orderBy("at"))
-    chain = chain.withColumn("before", before).where("at > 1").where(F.col("before") != F.col("entries"))
-    chain = cut(chain.withColumn("pair", F.concat(_signature(F.col("before")), _signature(F.col("entries")))))
-    pairs = chain.select("pair", "before", "entries").dropDuplicates(["pair"])
+    per_file = fields.groupBy("fk", "at").agg(F.array_sort(F.collect_list(entry)).alias("entries")).withColumn("sig", _signature(F.col("entries")))
+    per_file = cut(per_file)
+    schemas = per_file.groupBy("sig").agg(F.first("entries").alias("entries"))
+    # files carry signatures only; a file without fields has that of the empty schema, which is in no table
+    nothing = F.array().cast("array<string>")
+    chain = files.join(per_file.select("fk", "at", "sig"), ["fk", "at"], "left").withColumn("sig", F.coalesce("sig", _signature(nothing)))
+    chain = chain.withColumn("sig_before", F.lag("sig").over(Window.partitionBy("fk").orderBy("at"))).where("sig_before <> sig")
+    chain = cut(chain.withColumn("pair", F.concat("sig_before", "sig")))
+    pairs = chain.select("pair", "sig_before", "sig").distinct().join(schemas, "sig", "left").withColumnRenamed("entries", "new_entries")
+    pairs = pairs.join(schemas.select(F.col("sig").alias("sig_before"), F.col("entries").alias("old_entries")), "sig_before", "left")
+    pairs = pairs.select("pair", F.coalesce("old_entries", nothing).alias("before"), F.coalesce("new_entries", nothing).alias("entries"))
     out = "pair string, change string, old_path string, new_path string, old_types array<string>, new_types array<string>, score double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
