@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.session import cut
+from terrafold.session import cut, salt_of
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -167,7 +167,7 @@ def text_windows(texts: DataFrame, names: frozenset[str], wanted=None) -> DataFr
     return texts.mapInPandas(run, _WINDOWS)
 
 
-def leaks(documents: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", block: int = 2_000_000, salts: int = 16, max_names: int = 1_000_000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", block: int = 2_000_000, rows_per_salt: int = 20_000, max_names: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, exact_windows, template_windows, kind): documents that hold a passage of at least 12 words.
 
     kind is exact if any window agrees word by word, else template; of template windows only those count whose
@@ -191,9 +191,12 @@ def leaks(documents: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", it
         found = hits if found is None else found.unionAll(hits)
     if found is None:
         found = documents.sparkSession.createDataFrame([], _WINDOWS)
-    # a window that many documents share is spread over the salts, the items' windows are few
-    left = found.select(F.col("id").alias("doc_id"), "pos", "key", F.col("words").alias("said"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-    right = windows.select(F.col("id").alias("item_id"), F.col("pos").alias("ipos"), "key", "words", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    # a window that many documents share is spread over salts, and the items' windows of that key go to each
+    found = cut(found)
+    hot = found.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > rows_per_salt).select("key", F.ceil(F.col("n") / rows_per_salt).cast("int").alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    left = found.join(hot, "key", "left").select(F.col("id").alias("doc_id"), "pos", "key", F.col("words").alias("said"), salt_of(F.col("id"), salts).alias("salt"))
+    right = windows.join(hot, "key", "left").select(F.col("id").alias("item_id"), F.col("pos").alias("ipos"), "key", "words", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     both = left.join(right, ["key", "salt"]).withColumn("exact", F.col("said") == F.col("words"))
     return _judge(both)
 

@@ -37,6 +37,8 @@ def test_blocks_and_empty_tables(spark):
     items = frame(spark, [(1, ITEM), (2, ITEM[10:])], "item_id")
     want = rows(lk.leaks(texts, items))
     assert len(want) == 2 and rows(lk.leaks(texts, items, block=2)) == want
+    many = frame(spark, [(i, ITEM) for i in range(9)])
+    assert len(rows(lk.leaks(many, items, rows_per_salt=2))) == 18
     assert lk.leaks(texts.limit(0), items).collect() == [] == lk.leaks(texts, items.limit(0)).collect()
 
 
