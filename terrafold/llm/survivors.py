@@ -209,17 +209,30 @@ def acquisition_parts(items: DataFrame) -> dict[str, Column]:
 
 
 def item_survivors(items: DataFrame, *, fields: bool = True, least: int = 1) -> DataFrame:
-    """Survivors of stac_items records by acquisition: the best record and, field by field, the best values."""
+    """Survivors of stac_items records by acquisition: the best record and, field by field, the best values.
+
+    The fields are all columns of stac_items but rec_id, as text, arrays as JSON text. A column the table lacks is left
+    out; those that name the acquisition or its trust must be there.
+    """
     p = acquisition_parts(items)
     cols = {
+        "item_id": F.col("item_id"),
+        "collection": F.col("collection"),
+        "ts": F.col("ts"),
+        "platform": F.initcap(F.col("platform")),
         "mgrs_tile": tile_code(F.col("mgrs_tile"), F.coalesce("product_uri", "item_id")),
         "cloud_cover": F.col("cloud_cover"),
         "product_uri": F.col("product_uri"),
-        "platform": F.initcap(F.col("platform")),
         "processing_baseline": F.col("processing_baseline"),
         "generation_time": F.col("generation_time"),
         "relative_orbit": F.col("relative_orbit"),
         "stac_version": F.col("stac_version"),
+        "stac_extensions": F.to_json("stac_extensions"),
+        "instruments": F.to_json("instruments"),
+        "bbox": F.to_json("bbox"),
+        "catalog": F.col("catalog"),
+        "ingested_at": F.col("ingested_at"),
     }
+    cols = {name: c for name, c in cols.items() if name in items.columns}
     weight = (1 + p["complete"]) * (1 + F.coalesce(p["baseline"], F.lit(0)) / 1000.0)
     return survivors(items, group=p["group"], key=F.col("rec_id"), trust=[p["baseline"], p["generation"], p["complete"]], fields=cols if fields else None, weight=weight, least=least)

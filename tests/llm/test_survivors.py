@@ -57,3 +57,18 @@ def test_items_with_every_spelling(spark):
     df = df.withColumn("relative_orbit", F.lit(None).cast("int"))
     got = sv.item_survivors(df).collect()
     assert [(r.g, r.n_records, r.first_key, r.survivor_key, r.mgrs_tile) for r in got] == [("S2B_2A_20190224T225640_37UHU", 3, 1, 2, "37UHU")]
+
+
+def test_survivors_have_every_field_of_the_items(spark):
+    uri = "S2B_MSIL2A_20190224T225640_N030{}_R037_T37UHU_20190225T085833"
+    t = "timestamp_ntz '2019-02-24 22:56:40'"
+    df = spark.sql(f"""SELECT * FROM VALUES
+        (1L, '{uri.format(1)}', 'c', {t}, 'Sentinel-2B', '37UHU', 2.0D, '{uri.format(1)}', '03.01', {t}, 37, '1.0.0', array('eo', 'sat'), array('msi'), array(1.5D, 2.0D, 3.0D, 4.0D), 'north', {t}),
+        (2L, '{uri.format(1)}', 'c', {t}, NULL, NULL, NULL, '{uri.format(1)}', NULL, NULL, 37, NULL, array('eo', 'sat'), NULL, NULL, 'north', {t}),
+        (3L, '{uri.format(2)}', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, array('eo'), NULL, NULL, 'mirror', NULL)
+        AS t(rec_id, item_id, collection, ts, platform, mgrs_tile, cloud_cover, product_uri, processing_baseline, generation_time, relative_orbit, stac_version, stac_extensions, instruments, bbox, catalog, ingested_at)""")
+    got = sv.item_survivors(df)
+    assert set(df.columns) - {"rec_id"} <= set(got.columns)
+    (r,) = got.collect()
+    assert (r.item_id, r.collection, r.ts, r.stac_extensions) == (uri.format(1), "c", "2019-02-24 22:56:40", '["eo","sat"]')
+    assert (r.instruments, r.bbox, r.catalog, r.ingested_at, r.stac_version) == ('["msi"]', "[1.5,2.0,3.0,4.0]", "north", "2019-02-24 22:56:40", "1.0.0")
