@@ -66,8 +66,9 @@ SELECT footprint_id, CASE WHEN bbox[1] > bbox[3] THEN (bbox[1] + bbox[3] + 360)
 
 
 def _locations(spark, d):
-    lon, lat = points.footprint_location(F.col("bbox"), F.lit(None).cast("array<array<double>>"))
-    return table(spark, d, "footprints").where("bbox IS NOT NULL").select("footprint_id", lon.alias("lon"), lat.alias("lat"), "created_at", "bbox")
+    """Every footprint that has a location; the SQL (_LOC) knows only those with a bbox."""
+    lon, lat = points.footprint_location(F.col("bbox"), F.col("coordinates"))
+    return table(spark, d, "footprints").select("footprint_id", lon.alias("lon"), lat.alias("lat"), "created_at", "bbox").where("lon IS NOT NULL AND lat IS NOT NULL")
 
 
 @query(f"WITH {_LOC} SELECT footprint_id, printf('%.6f_%.6f_%s_10m', lon, lat, strftime(created_at, '%Y%m%d')) AS stem FROM loc JOIN footprints USING (footprint_id)")

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from tests.conftest import rows
 from terrafold.operators import points
+from terrafold.plans import dataset_queries
 
 SCHEMA = "key long, lon double, lat double, region string"
 
@@ -93,3 +94,17 @@ def test_locations_of_footprints(spark):
     )
     lon, lat = points.footprint_location(df.bbox, df.coordinates)
     assert rows(df.select("k", lon.alias("x"), lat.alias("y")).where("x IS NOT NULL")) == [(1, -180.0, 1.0), (2, -9.0, 2.0), (4, 1.0, 1.0)]
+
+
+def test_location_queries_take_footprints_without_a_bbox(spark, tmp_path):
+    d, t = str(tmp_path), "timestamp_ntz '2020-03-04 05:00:00'"
+    spark.sql(f"""SELECT * FROM VALUES (1L, 'a', array(10.0D, 50.0D, 12.0D, 52.0D), NULL, {t}), (2L, 'b', NULL, array(array(190.0D, -2.0D), array(192.0D, -4.0D)), {t}),
+        (3L, 'a', NULL, array(array(-100.0D, 1.0D), array(-98.0D, 3.0D)), {t}), (4L, 'c', NULL, NULL, {t}), (5L, 'd', array(179.0D, 0.0D, -179.0D, 2.0D), array(array(0.0D, 0.0D)), {t})
+        AS t(footprint_id, anchor_id, bbox, coordinates, created_at)""").write.parquet(f"{d}/footprints.parquet")
+    spark.sql(f"SELECT * FROM VALUES ('a', {t}), ('b', {t}), ('c', {t}) AS t(anchor_id, ts)").write.parquet(f"{d}/scenes.parquet")
+    q = lambda name: dataset_queries.QUERIES[name](spark, d)
+    assert rows(q("utm_zone"), "footprint_id", "epsg", "lon") == [(1, 32632, 11.0), (2, 32702, -169.0), (3, 32614, -99.0), (5, 32601, -180.0)]
+    for name in ("utm_coordinates", "anchor_stem", "coordinate_text", "time_loc_encoding"):
+        assert rows(q(name), "footprint_id") == [(1,), (2,), (3,), (5,)]
+    # -99 degrees is the least longitude of a, -169 the one of b: both are the day before
+    assert [(r.anchor_id, r.day.day, r.n) for r in q("solar_days").orderBy("anchor_id").collect()] == [("a", 3, 1), ("b", 3, 1)]
