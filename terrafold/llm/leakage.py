@@ -5,6 +5,8 @@ and joined between items and documents. A window pair is exact if its words agre
 behind the placeholders differ by a consistent exchange: each value of the item always stands for one and the same
 value of the document, over all windows of the pair at one distance. Which placeholder a word gets depends on the
 word alone, without regard to case, so equal words always have equal templates and no exact passage can be missed.
+Names are known from the items only, so their places are left out of the key: documents look up their windows without
+the places of every form (mask) the items' windows have, and any word but a number or a unit may stand in for a name.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from terrafold.session import cut, salt_of
 
 _WORD = re.compile(r"[^\W_]+")
+_MEASURE = re.compile(r"\d+([^\W\d_]+)")
 
 #: Fixed word lists: numbers and units that get a placeholder.
 NUMBER_WORDS = """
@@ -40,7 +43,13 @@ prozent grad sekunden minuten stunden tage wochen monate jahre hektar metros kil
 WINDOW, LEAST_LITERALS = 12, 5
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = [np.uint64(pow(int(_BASE), WINDOW - 1 - j, 1 << 64)) for j in range(WINDOW)]
 _NUMBER, _UNIT, _NAME = (xxhash.xxh64_intdigest("\0" + k) for k in ("number", "unit", "name"))
+_MASKED, _TYPED = np.uint64(0xD6E8FEB86659FD93), np.array([_NUMBER, _UNIT], np.uint64)
+_UNITS = frozenset(UNIT_WORDS)
+
+#: Windows of a document that are hashed at once.
+_CHUNK = 1 << 15
 
 
 def words_of(text: str) -> list[str]:
@@ -63,7 +72,7 @@ def capitals(text: str) -> tuple[set[str], set[str]]:
 
 
 def item_names(items: DataFrame, most: int) -> frozenset[str]:
-    """Words that the items write with a capital inside a sentence and never without one; at most ``most`` of them.
+    """Words that the items write with a capital inside a sentence and never without one; more than ``most`` are an error.
 
     Names only widen what counts as re-parameterised; exact passages are found whatever the list holds.
     """
@@ -75,7 +84,10 @@ def item_names(items: DataFrame, most: int) -> frozenset[str]:
             yield pd.DataFrame(rows, columns=["word", "plain"]).drop_duplicates()
 
     seen = items.select("text").mapInPandas(run, "word string, plain int").groupBy("word").agg(F.max("plain").alias("plain"))
-    return frozenset(r["word"] for r in seen.where("plain = 0").orderBy("word").limit(most).collect())
+    names = frozenset(r["word"] for r in seen.where("plain = 0").select("word").limit(most + 1).collect())
+    if len(names) > most:
+        raise ValueError(f"the items have more than {most} names")
+    return names
 
 
 class Templates:
@@ -99,70 +111,135 @@ class Templates:
             self.exact, self.template = np.concatenate([self.exact, np.zeros_like(self.exact)]), np.concatenate([self.template, np.zeros_like(self.template)])
         own = xxhash.xxh64_intdigest(word)
         self.exact[i] = own
-        self.template[i] = _NUMBER if word.isdigit() else self.fixed.get(word, own)
+        measure = _MEASURE.fullmatch(word)
+        self.template[i] = _NUMBER if word.isdigit() or (measure and measure[1] in _UNITS) else self.fixed.get(word, own)
         return i
 
-    def keys(self, words: list[str]) -> np.ndarray:
-        """Keys of all windows of a text; empty if it has fewer words than a window."""
-        n = len(words) - WINDOW + 1
-        if n < 1:
-            return np.zeros(0, np.uint64)
+    def hashes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words themselves and of what stands for them in a template."""
         if self.held > self.most:
             self._reset()
         get, new = self.ids.get, self._id
         ids = np.fromiter((i if (i := get(w)) is not None else new(w) for w in words), np.int64, len(words))
-        exact, template = self.exact[ids], self.template[ids]
-        with np.errstate(over="ignore"):
-            e, t = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            for j in range(WINDOW):
-                t *= _BASE
-                t += template[j : n + j]
-            same = np.concatenate([[0], np.cumsum(exact == template)])
-            few = same[WINDOW:] - same[:-WINDOW] < LEAST_LITERALS
-            if few.any():
-                for j in range(WINDOW):
-                    e *= _BASE
-                    e += exact[j : n + j]
-                t[few] = e[few] ^ np.uint64(0x5851F42D4C957F2D)
-        return t
+        return self.exact[ids], self.template[ids]
+
+
+def _windows(exact: np.ndarray, template: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, sums, keys, few) of all windows of at least WINDOW words: a template's hash is the sum of its terms, and the key but where it has few literals."""
+    n = len(exact) - WINDOW + 1
+    with np.errstate(over="ignore"):
+        terms = [template[j : n + j] * p for j, p in enumerate(_POWERS)]
+        t = np.sum(terms, axis=0, dtype=np.uint64)
+        same = np.concatenate([[0], np.cumsum(exact == template)])
+        few = same[WINDOW:] - same[:-WINDOW] < LEAST_LITERALS
+        keys = t.copy()
+        if few.any():
+            e = np.zeros(n, np.uint64)
+            for j, p in enumerate(_POWERS):
+                e += exact[j : n + j] * p
+            keys[few] = e[few] ^ np.uint64(0x5851F42D4C957F2D)
+    return terms, t, keys, few
+
+
+def item_keys(exact: np.ndarray, template: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, mask) of all windows of an item; bit j of a mask is set if word j is a name that is left out of the key."""
+    if len(exact) < WINDOW:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    terms, t, keys, few = _windows(exact, template)
+    mask = np.zeros(len(keys), np.int64)
+    with np.errstate(over="ignore"):
+        for j, term in enumerate(terms):
+            name = (template[j : len(keys) + j] == np.uint64(_NAME)) & ~few
+            mask[name] |= 1 << j
+            t[name] -= term[name]
+        named = mask > 0
+        keys[named] = t[named] ^ mask[named].astype(np.uint64) * _MASKED
+    return keys, mask
+
+
+def wanted_windows(exact: np.ndarray, template: np.ndarray, masks: list[int], kept: np.ndarray, find) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, keys) of a document's windows whose key ``find`` knows, as they are and under each mask.
+
+    ``kept`` are the sorted template hashes of the items' windows with names. A window with fewer words of these than
+    any mask leaves in the key can't agree under one, which spares nearly all windows the masks.
+    """
+    least = min((WINDOW - m.bit_count() for m in masks), default=0)
+    for at in range(0, len(exact) - WINDOW + 1, _CHUNK):
+        end = at + _CHUNK + WINDOW - 1
+        terms, t, keys, _ = _windows(exact[at:end], template[at:end])
+        hit = find(keys)
+        if len(hit):
+            yield hit + at, keys[hit]
+        if not masks:
+            continue
+        part = template[at:end]
+        known = kept[np.minimum(np.searchsorted(kept, part), len(kept) - 1)] == part
+        known = np.concatenate([[0], np.cumsum(known)])
+        near = np.flatnonzero(known[WINDOW:] - known[:-WINDOW] >= least)
+        if not len(near):
+            continue
+        t, terms = t[near], [term[near] for term in terms]
+        for m in masks:
+            places = [j for j in range(WINDOW) if m >> j & 1]
+            with np.errstate(over="ignore"):
+                k = t - terms[places[0]]
+                for j in places[1:]:
+                    k -= terms[j]
+                k ^= np.uint64(m) * _MASKED
+            hit = find(k)
+            for j in places:
+                if len(hit):
+                    hit = hit[~np.isin(template[at + near[hit] + j], _TYPED)]
+            if len(hit):
+                yield near[hit] + at, k[hit]
 
 
-_WINDOWS = "id long, pos int, key long, words string"
+_WINDOWS = "id long, pos int, key long, mask int, words string"
 
 
 def text_windows(texts: DataFrame, names: frozenset[str], wanted=None) -> DataFrame:
-    """(id, pos, key, words) of the windows of (id, text) rows; with ``wanted``, a broadcast of sorted keys, only of these.
+    """(id, pos, key, mask, words) of the windows of (id, text) rows; with ``wanted``, a broadcast of sorted keys, masks and words of windows with names, only of these.
 
-    Null ids and texts have no windows. Every window of a whole text is looked up.
+    Null ids and texts have no windows. Every window of a whole text is looked up. Only items' windows state their mask.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         templates = Templates(names)
-        look = wanted.value if wanted is not None else None
+        look, masks, named = wanted.value if wanted is not None else (None, [], [])
+        kept = np.unique(templates.hashes(named)[1])
         if look is not None:
             # a first look in a bit table spares most searches
             table = np.zeros(1 << 20, bool)
             table[(look >> np.uint64(44)).astype(np.int64)] = True
+
+        def find(key: np.ndarray) -> np.ndarray:
+            hit = np.flatnonzero(table[(key >> np.uint64(44)).astype(np.int64)])
+            if len(hit):
+                where = np.minimum(np.searchsorted(look, key[hit]), len(look) - 1)
+                hit = hit[look[where] == key[hit]]
+            return hit
+
         for pdf in batches:
-            ids, at, keys, said = [], [], [], []
+            ids, at, keys, forms, said = [], [], [], [], []
             for i, text in zip(pdf["id"], pdf["text"]):
                 if text is None or pd.isna(i):
                     continue
                 words = words_of(text)
-                key = templates.keys(words)
-                hit = np.arange(len(key))
-                if look is not None and len(key):
-                    hit = np.flatnonzero(table[(key >> np.uint64(44)).astype(np.int64)])
-                    if len(hit):
-                        where = np.minimum(np.searchsorted(look, key[hit]), len(look) - 1)
-                        hit = hit[look[where] == key[hit]]
-                for p in hit.tolist():
-                    ids.append(i)
-                    at.append(p)
-                    said.append(" ".join(words[p : p + WINDOW]))
-                keys.append(key[hit])
+                exact, template = templates.hashes(words)
+                if look is None:
+                    key, mask = item_keys(exact, template)
+                    found = [(np.arange(len(key)), key, mask)]
+                else:
+                    found = [(p, k, np.zeros(len(p), np.int64)) for p, k in wanted_windows(exact, template, masks, kept, find)]
+                for places, key, mask in found:
+                    for p in places.tolist():
+                        ids.append(i)
+                        at.append(p)
+                        said.append(" ".join(words[p : p + WINDOW]))
+                    keys.append(key)
+                    forms.append(mask)
             if ids:
-                yield pd.DataFrame({"id": ids, "pos": at, "key": np.concatenate(keys).view(np.int64), "words": said})
+                yield pd.DataFrame({"id": ids, "pos": at, "key": np.concatenate(keys).view(np.int64), "mask": np.concatenate(forms), "words": said})
 
     return texts.mapInPandas(run, _WINDOWS)
 
@@ -187,7 +264,9 @@ def leaks(documents: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", it
         keys = part.select("key").distinct().toPandas()["key"].to_numpy(np.int64)
         if not len(keys):
             continue
-        hits = text_windows(docs, names, sc.broadcast(np.sort(keys.view(np.uint64))))
+        masks = [r["mask"] for r in part.where("mask > 0").select("mask").distinct().collect()]
+        named = [r["word"] for r in part.where("mask > 0").select(F.explode(F.split("words", " ")).alias("word")).distinct().collect()]
+        hits = text_windows(docs, names, sc.broadcast((np.sort(keys.view(np.uint64)), sorted(masks), named)))
         found = hits if found is None else found.unionAll(hits)
     if found is None:
         found = documents.sparkSession.createDataFrame([], _WINDOWS)

@@ -1,3 +1,5 @@
+import pytest
+
 from tests.conftest import rows
 from terrafold.llm import leakage as lk
 
@@ -52,3 +54,21 @@ def test_words_of_any_script():
     assert lk.words_of("Größe_42 日本語-Ελλάδα") == ["größe", "42", "日本語", "ελλάδα"]
     capital, plain = lk.capitals("The Delta of Ann. Bob saw ann")
     assert capital == {"delta", "ann"} and {"of", "saw", "ann"} <= plain
+
+
+def test_names_and_measures_the_documents_alone_have(spark):
+    item = "The analyst Smith counts flooded rows at 10m before the gate and Smith then files them at 10m beside the dark cocoa mill of Smith"
+    new = item.replace("Smith", "Jones")
+    texts = [
+        (1, new),
+        (2, new.lower().replace("10m", "20m")),
+        (3, item.replace("10m", "20m")),
+        (4, new.replace("Jones then", "Brown then")),
+        (5, item.replace("Smith", "42")),
+        (6, item.replace("10m", "tenth")),
+        (7, item),
+    ]
+    got = rows(lk.leaks(frame(spark, texts), frame(spark, [(1, item)], "item_id")), "doc_id", "kind")
+    assert got == [(1, "template"), (2, "template"), (3, "template"), (7, "exact")]
+    with pytest.raises(ValueError, match="more than 0 names"):
+        lk.leaks(frame(spark, texts), frame(spark, [(1, item)], "item_id"), max_names=0)
