@@ -79,6 +79,8 @@ def mixture(documents: DataFrame, targets: DataFrame, *, key: str = "doc_id", so
     wanted = documents.where(source.isin(sorted(goals)) if goals else F.lit(False))
     docs = cut(sized(wanted, key=key, source=source, text=text, weight=weight, tokenizer=path)).where("tokens > 0")
     totals = {r["source"]: r["t"] for r in docs.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+    # a source without tokens can't reach any share and doesn't bound the others
+    goals = {s: g for s, g in goals.items() if totals.get(s)}
     plan = [(s, *b) for s, b in budgets(totals, goals, total_tokens).items()]
     plan_df = documents.sparkSession.createDataFrame(plan, "source string, budget long, epochs int, rest long")
     u = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)

@@ -63,3 +63,10 @@ def test_public_tokenizer_counts():
     text = "naïve tokens 🙂 of <|endoftext|> text"
     assert sum(tk.token_lengths(path, text)) == len(text.encode())
     assert tk.count_tokens(path, text) == len(tk.token_lengths(path, text)) < len(text)
+
+
+def test_a_source_without_documents_leaves_the_others(spark):
+    targets = spark.createDataFrame([("big", 0.4, 1), ("small", 0.4, 3), ("absent", 0.2, 2)], "source string, target_share double, max_repeats int")
+    report = {r.source: r for r in mx.mixture_report(docs(spark), targets, tokenizer=None).collect()}
+    assert (report["absent"].actual_share, report["absent"].n_docs) == (0.0, 0)
+    assert abs(report["big"].actual_share - 0.5) < 0.01 and abs(report["small"].actual_share - 0.5) < 0.01
