@@ -38,6 +38,23 @@ def p3_shares(spark: SparkSession, d: str) -> DataFrame:
     return per.select("split", "n_rows", "n_tiles", (F.col("n_rows") / whole).alias("share"))
 
 
+def p3_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and splits of every tile after the allocation, the rows without a tile as one: always one split."""
+    got = splits.assign_splits(table(spark, d, "yolo_labels"), table(spark, d, "split_targets"))
+    return got.groupBy("mgrs_tile").agg(F.count("*").alias("n_rows"), F.countDistinct("split").alias("n_splits"))
+
+
+def p3_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of all splits together, and whether each split is within the largest tile of its share."""
+    got = splits.tile_splits(table(spark, d, "yolo_labels"), table(spark, d, "split_targets"))
+    per = got.groupBy("split").agg(F.sum("n_rows").alias("n_rows"), F.max("n_rows").alias("largest"))
+    per = table(spark, d, "split_targets").join(per, "split", "left")
+    over = Window.partitionBy(F.lit(0))  # over as many rows as there are splits
+    all_rows = F.coalesce(F.sum("n_rows").over(over), F.lit(0))
+    near = F.abs(F.coalesce("n_rows", F.lit(0)) - F.col("target_share") * all_rows) <= F.coalesce(F.max("largest").over(over), F.lit(0))
+    return per.select("split", all_rows.alias("all_rows"), near.alias("within_one_tile"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.leaked_pairs(table(spark, d, "stack_samples"))
 
@@ -73,7 +90,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_survivors, p3_found, p3_assignment, p3_shares, p5_found, p5_report, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p2_found, p2_survivors, p3_found, p3_assignment, p3_shares, p3_tiles, p3_balance, p5_found, p5_report, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_pieces)}
 
 
 _PRODUCT = r"(S2[ABC])_MSIL?(1C|2A)_(\d{8}T\d{6})(?:_N(\d{4}))?_R(\d{3})_T(\d{2}[A-Z]{3})_(\d{8}T\d{6})"
@@ -95,6 +112,9 @@ ranked AS (
   FROM rec WHERE acquisition IS NOT NULL)
 """
 
+_TILE = """CASE WHEN mgrs_tile IS NULL THEN nullif(regexp_extract(upper(product_uri), '_T(\\d{2}[A-Z]{3})_', 1), '')
+  ELSE lpad(regexp_extract(regexp_replace(upper(mgrs_tile), '[^0-9A-Z]', '', 'g'), '(\\d{1,2})[A-Z]{3}$', 1), 2, '0') || regexp_extract(regexp_replace(upper(mgrs_tile), '[^0-9A-Z]', '', 'g'), '\\d([A-Z]{3})$', 1) END"""
+
 _STARTS = f"""
 s0 AS (
   SELECT sample_no, {_split("split")} AS sp, lower(trim(sample_source)) AS src, bbox, geotag_datetime[1] AS g FROM stack_samples),
@@ -116,9 +136,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"WITH {_ACQUIRED} SELECT first_id AS first_rec_id, rec_id AS survivor_rec_id FROM ranked WHERE r = 1 AND n >= 2",
         "p3_found": f"""SELECT mgrs_tile FROM (
-SELECT CASE WHEN mgrs_tile IS NULL THEN regexp_extract(upper(product_uri), '_T(\\d{{2}}[A-Z]{{3}})_', 1)
-  ELSE lpad(regexp_extract(regexp_replace(upper(mgrs_tile), '[^0-9A-Z]', '', 'g'), '(\\d{{1,2}})[A-Z]{{3}}$', 1), 2, '0') || regexp_extract(regexp_replace(upper(mgrs_tile), '[^0-9A-Z]', '', 'g'), '\\d([A-Z]{{3}})$', 1) END AS mgrs_tile,
+SELECT {_TILE} AS mgrs_tile,
   {_split("split")} AS sp FROM yolo_labels) GROUP BY mgrs_tile HAVING count(DISTINCT sp) >= 2""",
+        "p3_tiles": f"SELECT {_TILE} AS mgrs_tile, count(*) AS n_rows, 1 AS n_splits FROM yolo_labels GROUP BY ALL",
+        "p3_balance": "SELECT split, (SELECT count(*) FROM yolo_labels) AS all_rows, TRUE AS within_one_tile FROM split_targets",
         "p5_found": f"WITH {_STARTS} SELECT least(ta, eb) AS sample_a, greatest(ta, eb) AS sample_b FROM leak",
         "p5_report": f"""WITH {_STARTS},
 hit AS (SELECT eb, count(*) AS n FROM leak GROUP BY eb)

@@ -10,7 +10,7 @@ SCHEMA = "label_no long, mgrs_tile string, product_uri string, body string, spli
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, 60), st.sampled_from("ab"), st.integers(1, 9)), min_size=1, max_size=12, unique_by=lambda b: b[:2]))
+@given(st.lists(st.tuples(st.integers(1, 60), st.sampled_from(["a:4", "a:1,b:3"]), st.integers(1, 9)), min_size=1, max_size=12, unique_by=lambda b: b[:2]))
 def test_allocation_is_whole_and_close(bundles):
     shares = [0.7, 0.15, 0.15]
     plan = sp.allocate_bundles(bundles, shares)
@@ -21,6 +21,25 @@ def test_allocation_is_whole_and_close(bundles):
         assert abs(sum(p[k] * s for p, (s, _, _) in zip(plan, bundles)) - share * total) <= 2 * largest + 1
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([5, 40, 300, 900, 1000]), st.sampled_from(["a:4", "b:4", "a:2,b:2", "c:4"])), min_size=40, max_size=60))
+def test_labels_of_large_components_are_balanced_too(comps):
+    bundles = [(s, p, comps.count((s, p))) for s, p in sorted(set(comps))]
+    shares = [0.6, 0.2, 0.2]
+    plan = sp.allocate_bundles(bundles, shares)
+    largest = max(s for s, _ in comps)
+    for label in "abc":
+        rows = [sum(n[k] * size * sp.profile_weights(p).get(label, 0) for n, (size, p, _) in zip(plan, bundles)) for k in range(3)]
+        assert all(abs(r - share * sum(rows)) <= 3 * largest for r, share in zip(rows, shares))
+
+
+def test_rare_profile_of_large_components_goes_by_the_flow():
+    assert sp.allocate_bundles([(10, "rare:4", 10), (10, "common:4", 20)], [0.8, 0.1, 0.1]) == [[8, 1, 1], [16, 2, 2]]
+    # a third of all rows in one component is placed whole and the rest makes up for it
+    plan = sp.allocate_bundles([(100, "a:4", 1), (1, "a:4", 200)], [0.7, 0.15, 0.15])
+    assert plan[0] == [1, 0, 0] and plan[1] == [110, 45, 45]
+
+
 def test_flow_is_of_least_cost():
     arcs = [(0, 1, 4, 0), (1, 2, 2, 1), (1, 3, 9, 3), (2, 3, 9, 0)]
     assert sp.min_cost_flow(4, arcs, 0, 3) == [4, 2, 2, 2]
