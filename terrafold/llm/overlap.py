@@ -1,10 +1,12 @@
 """The same or nearly the same record in training and in evaluation splits.
 
-A record's footprint is shingled: its shingles are the cells of a grid whose centres its box holds, at a grid level
-that fits the box's size, so the Jaccard similarity of two shingle sets is that of the boxes. Minwise hashes of the
-shingles are banded into buckets together with the period the record starts in; only buckets with both training and
-evaluation records give candidates, which are verified by the exact similarity of the boxes and the distance of the
-starts. Exact copies are joined as one.
+A record's footprint is shingled: its shingles are the (column, row) cells of a grid whose centres its box holds, at a
+grid level that fits the box's size, so the Jaccard similarity of two shingle sets is that of the boxes. A box is the
+product of its columns and rows, so a minwise hash of it is one over its columns joined with one over its rows, which
+agrees with the product of both similarities: a few hundredths below that of the boxes where they are alike, and lower
+still where they are not. The hashes are banded into buckets together with the period the record starts in; only
+buckets with both training and evaluation records give candidates, which are verified by the distance of the starts and
+the exact similarity of the boxes. Exact copies are joined as one.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from terrafold.functions.names import source_name, split_name
 from terrafold.session import cut, salt_of
 
 #: A box has at least this many and up to twice as many cells along each side, at its own grid level.
-CELLS = 16
+CELLS = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -31,88 +33,110 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _levels(side: float, stretch: float) -> list[int]:
-    """Grid levels of a side: its own, and the finer one where a similar box may have that as its own."""
+def side_levels(side: float, similarity: float, probe: bool) -> list[int]:
+    """Grid levels of a side: its own; if it probes, those too that a box of the similarity may have as its own."""
     k = int(np.floor(np.log2(side / CELLS)))
-    return [k, k - 1] if side < stretch * CELLS * 2.0**k else [k]
+    if not probe:
+        return [k]
+    low, high = CELLS * 2.0**k, CELLS * 2.0 ** (k + 1)
+    return [k] + [k - 1] * (side * similarity * (1 - 1e-9) < low) + [k + 1] * (side * (1 + 1e-9) >= high * similarity)
 
 
 @lru_cache
 def _hash_family(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Odd multipliers and addends of the hashes, and a number for each band."""
-    order = np.arange(1, bands * rows + 1, dtype=np.uint64)
+    """Odd multipliers and addends of the hashes of both axes, one row per hash, and a number for each band."""
+    order = np.arange(1, 2 * bands * rows + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         mult, add = _mix(order * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1), _mix(order + np.uint64(0x51ED270B)).astype(np.uint32)
-        return mult, add, np.arange(bands, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
+        return mult.reshape(2, -1, 1), add.reshape(2, -1, 1), np.arange(bands, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
 
 
-def _cells(low: float, high: float, level: int) -> np.ndarray:
-    """Cells of a grid level whose centres lie between two bounds, along one axis."""
-    return np.arange(np.ceil(low / 2.0**level - 0.5), np.floor(high / 2.0**level - 0.5) + 1).astype(np.int64).astype(np.uint64)
+def _least(low: float, high: float, level: int, mult: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """Minimum of each hash over the cells of a grid level whose centres lie between two bounds, along one axis."""
+    cells = np.arange(np.ceil(low / 2.0**level - 0.5), np.floor(high / 2.0**level - 0.5) + 1).astype(np.int64).astype(np.uint64)
+    return (mult * _mix(cells).astype(np.uint32) + add).min(axis=1).astype(np.uint64)
 
 
-def box_bands(w: float, s: float, e: float, n: float, *, bands: int, rows: int, similarity: float) -> list[int]:
-    """Bucket keys of one box: ``bands`` for each pair of grid levels. None for a box without area."""
+def _neighbourhood(low: float, high: float, level: int) -> int:
+    """Level and coarse cell of the middle of a side as one number, one more for the next cell."""
+    half = 1 << 39
+    at = int(min(max(np.floor((low + high) / 2 / (4.0 * CELLS * 2.0**level)), 2 - half), half - 2))
+    return ((level + 2048) << 40) + at + half
+
+
+def box_bands(w: float, s: float, e: float, n: float, *, probe: bool, bands: int, rows: int, similarity: float) -> list[tuple[int, int, list[int]]]:
+    """(column and row of the neighbourhood, bucket keys) of one box, for each pair of its grid levels. None for a box without area.
+
+    The neighbourhood is the cell of a coarse grid the box's middle lies in, as one number for its level, column and
+    row; boxes that share a bucket are in the same or adjoining ones.
+    """
     if not (e > w and n > s) or not np.isfinite([w, s, e, n]).all():
         return []
-    keys: list[int] = []
+    out = []
     with np.errstate(over="ignore"):
         mult, add, number = _hash_family(bands, rows)
-        for kx in _levels(e - w, 1 / similarity):
-            hx = _mix(_cells(w, e, kx)).astype(np.uint32)
-            for ky in _levels(n - s, 1 / similarity):
-                hy = _mix(_cells(s, n, ky) ^ np.uint64(0x5DEECE66D)).astype(np.uint32)
-                c = (hx[:, None] + hy[None, :]).ravel()
-                c = (c ^ (c >> np.uint32(16))) * np.uint32(0x7FEB352D)
-                c = (c ^ (c >> np.uint32(15))) * np.uint32(0x846CA68B)
-                # one row per hash, so that the minimum runs over neighbouring numbers
-                least = (mult[:, None] * c[None, :] + add[:, None]).min(axis=1).reshape(rows, bands)
+        ys = [(ky, _least(s, n, ky, mult[1], add[1]) << np.uint64(32)) for ky in side_levels(n - s, similarity, probe)]
+        for kx in side_levels(e - w, similarity, probe):
+            x = _least(w, e, kx, mult[0], add[0])
+            for ky, y in ys:
                 key = number + np.uint64((kx * 4096 + ky) & 0xFFFFFFFF)
-                for r in least:
+                for r in (x | y).reshape(rows, bands):
                     key = _mix(key ^ r)
-                keys.extend(key.astype(np.int64).tolist())
-    return keys
+                out.append((_neighbourhood(w, e, kx), _neighbourhood(s, n, ky), key.astype(np.int64).tolist()))
+    return out
 
 
-def cross_split_pairs(records: DataFrame, *, similarity: float = 0.8, within_hours: float = 24.0, bands: int = 20, rows: int = 2, rows_per_salt: int = 1000) -> tuple[DataFrame, DataFrame]:
+_BANDED = "spot long, train boolean, col long, row long, bands array<long>"
+
+
+def cross_split_pairs(records: DataFrame, *, similarity: float = 0.8, within_hours: float = 24.0, bands: int = 40, rows: int = 5, rows_per_salt: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(pairs of representatives, members) of overlaps between train and the other splits.
 
     records: (key, split, start timestamp_ntz, w, s, e, n double), split one of train, val, test. Rows with a null key,
     split, start or bound, or a box without area, match nothing. Pairs: (rep_train, rep_eval, split, similarity,
     n_train, n_eval); members: (rep, key). Rows of equal split, start and box are copies and have one representative, the
-    smallest key. At the given bands and rows a pair at the similarity threshold is missed with a chance below 1e-7.
+    smallest key. At the given bands and rows a pair at a similarity of 0.8 is missed with a chance below 1e-4 whatever
+    its shape, below 1e-6 for most; one at 0.3 becomes a candidate with a chance of at most a tenth.
     """
     ok = cut(records.select("key", "split", "start", "w", "s", "e", "n").where("key IS NOT NULL AND split IS NOT NULL AND start IS NOT NULL AND e > w AND n > s"))
     same = ["split", "start", "w", "s", "e", "n"]
-    copies = ok.groupBy(*same).agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
-    reps = cut(copies)
+    reps = cut(ok.groupBy(*same).agg(F.min("key").alias("rep"), F.count("*").alias("copies")))
     members = ok.join(reps.select(*same, "rep"), same).select("rep", "key")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys = [box_bands(w, s, e, n, bands=bands, rows=rows, similarity=similarity) for w, s, e, n in zip(pdf["w"], pdf["s"], pdf["e"], pdf["n"])]
-            yield pd.DataFrame({"spot": pdf["rep"], "bands": keys})
-
-    span = within_hours * 3600
+            got = [
+                (spot, train, *hit)
+                for spot, train, w, s, e, n in zip(pdf["spot"], pdf["train"], pdf["w"], pdf["s"], pdf["e"], pdf["n"])
+                for hit in box_bands(w, s, e, n, probe=not train, bands=bands, rows=rows, similarity=similarity)
+            ]
+            yield pd.DataFrame(got, columns=["spot", "train", "col", "row", "bands"])
+
+    span = int(within_hours * 3600)
     period = 8 * span
-    at = F.unix_micros(F.col("start").cast("timestamp")) / F.lit(1e6)
+    at = F.floor(F.unix_micros(F.col("start").cast("timestamp")) / F.lit(1_000_000))
     train = F.col("split") == "train"
     # a training record is in the period of its start, an evaluation record in each that a partner may start in
-    lo, hi = F.floor((at - span) / period), F.floor((at + span) / period)
-    periods = F.when(train, F.array(F.floor(at / period))).otherwise(F.sequence(lo, hi))
+    periods = F.when(train, F.array(F.floor(at / period))).otherwise(F.sequence(F.floor((at - span - 1) / period), F.floor((at + span + 1) / period)))
     # boxes first, as many samples of a place share one; then the periods
-    spots = reps.groupBy("w", "s", "e", "n").agg(F.min("rep").alias("spot"))
-    banded = spots.select(F.col("spot").alias("rep"), "w", "s", "e", "n").mapInPandas(run, "spot long, bands array<long>")
-    timed = reps.join(spots, ["w", "s", "e", "n"]).select("spot", "rep", train.alias("train"), periods.alias("periods"))
-    # hashed once, kept as one row per representative, and written out as buckets where they are joined
-    held = cut(timed.join(banded, "spot").select("rep", "train", "periods", "bands"))
-    keyed = held.select("rep", "train", "bands", F.explode("periods").alias("period")).select("rep", "train", "period", F.explode("bands").alias("band")).select("rep", "train", F.xxhash64("band", "period").alias("bucket"))
-    left, right = keyed.where("train").select("bucket", F.col("rep").alias("rep_train")), keyed.where("NOT train").select("bucket", F.col("rep").alias("rep_eval"))
-    hot = left.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") > rows_per_salt).select("bucket", F.ceil(F.col("c") / rows_per_salt).cast("int").alias("salts"))
-    salts = F.coalesce("salts", F.lit(1))
-    left = left.join(hot, "bucket", "left").select("bucket", "rep_train", salt_of(F.col("rep_train"), salts).alias("salt"))
-    right = right.join(hot, "bucket", "left").select("bucket", "rep_eval", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    candidates = left.join(right, ["bucket", "salt"]).select("rep_train", "rep_eval").distinct()
+    spots = reps.groupBy("w", "s", "e", "n", train.alias("train")).agg(F.min("rep").alias("spot"))
+    banded = spots.mapInPandas(run, _BANDED)
+    timed = reps.withColumn("train", train).join(spots, ["w", "s", "e", "n", "train"]).select("spot", "rep", "train", at.alias("at"), periods.alias("periods"))
+    # hashed once, kept as one row per representative, level and period, and written out as buckets where they are joined
+    held = cut(timed.join(banded, ["spot", "train"]).select("rep", "train", "at", "col", "row", "bands", F.explode("periods").alias("period")))
+    # no bucket holds more training records than the neighbourhoods its records come from; evaluation records meet the salts of all around theirs
+    crowd = held.where("train").groupBy("col", "row", "period").agg(F.count("*").alias("c")).where(F.col("c") > rows_per_salt)
+    crowd = cut(crowd.select("col", "row", "period", F.ceil(F.col("c") / rows_per_salt).cast("int").alias("salts")))
+    step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    around = crowd.withColumn("d", step).groupBy((F.col("col") + F.col("d.i")).alias("col"), (F.col("row") + F.col("d.j")).alias("row"), "period").agg(F.max("salts").alias("salts"))
+    salts, here = F.coalesce("salts", F.lit(1)), ["col", "row", "period"]
+    left = held.where("train").join(crowd, here, "left").withColumn("salt", salt_of(F.col("rep"), salts))
+    right = held.where("NOT train").join(around, here, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    bucket = lambda side: side.select("rep", "at", "period", "salt", F.explode("bands").alias("band")).select(F.xxhash64("band", "period", "salt").alias("bucket"), "rep", "at")
+    left, right = bucket(left).withColumnsRenamed({"rep": "rep_train", "at": "at1"}), bucket(right).withColumnsRenamed({"rep": "rep_eval", "at": "at2"})
+    # the starts tell most pairs of a place apart before any box is looked up
+    near = left.join(right, "bucket").where(F.abs(F.col("at1") - F.col("at2")) <= span + 1)
+    candidates = near.select("rep_train", "rep_eval").distinct()
     a = reps.select(F.col("rep").alias("rep_train"), F.col("start").alias("t1"), *[F.col(c).alias(c + "1") for c in "wsen"], F.col("copies").alias("n_train"))
     b = reps.select(F.col("rep").alias("rep_eval"), "split", F.col("start").alias("t2"), *[F.col(c).alias(c + "2") for c in "wsen"], F.col("copies").alias("n_eval"))
     both = candidates.join(a, "rep_train").join(b, "rep_eval")
@@ -120,7 +144,7 @@ def cross_split_pairs(records: DataFrame, *, similarity: float = 0.8, within_hou
     area = lambda i: (F.col(f"e{i}") - F.col(f"w{i}")) * (F.col(f"n{i}") - F.col(f"s{i}"))
     gap = F.abs(F.unix_micros(F.col("t1").cast("timestamp")) - F.unix_micros(F.col("t2").cast("timestamp")))
     both = both.withColumn("similarity", shared / (area(1) + area(2) - shared))
-    pairs = both.where((F.col("similarity") >= similarity) & (gap <= int(span * 1e6)))
+    pairs = both.where((F.col("similarity") >= similarity) & (gap <= int(within_hours * 3600e6)))
     return pairs.select("rep_train", "rep_eval", "split", "similarity", "n_train", "n_eval"), members
 
 
@@ -131,11 +155,16 @@ def stack_records(samples: DataFrame) -> DataFrame:
     return samples.select(F.col("sample_no").alias("key"), split_name(F.col("split")).alias("split"), start.alias("start"), b(0).alias("w"), b(1).alias("s"), b(2).alias("e"), b(3).alias("n"))
 
 
-def leaked_pairs(samples: DataFrame) -> DataFrame:
-    """(sample_a, sample_b): the pairs of stack_samples with their copies written out."""
-    pairs, members = cross_split_pairs(stack_records(samples))
-    m1, m2 = members.select(F.col("rep").alias("rep_train"), F.col("key").alias("k1")), members.select(F.col("rep").alias("rep_eval"), F.col("key").alias("k2"))
-    out = pairs.join(m1, "rep_train").join(m2, "rep_eval")
+def leaked_pairs(samples: DataFrame, *, rows_per_salt: int = 1000) -> DataFrame:
+    """(sample_a, sample_b): the pairs of stack_samples with their copies written out, those of a hot record in parts."""
+    pairs, members = cross_split_pairs(stack_records(samples), rows_per_salt=rows_per_salt)
+    pairs = cut(pairs)
+    parts = lambda n: F.ceil(F.col(n) / rows_per_salt).cast("int")
+    part = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
+    sized = lambda side, key, n: pairs.select(F.col(side).alias("rep"), n).distinct().join(members, "rep").select(F.col("rep").alias(side), salt_of(F.col("key"), parts(n)).alias(n + "_part"), F.col("key").alias(key))
+    m1, m2 = sized("rep_train", "k1", "n_train"), sized("rep_eval", "k2", "n_eval")
+    spread = pairs.withColumn("n_train_part", part("n_train")).withColumn("n_eval_part", part("n_eval"))
+    out = spread.join(m1, ["rep_train", "n_train_part"]).join(m2, ["rep_eval", "n_eval_part"])
     return out.select(F.least("k1", "k2").alias("sample_a"), F.greatest("k1", "k2").alias("sample_b"))
 
 

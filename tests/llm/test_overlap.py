@@ -46,6 +46,42 @@ def test_near_and_exact_copies_match_brute_force(spark):
     assert pairs(spark, data, rows_per_salt=1) == want
 
 
+def band_rows(box, probe):
+    return [set(enumerate(keys)) for _, _, keys in ov.box_bands(*box, probe=probe, bands=40, rows=5, similarity=0.8)]
+
+
+def bands_meet(a, b):
+    return any(x & y for x in band_rows(a, False) for y in band_rows(b, True))
+
+
+def test_bands_find_the_worst_shapes_and_spare_the_unlike():
+    rng = np.random.default_rng(11)
+    found = {0.8: 0, 0.3: 0}
+    n = 400
+    for likeness in found:
+        for i in range(n):
+            x, y = rng.uniform(-170, 170), rng.uniform(-60, 60)
+            # sides at and near the least number of cells, and anywhere else
+            w, h = (float(ov.CELLS * 2.0**-14 * rng.choice([1.0, 1.001, 1.24, 1.26, 1.999])) if i % 2 else rng.uniform(0.01, 1.3) for _ in "wh")
+            kind = i % 4
+            if kind == 0:  # shifted along one side
+                d = w * (1 - likeness) / (1 + likeness)
+                other = (x + d, y, x + w + d, y + h)
+            elif kind == 1:  # shifted along both
+                z = 1 - (2 * likeness / (1 + likeness)) ** 0.5
+                other = (x + z * w, y + z * h, x + w + z * w, y + h + z * h)
+            elif kind == 2:  # inside the other
+                z = likeness**0.5
+                other = (x, y, x + z * w, y + z * h)
+            else:  # a wide and a tall one
+                z = (1 / likeness - 1) / 2
+                other = (x, y, x + w, y + h + z * h)
+                w += z * w
+            found[likeness] += bands_meet((x, y, x + w, y + h), other)
+    assert found[0.8] == n
+    assert found[0.3] < 0.2 * n
+
+
 def test_nulls_points_and_empty(spark):
     t = dt.datetime(2020, 1, 1)
     box = (1.0, 1.0, 2.0, 2.0, "r", "b")
@@ -59,5 +95,5 @@ def test_report_counts_samples_without_expanding_copies(spark):
         [(1, "Train", " A", ["2020-01-01"], [0.0, 0.0, 1.0, 1.0]), (2, "trn", "b", ["20200101T000000"], [0.0, 0.0, 1.0, 1.0]), (3, "valid", "A ", ["2020-01-01T23:00:00-01:00", "x"], [0.0, 0.0, 1.0, 0.9]), (4, "val", None, [], None), (5, "test", "a", None, [0.0, 0.0, 1.0, 1.0]), (6, "testing", "a", ["2020-01-01"], [0.0, 0.0, 1.0])],
         "sample_no long, split string, sample_source string, geotag_datetime array<string>, bbox array<double>",
     )
-    assert rows(ov.leaked_pairs(samples)) == [(1, 3), (2, 3)]
+    assert rows(ov.leaked_pairs(samples)) == rows(ov.leaked_pairs(samples, rows_per_salt=1)) == [(1, 3), (2, 3)]
     assert sorted(map(tuple, ov.leak_report(samples).collect()), key=str) == [("test", "a", 2, 0, 0), ("val", "a", 1, 1, 2), ("val", None, 1, 0, 0)]
