@@ -10,7 +10,8 @@ from terrafold.session import table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    got = survivors.item_survivors(table(spark, d, "stac_items"), fields=False, least=2)
+    """The survivors of acquisitions with several records; all their fields are voted on too, as in p2_survivors."""
+    got = survivors.item_survivors(table(spark, d, "stac_items"), least=2)
     return got.select(F.col("first_key").alias("first_rec_id"), F.col("survivor_key").alias("survivor_rec_id"))
 
 

@@ -2,9 +2,11 @@
 
 Values of a group are split into tokens and aligned progressively: the heaviest value starts a profile, every other
 one is aligned with it and adds its weight to the tokens of the columns it meets. Each column votes, and the existing
-value with the fewest token edits to the winning sequence is emitted. Equal values are counted and weighed together
-before anything is shuffled by group; a group with many different values is aligned in blocks whose profiles are then
-aligned with each other, level by level, so no task holds a whole group.
+value with the fewest token edits to the winning sequence is emitted. The columns a record is trusted by vote by trust:
+no number of lower tokens outweighs a higher one, and the record nearest to the winning tokens, column by column in
+their order, survives. A group of usual size is one row and is voted on in one place; in a large one equal values are
+counted and weighed together first and the others are aligned in blocks whose profiles are then aligned with each other,
+level by level, so no task holds a whole group.
 """
 
 from __future__ import annotations
@@ -14,15 +16,21 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrafold.functions.names import product_part, tile_code
 from terrafold.session import cut, salt_of
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[\W_]", re.UNICODE)
 
+#: Pairs of columns that are compared token by token; longer values are first cut at the tokens both have once.
+MOST_CELLS = 25_000_000
+
 Profile = list[dict[str, float]]
 
 
@@ -36,39 +44,114 @@ def _cost(column: dict[str, float], total: float, other: dict[str, float], other
     return 1.0 - sum(w * other.get(t, 0.0) for t, w in column.items()) / (total * other_total)
 
 
-def align(a: Profile, wa: float, b: Profile, wb: float) -> Profile:
-    """Two profiles with their weights as one; '' is the token of a gap."""
-    if len(a) == len(b):
-        costs = [_cost(x, wa, y, wb) for x, y in zip(a, b)]
-        if sum(costs) <= len(a) / 2:  # the usual case: the same form, some tokens differ
-            return [{t: x.get(t, 0.0) + y.get(t, 0.0) for t in {*x, *y}} for x, y in zip(a, b)]
-    gap_a = [_cost(x, wa, {"": wb}, wb) for x in a]
-    gap_b = [_cost(y, wb, {"": wa}, wa) for y in b]
-    best = [[0.0]]
-    for g in gap_b:
-        best[0].append(best[0][-1] + g)
+def _paths(a: Profile, wa: float, b: Profile, wb: float) -> list[tuple[int, int]]:
+    """Steps of an alignment of least cost, as (columns of a, columns of b) each 0 or 1; columns meet rather than gap."""
+    n, m = len(a), len(b)
+    gap_a = np.array([_cost(x, wa, {"": wb}, wb) for x in a])
+    gap_b = np.array([_cost(y, wb, {"": wa}, wa) for y in b])
+    at: dict[str, tuple[list[int], list[float]]] = {}
+    for j, y in enumerate(b):
+        for t, w in y.items():
+            js, ws = at.setdefault(t, ([], []))
+            js.append(j)
+            ws.append(w / (wa * wb))
+    held = {t: (np.array(js), np.array(ws)) for t, (js, ws) in at.items()}
+    so_far = np.concatenate([[0.0], np.cumsum(gap_b)])
+    best = so_far.copy()
+    step = np.empty((n, m), np.uint8)
     for i, x in enumerate(a):
-        row = [best[i][0] + gap_a[i]]
-        for j, y in enumerate(b):
-            row.append(min(best[i][j] + _cost(x, wa, y, wb), best[i][j + 1] + gap_a[i], row[j] + gap_b[j]))
-        best.append(row)
-    out: Profile = []
-    i, j = len(a), len(b)
+        cost = np.ones(m)
+        for t, w in x.items():
+            if t in held:
+                js, ws = held[t]
+                cost[js] -= w * ws
+        meet, skip = best[:-1] + cost, best[1:] + gap_a[i]
+        row = np.concatenate([[best[0] + gap_a[i]], np.minimum(meet, skip)])
+        row = np.minimum.accumulate(row - so_far) + so_far
+        step[i] = np.where(meet <= row[1:] + 1e-9, 0, np.where(skip <= row[1:] + 1e-9, 1, 2))
+        best = row
+    out = []
+    i, j = n, m
     while i or j:
-        x, y = {"": wa}, {"": wb}
-        if i and j and best[i][j] == best[i - 1][j - 1] + _cost(a[i - 1], wa, b[j - 1], wb):
-            i, j = i - 1, j - 1
-            x, y = a[i], b[j]
-        elif i and best[i][j] == best[i - 1][j] + gap_a[i - 1]:
-            i -= 1
-            x = a[i]
+        s = 1 if not j else 2 if not i else step[i - 1, j - 1]
+        i, j = i - (s != 2), j - (s != 1)
+        out.append((int(s != 2), int(s != 1)))
+    return out[::-1]
+
+
+def _anchors(a: Profile, b: Profile) -> list[tuple[int, int]]:
+    """Pairs of columns, rising on both sides, whose only token is in no other column of either side."""
+
+    def once(p: Profile) -> dict[str, int]:
+        seen: dict[str, int] = {}
+        for i, c in enumerate(p):
+            for t in c:
+                seen[t] = -1 if t in seen else i
+        return {t: i for t, i in seen.items() if i >= 0 and len(p[i]) == 1 and t}
+
+    x, y = once(a), once(b)
+    ends: list[int] = []
+    chain: list[list[tuple[int, int, int]]] = []
+    for i, j in sorted((x[t], y[t]) for t in x.keys() & y.keys()):
+        at = int(np.searchsorted(ends, j))
+        link = (i, j, len(chain[at - 1]) - 1 if at else -1)
+        if at == len(ends):
+            ends.append(j)
+            chain.append([link])
         else:
-            j -= 1
-            y = b[j]
-        out.append({t: x.get(t, 0.0) + y.get(t, 0.0) for t in {*x, *y}})
+            ends[at] = j
+            chain[at].append(link)
+    out = []
+    at = -1
+    for level in reversed(chain):
+        i, j, before = level[at]
+        out.append((i, j))
+        at = before
     return out[::-1]
 
 
+def _steps(a: Profile, wa: float, b: Profile, wb: float) -> list[tuple[int, int]]:
+    """Steps of an alignment. Columns both begin or end with, all of one token, meet: that is never worse than any other way."""
+    if len(a) == len(b):
+        costs = [_cost(x, wa, y, wb) for x, y in zip(a, b)]
+        # any other way has a gap on both sides
+        if not a or sum(costs) <= min(_cost(x, wa, {"": wb}, wb) for x in a) + min(_cost(y, wb, {"": wa}, wa) for y in b):
+            return [(1, 1)] * len(a)
+    same = lambda x, y: len(x) == 1 and x.keys() == y.keys()
+    short = min(len(a), len(b))
+    front = next((i for i in range(short) if not same(a[i], b[i])), short)
+    back = next((i for i in range(short - front) if not same(a[-1 - i], b[-1 - i])), short - front)
+    x, y = a[front : len(a) - back], b[front : len(b) - back]
+    if len(x) * len(y) <= MOST_CELLS:
+        inner = _paths(x, wa, y, wb) if x and y else [(1, 0)] * len(x) + [(0, 1)] * len(y)
+    else:
+        inner = []
+        i = j = 0
+        for u, v in [*_anchors(x, y), (len(x), len(y))]:
+            p, q = x[i:u], y[j:v]
+            inner += _paths(p, wa, q, wb) if p and q and len(p) * len(q) <= MOST_CELLS else [(1, 0)] * len(p) + [(0, 1)] * len(q)
+            i, j = u, v
+            if u < len(x):
+                inner.append((1, 1))
+                i, j = u + 1, v + 1
+    return [(1, 1)] * front + inner + [(1, 1)] * back
+
+
+def align(a: Profile, wa: float, b: Profile, wb: float) -> Profile:
+    """Two profiles with their weights as one, aligned at least cost; '' is the token of a gap.
+
+    Only profiles of more than MOST_CELLS pairs of unlike columns are not compared whole: they meet at the columns that
+    both have once, and what lies between two of these is compared if it is below that size, else laid side by side.
+    """
+    out: Profile = []
+    i = j = 0
+    for u, v in _steps(a, wa, b, wb):
+        x, y = a[i] if u else {"": wa}, b[j] if v else {"": wb}
+        out.append({t: x.get(t, 0.0) + y.get(t, 0.0) for t in {*x, *y}})
+        i, j = i + u, j + v
+    return out
+
+
 def progressive(items: list[tuple[Profile, float]]) -> tuple[Profile, float]:
     """Aligns profiles one after the other, the heaviest first; ties by content, so the order given doesn't matter."""
     items = sorted(items, key=lambda it: (-it[1], json.dumps(it[0], sort_keys=True)))
@@ -86,15 +169,57 @@ def vote(profile: Profile) -> list[str]:
 
 
 def edits(a: list[str], b: list[str]) -> int:
-    """Token insertions, deletions and replacements between two sequences."""
-    if a == b:
-        return 0
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    """Token insertions, deletions and replacements between two sequences; the time grows with length times edits."""
+    short = min(len(a), len(b))
+    front = next((i for i in range(short) if a[i] != b[i]), short)
+    back = next((i for i in range(short - front) if a[-1 - i] != b[-1 - i]), short - front)
+    a, b = a[front : len(a) - back], b[front : len(b) - back]
+    if not a or not b:
+        return len(a) + len(b)
+    if len(a) * len(b) <= 2000:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+    ids: dict[str, int] = {}
+    x, y = (np.array([ids.setdefault(t, len(ids)) for t in s]) for s in (a, b))
+    n, m = len(x), len(y)
+    band = 64
+    while True:
+        # cells at most ``band`` off the diagonal; a result within the band can't be beaten from outside
+        far = n + m
+        row = np.where(np.arange(m + 1) <= band, np.arange(m + 1), far)
+        for i in range(1, n + 1):
+            lo, hi = max(1, i - band), min(m, i + band)
+            if lo > hi:
+                break
+            here = np.minimum(row[lo - 1 : hi] + (y[lo - 1 : hi] != x[i - 1]), row[lo : hi + 1] + 1)
+            before = i if lo == 1 else far
+            seq = np.arange(lo - 1, hi + 1)
+            here = np.minimum.accumulate(np.concatenate([[before], here]) - seq) + seq
+            row[lo - 1 : hi + 1] = here
+            if lo > 1:
+                row[lo - 1] = far
+            if hi < m:
+                row[hi + 1] = far
+        if abs(n - m) <= band and row[m] <= band or band >= max(n, m):
+            return int(row[m])
+        band *= 2
+
+
+def consensus(weights: dict[str, float]) -> str:
+    """Of values and their weights the one closest to the token consensus; ties to the heavier, then the smaller text.
+
+    A value with more than half of the weight wins every column of any alignment, so it needs none.
+    """
+    top = min(weights, key=lambda v: (-weights[v], v))
+    if 2 * weights[top] > sum(weights.values()):
+        return top
+    profile, _ = progressive([([{t: w} for t in tokens(v)], w) for v, w in weights.items()])
+    won = vote(profile)
+    return min(weights, key=lambda v: (edits(tokens(v), won), -weights[v], v))
 
 
 def _merge_blocks(df: DataFrame, first: bool) -> DataFrame:
@@ -122,9 +247,10 @@ def consensus_values(votes: DataFrame, *, block_size: int = 128) -> DataFrame:
     """
     votes = votes.where(F.col("g").isNotNull() & F.col("value").isNotNull() & (F.col("w") > 0))
     distinct = cut(votes.groupBy("g", "col", "value").agg(F.sum("w").alias("w")))
-    per = distinct.groupBy("g", "col").agg(F.count("*").alias("n"), F.max("value").alias("only"))
-    alone = per.where("n = 1").select("g", "col", F.col("only").alias("value"))
-    several = per.where("n > 1").select("g", "col", F.ceil(F.col("n") / block_size).cast("int").alias("blocks"))
+    per = distinct.groupBy("g", "col").agg(F.count("*").alias("n"), F.sum("w").alias("whole"), F.max(F.struct("w", "value")).alias("top"))
+    clear = 2 * F.col("top.w") > F.col("whole")
+    alone = per.where(clear).select("g", "col", F.col("top.value").alias("value"))
+    several = cut(per.where(~clear).select("g", "col", F.ceil(F.col("n") / block_size).cast("int").alias("blocks")))
     rows = distinct.join(several, ["g", "col"]).withColumn("block", salt_of(F.col("value"), F.col("blocks")))
     level = rows.withColumnRenamed("value", "item")
     most = several.agg(F.max("blocks")).first()[0] or 0
@@ -160,38 +286,76 @@ def consensus_values(votes: DataFrame, *, block_size: int = 128) -> DataFrame:
     return alone.unionByName(best)
 
 
-def survivors(records: DataFrame, *, group: Column, key: Column, trust: list[Column], fields: dict[str, Column] | None = None, weight: Column | None = None, least: int = 2) -> DataFrame:
+def _vote_groups(packed: DataFrame, n_trust: int, fields: list[str]) -> DataFrame:
+    """Groups of whole records, one row each, voted on: survivor and fields."""
+    schema = T.StructType([packed.schema["g"], packed.schema["n_records"], packed.schema["first_key"], T.StructField("survivor_key", packed.schema["first_key"].dataType), *[T.StructField(f, T.StringType()) for f in fields]])
+
+    def nearest(keys: list, trust: list[list]) -> object:
+        """The smallest key of the records that, column by column, are nearest to the highest token of each column."""
+        left = range(len(keys))
+        for column in trust:
+            top = max((column[i] for i in left if column[i] is not None), default=None)
+            left = [i for i in left if column[i] == top]
+        return min((keys[i] for i in left if keys[i] is not None), default=None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("recs")
+            cols = [c.to_pylist() for c in lists.flatten().flatten()]
+            keys, weight, trust, values = cols[0], cols[1], cols[2 : 2 + n_trust], cols[2 + n_trust :]
+            ends = np.cumsum([len(x) if x is not None else 0 for x in lists]).tolist() if b.num_rows else []
+            kept, out = [], [[] for _ in fields]
+            start = 0
+            for end in ends:
+                kept.append(nearest(keys[start:end], [t[start:end] for t in trust]))
+                for o, column in zip(out, values):
+                    weights: dict[str, float] = {}
+                    for v, w in zip(column[start:end], weight[start:end]):
+                        if v is not None and w is not None and w > 0:
+                            weights[v] = weights.get(v, 0.0) + w
+                    o.append(consensus(weights) if weights else None)
+                start = end
+            same = [b.column(c) for c in ("g", "n_records", "first_key")]
+            arrays = [*same, pa.array(kept, same[2].type), *[pa.array(o, pa.string()) for o in out]]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return packed.mapInArrow(run, schema)
+
+
+def survivors(records: DataFrame, *, group: Column, key: Column, trust: list[Column], fields: dict[str, Column] | None = None, weight: Column | None = None, least: int = 2, block_size: int = 128) -> DataFrame:
     """One row for each group of at least ``least`` records: g, n_records, first_key, survivor_key and the fields.
 
-    ``trust`` are the columns a record is trusted by, the most important first, higher is better, nulls last; the
-    trust signature is a column of the vote like any other, in which the highest one outweighs all others together,
-    so the consensus is that signature and the survivor is the record with the smallest key that has it. Every field
-    gets the existing value closest to the consensus of the group's values, each record voting with ``weight`` (1 if
-    not given); all-null fields are null. Records of a null group belong to no group; null keys don't survive.
-    Repeated records vote repeatedly. All values are compared as text.
+    ``trust`` are the columns a record is trusted by, the most important first, higher is better, nulls last. Their votes
+    weigh by trust, so a column's consensus is its highest value among the records that agree with the columns before it;
+    the survivor is the record with the smallest key among those that have all of them. Every field gets the existing
+    value closest to the consensus of the group's values, each record voting with ``weight`` (1 if not given; exact if
+    whole numbers); all-null fields are null. Records of a null group belong to no group; null keys don't survive.
+    Repeated records vote repeatedly. All values are compared as text. Groups of more than ``block_size`` records are
+    voted on by value instead of by record, with the same result up to ``block_size`` values that differ in a column.
     """
-    pad = lambda c: F.when(c.isNull(), "-").otherwise(c.cast("string"))
-    # "rank" orders signatures as tuples do; the text stands for it in the vote
-    rank = F.struct(*[F.struct(c.isNotNull().alias("has"), c.alias("v")).alias(f"t{i}") for i, c in enumerate(trust)])
+    names = [f"f_{n}" for n in fields or {}]
     base = records.select(
-        group.cast("string").alias("g"), key.alias("k"), rank.alias("rank"), F.concat_ws(" ", *[pad(c) for c in trust]).alias("sig"), (weight if weight is not None else F.lit(1.0)).cast("double").alias("weight"),
+        group.cast("string").alias("g"), key.alias("k"), (weight if weight is not None else F.lit(1.0)).cast("double").alias("weight"), *[c.alias(f"t{i}") for i, c in enumerate(trust)],
         *[c.cast("string").alias(f"f_{name}") for name, c in (fields or {}).items()],
     ).where("g IS NOT NULL")
     base = cut(base)
-    groups = base.groupBy("g").agg(F.count("*").alias("n_records"), F.min("k").alias("first_key"), F.max_by("sig", "rank").alias("top")).where(F.col("n_records") >= least)
-    sigs = base.groupBy("g", "sig").agg(F.count("*").alias("n")).join(groups, "g")
-    votes = sigs.select("g", F.lit("sig").alias("col"), F.col("sig").alias("value"), (F.when(F.col("sig") == F.col("top"), F.col("n_records")).otherwise(0) + F.col("n")).cast("double").alias("w"))
-    if fields:
-        stack = F.inline(F.array(*[F.struct(F.lit(f"f_{n}").alias("col"), F.col(f"f_{n}").alias("value")) for n in fields]))
-        votes = votes.unionByName(base.select("g", stack, F.col("weight").alias("w")))
-    chosen = consensus_values(votes)
-    sig = chosen.where("col = 'sig'").select("g", F.col("value").alias("sig"))
-    who = base.join(sig, ["g", "sig"]).groupBy("g").agg(F.min("k").alias("survivor_key"))
-    out = groups.drop("top").join(who, "g")
+    groups = cut(base.groupBy("g").agg(F.count("*").alias("n_records"), F.min("k").alias("first_key")).where(F.col("n_records") >= least))
+    cells = F.struct("k", "weight", *[f"t{i}" for i in range(len(trust))], *names)
+    packed = base.join(groups.where(F.col("n_records") <= block_size), "g").groupBy("g", "n_records", "first_key").agg(F.collect_list(cells).alias("recs"))
+    out = _vote_groups(packed, len(trust), names).withColumnsRenamed({f"f_{n}": n for n in fields or {}})
+    large = groups.where(F.col("n_records") > block_size)
+    if large.isEmpty():
+        return out
+    rows = base.join(large.select("g"), "g")
+    rank = F.struct(*[F.struct(F.col(f"t{i}").isNotNull().alias("has"), F.col(f"t{i}").alias("v")).alias(f"t{i}") for i in range(len(trust))])
+    who = rows.groupBy("g", rank.alias("rank")).agg(F.min("k").alias("k")).groupBy("g").agg(F.max_by("k", "rank").alias("survivor_key"))
+    rest = large.join(who, "g")
     if fields:
-        wide = chosen.where("col <> 'sig'").groupBy("g").agg(*[F.max(F.when(F.col("col") == f"f_{n}", F.col("value"))).alias(n) for n in fields])
-        out = out.join(wide, "g", "left")
-    return out
+        stack = F.inline(F.array(*[F.struct(F.lit(n).alias("col"), F.col(f"f_{n}").alias("value")) for n in fields]))
+        chosen = consensus_values(rows.select("g", stack, F.col("weight").alias("w")), block_size=block_size)
+        wide = chosen.groupBy("g").agg(*[F.max(F.when(F.col("col") == n, F.col("value"))).alias(n) for n in fields])
+        rest = rest.join(wide, "g", "left")
+    return out.unionByName(rest)
 
 
 def acquisition_parts(items: DataFrame) -> dict[str, Column]:
@@ -208,7 +372,7 @@ def acquisition_parts(items: DataFrame) -> dict[str, Column]:
     }
 
 
-def item_survivors(items: DataFrame, *, fields: bool = True, least: int = 1) -> DataFrame:
+def item_survivors(items: DataFrame, *, least: int = 1) -> DataFrame:
     """Survivors of stac_items records by acquisition: the best record and, field by field, the best values.
 
     The fields are all columns of stac_items but rec_id, as text, arrays as JSON text. A column the table lacks is left
@@ -234,5 +398,5 @@ def item_survivors(items: DataFrame, *, fields: bool = True, least: int = 1) ->
         "ingested_at": F.col("ingested_at"),
     }
     cols = {name: c for name, c in cols.items() if name in items.columns}
-    weight = (1 + p["complete"]) * (1 + F.coalesce(p["baseline"], F.lit(0)) / 1000.0)
-    return survivors(items, group=p["group"], key=F.col("rec_id"), trust=[p["baseline"], p["generation"], p["complete"]], fields=cols if fields else None, weight=weight, least=least)
+    weight = (1 + p["complete"]) * (1000 + F.coalesce(p["baseline"], F.lit(0)))
+    return survivors(items, group=p["group"], key=F.col("rec_id"), trust=[p["baseline"], p["generation"], p["complete"]], fields=cols, weight=weight, least=least)

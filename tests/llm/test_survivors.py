@@ -23,6 +23,66 @@ def test_every_column_holds_the_whole_weight(texts):
     assert w == len(texts) and all(abs(sum(c.values()) - w) < 1e-9 for c in p)
 
 
+def plain_align(a, wa, b, wb):
+    """The whole table of an alignment, nothing trimmed."""
+    cost = lambda x, y: 1 - sum(w * y.get(t, 0) for t, w in x.items()) / (wa * wb)
+    best = {(0, 0): 0.0}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            ways = [best[i - 1, j - 1] + cost(a[i - 1], b[j - 1])] if i and j else []
+            ways += [best[i - 1, j] + cost(a[i - 1], {"": wb})] if i else []
+            ways += [best[i, j - 1] + cost({"": wa}, b[j - 1])] if j else []
+            if ways:
+                best[i, j] = min(ways)
+    return best[len(a), len(b)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("ab-1 ", max_size=9), min_size=2, max_size=5), st.text("ab-1 ", max_size=9))
+def test_alignments_cost_no_more_than_the_whole_table(texts, last):
+    p, wa = sv.progressive([([{t: 1.0} for t in sv.tokens(s)], 1.0) for s in texts])
+    q, wb = [{t: 2.0} for t in sv.tokens(last)], 2.0
+    cost = lambda x, y: 1 - sum(w * y.get(t, 0) for t, w in x.items()) / (wa * wb)
+    i = j = 0
+    spent = 0.0
+    for u, v in sv._steps(p, wa, q, wb):
+        spent += cost(p[i] if u else {"": wa}, q[j] if v else {"": wb})
+        i, j = i + u, j + v
+    assert (i, j) == (len(p), len(q)) and abs(spent - plain_align(p, wa, q, wb)) < 1e-6
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.text("ab-1", max_size=7), st.integers(1, 4), min_size=1, max_size=6))
+def test_a_majority_needs_no_alignment(weights):
+    profile, _ = sv.progressive([([{t: float(w)} for t in sv.tokens(v)], float(w)) for v, w in weights.items()])
+    won = sv.vote(profile)
+    assert sv.consensus(weights) == min(weights, key=lambda v: (sv.edits(sv.tokens(v), won), -weights[v], v))
+
+
+def test_long_values_are_compared_whole():
+    import random
+
+    r = random.Random(5)
+    a = [r.choice("abcd") for _ in range(700)]
+    b = a[:100] + ["x"] * 90 + a[100:350] + a[420:]
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    assert sv.edits(a, b) == row[-1] and sv.edits(b, a) == row[-1] and sv.edits(a, ["q"] * 3) == 700
+    words = [f"w{i}" for i in range(8000)]
+    long = {" ".join(words): 1.0, " ".join(["new", *words[50:], "end"]): 1.0, " ".join(words[:4000] + words[4100:]): 1.0}
+    assert sv.consensus(long) in long
+
+
+def test_large_groups_give_the_same_as_small_ones(spark):
+    data = [(i, f"g{i % 3}", i % 4, None if i % 5 else i % 7, f"a {i % 6} b" if i % 2 else f"a {i % 3} c") for i in range(90)]
+    df = spark.createDataFrame(data, "k int, sig string, base int, gen int, value string")
+    get = lambda n: rows(sv.survivors(df, group=F.col("sig"), key=F.col("k"), trust=[F.col("base"), F.col("gen")], fields={"value": F.col("value")}, block_size=n))
+    assert get(128) == get(20) and len(get(20)) == 3
+
+
 def test_consensus_picks_an_existing_value_in_blocks_too(spark):
     votes = [("g", "c", f"red {i} fox", 1.0) for i in range(40)] + [("g", "c", "red 7 fox", 3.0), ("g", "c", "blue", 1.0), ("g", "d", None, 1.0), (None, "c", "x", 1.0), ("h", "c", "one", 1.0), ("h", "c", "one", 1.0), ("k", "c", "", 1.0), ("k", "c", "z" * 50_000, 0.5), ("k", "c", "zero", 0.0)]
     df = spark.createDataFrame(votes, "g string, col string, value string, w double")
