@@ -3,10 +3,14 @@
 Numbers, names and units of a text are replaced by typed placeholders. Windows of the resulting templates are hashed
 and joined between items and documents. A window pair is exact if its words agree, and re-parameterised if the words
 behind the placeholders differ by a consistent exchange: each value of the item always stands for one and the same
-value of the document, over all windows of the pair at one distance. Which placeholder a word gets depends on the
-word alone, without regard to case, so equal words always have equal templates and no exact passage can be missed.
-Names are known from the items only, so their places are left out of the key: documents look up their windows without
-the places of every form (mask) the items' windows have, and any word but a number or a unit may stand in for a name.
+value of the document, over all windows of the pair at one distance.
+
+Placeholders go by shape: a word with a digit, or one of the fixed number words, is a number; the word behind a number
+is its unit; a word no item ever writes without a capital is a name or might be one, whoever writes it how. So a
+window's template depends on its words alone, whatever their case, equal words have equal templates and no exact passage
+is missed. Windows with capitals have a second template, in which every word with a capital is a name, for names that
+are plain words elsewhere. A window has twelve words, or as many more as it takes to hold five literals; if its first
+twelve hold fewer, they are looked up with the values of their placeholders too, so that copies of them are found.
 """
 
 from __future__ import annotations
@@ -17,39 +21,37 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.session import cut, salt_of
+from terrafold.session import cut
 
 _WORD = re.compile(r"[^\W_]+")
-_MEASURE = re.compile(r"\d+([^\W\d_]+)")
+_DIGIT = re.compile(r"\d")
 
-#: Fixed word lists: numbers and units that get a placeholder.
-NUMBER_WORDS = """
+#: Fixed word list: numbers written out.
+NUMBER_WORDS = frozenset(
+    """
 zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen
 twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million
 null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend
 cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce quince veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien mil
 """.split()
-UNIT_WORDS = """
-m km cm mm metre metres meter meters kilometre kilometres kilometer kilometers foot feet mile miles hectare hectares ha acre acres
-percent percentage degree degrees second seconds minute minutes hour hours day days week weeks month months year years season seasons
-kg g gram grams tonne tonnes ton tons litre litres liter liters unit units count counts credit credits pixel pixels
-prozent grad sekunden minuten stunden tage wochen monate jahre hektar metros kilómetros grados segundos minutos horas días semanas meses años hectáreas
-""".split()
+)
+
+#: Least words of a window, and least literals of a template.
+WINDOW, LITERALS = 12, 5
 
-#: Words of a window; literals a template window needs, else its words themselves are its key.
-WINDOW, LEAST_LITERALS = 12, 5
+_NUMBER, _UNIT, _NAME = (np.uint64(xxhash.xxh64_intdigest("\0" + k)) for k in ("number", "unit", "name"))
+_IS_NAME, _IS_LITERAL, _IS_NUMBER = 0, 1, 2
+_EXACT = np.uint64(0x5851F42D4C957F2D)
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = [np.uint64(pow(int(_BASE), WINDOW - 1 - j, 1 << 64)) for j in range(WINDOW)]
-_NUMBER, _UNIT, _NAME = (xxhash.xxh64_intdigest("\0" + k) for k in ("number", "unit", "name"))
-_MASKED, _TYPED = np.uint64(0xD6E8FEB86659FD93), np.array([_NUMBER, _UNIT], np.uint64)
-_UNITS = frozenset(UNIT_WORDS)
+#: Words of a document whose windows are hashed at once.
+_CHUNK = 1 << 16
 
-#: Windows of a document that are hashed at once.
-_CHUNK = 1 << 15
+#: Probes and bits a key of the bit table that documents are looked up in, and the most bits it may have: 256 MB.
+PROBES, BITS_PER_KEY, MOST_BITS = 4, 16, 1 << 31
 
 
 def words_of(text: str) -> list[str]:
@@ -57,238 +59,243 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def capitals(text: str) -> tuple[set[str], set[str]]:
-    """(words written with a capital inside a sentence, words written without one), in lower case."""
-    capital, plain = set(), set()
-    begins, at = True, 0
-    for m in _WORD.finditer(text):
-        begins = begins or any(c in ".?!:\n" for c in text[at : m.start()])
-        if not m[0][:1].isupper():
-            plain.add(m[0].lower())
-        elif not begins:
-            capital.add(m[0].lower())
-        begins, at = False, m.end()
-    return capital, plain
+def capitals_of(text: str, n: int) -> np.ndarray:
+    """Which of a text's n words begin with a capital; none if lower case changes the number of words."""
+    words = _WORD.findall(text)
+    return np.fromiter((w[0].isupper() for w in words), bool, n) if len(words) == n else np.zeros(n, bool)
 
 
-def item_names(items: DataFrame, most: int) -> frozenset[str]:
-    """Words that the items write with a capital inside a sentence and never without one; more than ``most`` are an error.
+class Powers:
+    """Powers of an odd base modulo 2^64 and of its inverse, as many as were asked for."""
 
-    Names only widen what counts as re-parameterised; exact passages are found whatever the list holds.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [capitals(t or "") for t in pdf["text"]]
-            rows = [(w, 0) for c, _ in found for w in c] + [(w, 1) for _, p in found for w in p]
-            yield pd.DataFrame(rows, columns=["word", "plain"]).drop_duplicates()
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
 
-    seen = items.select("text").mapInPandas(run, "word string, plain int").groupBy("word").agg(F.max("plain").alias("plain"))
-    names = frozenset(r["word"] for r in seen.where("plain = 0").select("word").limit(most + 1).collect())
-    if len(names) > most:
-        raise ValueError(f"the items have more than {most} names")
-    return names
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            base = 0x9E3779B97F4A7C15
+            with np.errstate(over="ignore"):
+                self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, b, np.uint64)]), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
+        return self.up[:n], self.down[:n]
 
 
 class Templates:
-    """Word hashes and template hashes of texts. Holds the words it has seen, up to a bound in characters, for speed only."""
+    """Hashes of words, what stands for them in a template, and their kind. Holds the words it has seen, up to a bound in characters, for speed only."""
 
-    def __init__(self, names: frozenset[str], most: int = 5_000_000) -> None:
-        self.fixed = {**dict.fromkeys(names, _NAME), **dict.fromkeys(UNIT_WORDS, _UNIT), **dict.fromkeys(NUMBER_WORDS, _NUMBER)}
-        self.most = most
+    def __init__(self, literals: np.ndarray, most: int = 5_000_000) -> None:
+        self.literals, self.most = literals, most
         self._reset()
 
     def _reset(self) -> None:
         self.ids: dict[str, int] = {}
         self.held = 0
-        self.exact, self.template = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
+        self.exact, self.template, self.kind = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64), np.zeros(1024, np.uint8)
 
     def _id(self, word: str) -> int:
         i = len(self.ids)
         self.ids[word] = i
         self.held += len(word) + 16
         if i == len(self.exact):
-            self.exact, self.template = np.concatenate([self.exact, np.zeros_like(self.exact)]), np.concatenate([self.template, np.zeros_like(self.template)])
-        own = xxhash.xxh64_intdigest(word)
+            self.exact, self.template, self.kind = (np.concatenate([a, np.zeros_like(a)]) for a in (self.exact, self.template, self.kind))
+        own = np.uint64(xxhash.xxh64_intdigest(word))
         self.exact[i] = own
-        measure = _MEASURE.fullmatch(word)
-        self.template[i] = _NUMBER if word.isdigit() or (measure and measure[1] in _UNITS) else self.fixed.get(word, own)
+        if word in NUMBER_WORDS or _DIGIT.search(word):
+            self.template[i], self.kind[i] = _NUMBER, _IS_NUMBER
+        else:
+            at = int(np.searchsorted(self.literals, own))
+            known = at < len(self.literals) and self.literals[at] == own
+            self.template[i], self.kind[i] = (own, _IS_LITERAL) if known else (_NAME, _IS_NAME)
         return i
 
-    def hashes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the words themselves and of what stands for them in a template."""
+    def hashes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes of the words themselves, of what stands for them, kinds)."""
         if self.held > self.most:
             self._reset()
         get, new = self.ids.get, self._id
         ids = np.fromiter((i if (i := get(w)) is not None else new(w) for w in words), np.int64, len(words))
-        return self.exact[ids], self.template[ids]
+        return self.exact[ids], self.template[ids], self.kind[ids]
 
 
-def _windows(exact: np.ndarray, template: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """(terms, sums, keys, few) of all windows of at least WINDOW words: a template's hash is the sum of its terms, and the key but where it has few literals."""
-    n = len(exact) - WINDOW + 1
-    with np.errstate(over="ignore"):
-        terms = [template[j : n + j] * p for j, p in enumerate(_POWERS)]
-        t = np.sum(terms, axis=0, dtype=np.uint64)
-        same = np.concatenate([[0], np.cumsum(exact == template)])
-        few = same[WINDOW:] - same[:-WINDOW] < LEAST_LITERALS
-        keys = t.copy()
-        if few.any():
-            e = np.zeros(n, np.uint64)
-            for j, p in enumerate(_POWERS):
-                e += exact[j : n + j] * p
-            keys[few] = e[few] ^ np.uint64(0x5851F42D4C957F2D)
-    return terms, t, keys, few
-
-
-def item_keys(exact: np.ndarray, template: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, mask) of all windows of an item; bit j of a mask is set if word j is a name that is left out of the key."""
-    if len(exact) < WINDOW:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    terms, t, keys, few = _windows(exact, template)
-    mask = np.zeros(len(keys), np.int64)
-    with np.errstate(over="ignore"):
-        for j, term in enumerate(terms):
-            name = (template[j : len(keys) + j] == np.uint64(_NAME)) & ~few
-            mask[name] |= 1 << j
-            t[name] -= term[name]
-        named = mask > 0
-        keys[named] = t[named] ^ mask[named].astype(np.uint64) * _MASKED
-    return keys, mask
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    return x ^ (x >> np.uint64(29))
 
 
-def wanted_windows(exact: np.ndarray, template: np.ndarray, masks: list[int], kept: np.ndarray, find) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, keys) of a document's windows whose key ``find`` knows, as they are and under each mask.
+def window_ends(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(end of the window that begins at each word, which words are units); an end beyond the text means no window.
 
-    ``kept`` are the sorted template hashes of the items' windows with names. A window with fewer words of these than
-    any mask leaves in the key can't agree under one, which spares nearly all windows the masks.
+    The first word of a window is never a unit, as the word before it is not in the window.
     """
-    least = min((WINDOW - m.bit_count() for m in masks), default=0)
-    for at in range(0, len(exact) - WINDOW + 1, _CHUNK):
-        end = at + _CHUNK + WINDOW - 1
-        terms, t, keys, _ = _windows(exact[at:end], template[at:end])
-        hit = find(keys)
-        if len(hit):
-            yield hit + at, keys[hit]
-        if not masks:
-            continue
-        part = template[at:end]
-        known = kept[np.minimum(np.searchsorted(kept, part), len(kept) - 1)] == part
-        known = np.concatenate([[0], np.cumsum(known)])
-        near = np.flatnonzero(known[WINDOW:] - known[:-WINDOW] >= least)
-        if not len(near):
-            continue
-        t, terms = t[near], [term[near] for term in terms]
-        for m in masks:
-            places = [j for j in range(WINDOW) if m >> j & 1]
-            with np.errstate(over="ignore"):
-                k = t - terms[places[0]]
-                for j in places[1:]:
-                    k -= terms[j]
-                k ^= np.uint64(m) * _MASKED
-            hit = find(k)
-            for j in places:
-                if len(hit):
-                    hit = hit[~np.isin(template[at + near[hit] + j], _TYPED)]
-            if len(hit):
-                yield near[hit] + at, k[hit]
+    n = len(kind)
+    number = kind == _IS_NUMBER
+    unit = np.concatenate([[False], number[:-1]]) & ~number
+    literal = (kind == _IS_LITERAL) & ~unit
+    places = np.append(np.flatnonzero(literal), n)
+    last = np.cumsum(literal) + LITERALS - 1 - (kind == _IS_LITERAL)
+    end = np.maximum(np.arange(n) + WINDOW, places[np.minimum(last, len(places) - 1)] + 1)
+    return end, unit
+
+
+def text_keys(exact: np.ndarray, template: np.ndarray, kind: np.ndarray, capital: np.ndarray, longest: int, powers: Powers) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(starts, ends, keys) of all windows of a text of at most ``longest`` words."""
+    capital = capital & (kind == _IS_LITERAL)
+    for at in range(0, max(0, len(exact) - WINDOW + 1), _CHUNK):
+        part = slice(at, at + _CHUNK + longest)
+        up, down = powers.get(len(exact[part]) + 1)
+        forms = [(template[part], kind[part], None)]
+        if capital[part].any():
+            c = capital[part]
+            forms.append((np.where(c, _NAME, template[part]), np.where(c, np.uint8(_IS_NAME), kind[part]), np.concatenate([[0], np.cumsum(c)])))
+        with np.errstate(over="ignore"):
+            for t, k, changed in forms:
+                n = len(t)
+                end, unit = window_ends(k)
+                here = np.where(unit, _UNIT, t)
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(here * up[:n], dtype=np.uint64)])
+                start = np.flatnonzero((end <= n) & (end - np.arange(n) <= longest))
+                start = start[start < _CHUNK]
+                if changed is not None:
+                    start = start[changed[end[start]] > changed[start]]
+                stop = end[start]
+                key = (sums[stop] - sums[start]) * down[start] - here[start] + t[start]
+                yield start + at, stop + at, _mixed(key + (stop - start).astype(np.uint64))
+                if changed is None:
+                    start = np.flatnonzero(end[: max(0, n - WINDOW + 1)] != np.arange(max(0, n - WINDOW + 1)) + WINDOW)
+                    start = start[start < _CHUNK]
+                    sums = np.concatenate([[np.uint64(0)], np.cumsum(exact[part] * up[:n], dtype=np.uint64)])
+                    yield start + at, start + at + WINDOW, _mixed(((sums[start + WINDOW] - sums[start]) * down[start]) ^ _EXACT)
+
+
+def _bits(keys: np.ndarray, n_bits: int) -> list[np.ndarray]:
+    """The bits of each key in a table of n_bits, a power of two."""
+    step = (keys >> np.uint64(32)) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        return [((keys + step * np.uint64(j)) & np.uint64(n_bits - 1)).astype(np.int64) for j in range(PROBES)]
 
 
-_WINDOWS = "id long, pos int, key long, mask int, words string"
+def key_table(keys: DataFrame, n: int) -> np.ndarray:
+    """Bit table of n distinct keys, built in chunks by the executors. Keys beyond its greatest size only make it spare less."""
+    n_bits = min(MOST_BITS, 1 << max(19, int(n * BITS_PER_KEY).bit_length()))
+    chunk = 19
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = np.unique(np.concatenate(_bits(pdf["key"].to_numpy(np.int64).view(np.uint64), n_bits)))
+            yield pd.DataFrame({"chunk": (at >> chunk).astype(np.int32), "at": at & ((1 << chunk) - 1)})
+
+    def filled(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << chunk, np.uint8)
+        bits[pdf["at"].to_numpy()] = 1
+        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    table = np.zeros(n_bits >> 3, np.uint8)
+    size = 1 << (chunk - 3)
+    for r in keys.mapInPandas(places, "chunk int, at long").distinct().groupBy("chunk").applyInPandas(filled, "chunk int, bits binary").collect():
+        table[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return table
+
+
+def table_hits(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of the keys that may be in the table: all that are, and few others."""
+    at = np.arange(len(keys))
+    step = (keys >> np.uint64(32)) | np.uint64(1)
+    mask = np.uint64(len(table) * 8 - 1)
+    for j in range(PROBES):
+        with np.errstate(over="ignore"):
+            bit = ((keys[at] + step[at] * np.uint64(j)) & mask).astype(np.int64)
+        at = at[(table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0]
+        if not len(at):
+            break
+    return at
+
+
+def literal_words(items: DataFrame) -> np.ndarray:
+    """Sorted hashes of the words that items write without a capital; 8 bytes for each word of the items' vocabulary."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            words = {w.lower() for t in pdf["text"] if t for w in set(_WORD.findall(t)) if not w[0].isupper()}
+            yield pd.DataFrame({"word": np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64).view(np.int64)})
+
+    found = items.select("text").mapInPandas(run, "word long").distinct().toPandas()["word"].to_numpy(np.int64)
+    return np.sort(found.view(np.uint64))
 
 
-def text_windows(texts: DataFrame, names: frozenset[str], wanted=None) -> DataFrame:
-    """(id, pos, key, mask, words) of the windows of (id, text) rows; with ``wanted``, a broadcast of sorted keys, masks and words of windows with names, only of these.
+_WINDOWS = "id long, pos int, n int, key long, words string"
 
-    Null ids and texts have no windows. Every window of a whole text is looked up. Only items' windows state their mask.
+
+def text_windows(texts: DataFrame, literals: Broadcast, longest: int | None = None, table: Broadcast | None = None) -> DataFrame:
+    """(id, pos, n, key, words) of the windows of (id, text) rows; with a table only those that may be in it.
+
+    Null ids and texts have no windows. Every window of a whole text is looked up, but for those longer than ``longest``.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        templates = Templates(names)
-        look, masks, named = wanted.value if wanted is not None else (None, [], [])
-        kept = np.unique(templates.hashes(named)[1])
-        if look is not None:
-            # a first look in a bit table spares most searches
-            table = np.zeros(1 << 20, bool)
-            table[(look >> np.uint64(44)).astype(np.int64)] = True
-
-        def find(key: np.ndarray) -> np.ndarray:
-            hit = np.flatnonzero(table[(key >> np.uint64(44)).astype(np.int64)])
-            if len(hit):
-                where = np.minimum(np.searchsorted(look, key[hit]), len(look) - 1)
-                hit = hit[look[where] == key[hit]]
-            return hit
-
+        templates, powers = Templates(literals.value), Powers()
         for pdf in batches:
-            ids, at, keys, forms, said = [], [], [], [], []
+            ids, at, size, keys, said = [], [], [], [], []
             for i, text in zip(pdf["id"], pdf["text"]):
                 if text is None or pd.isna(i):
                     continue
                 words = words_of(text)
-                exact, template = templates.hashes(words)
-                if look is None:
-                    key, mask = item_keys(exact, template)
-                    found = [(np.arange(len(key)), key, mask)]
-                else:
-                    found = [(p, k, np.zeros(len(p), np.int64)) for p, k in wanted_windows(exact, template, masks, kept, find)]
-                for places, key, mask in found:
-                    for p in places.tolist():
+                if len(words) < WINDOW:
+                    continue
+                for starts, ends, key in text_keys(*templates.hashes(words), capitals_of(text, len(words)), longest or len(words), powers):
+                    if table is not None:
+                        hit = table_hits(table.value, key)
+                        starts, ends, key = starts[hit], ends[hit], key[hit]
+                    for a, b in zip(starts.tolist(), ends.tolist()):
                         ids.append(i)
-                        at.append(p)
-                        said.append(" ".join(words[p : p + WINDOW]))
+                        at.append(a)
+                        size.append(b - a)
+                        said.append(" ".join(words[a:b]))
                     keys.append(key)
-                    forms.append(mask)
             if ids:
-                yield pd.DataFrame({"id": ids, "pos": at, "key": np.concatenate(keys).view(np.int64), "mask": np.concatenate(forms), "words": said})
+                yield pd.DataFrame({"id": ids, "pos": at, "n": size, "key": np.concatenate(keys).view(np.int64), "words": said})
 
     return texts.mapInPandas(run, _WINDOWS)
 
 
-def leaks(documents: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", block: int = 2_000_000, rows_per_salt: int = 20_000, max_names: int = 1_000_000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", rows_per_salt: int = 20_000) -> DataFrame:
     """(doc_id, item_id, exact_windows, template_windows, kind): documents that hold a passage of at least 12 words.
 
-    kind is exact if any window agrees word by word, else template; of template windows only those count whose
-    placeholders are exchanged consistently. Items and documents with fewer than 12 words, empty or null, hold no
-    passage; a repeated id is taken as one text after the other. Item keys are looked up in blocks of about ``block``
-    distinct windows, each of one pass over the documents, so what is broadcast has that bound.
+    kind is exact if any window of 12 words agrees word by word, else template; of template windows only those count whose
+    placeholders are exchanged consistently. A passage with fewer than five literals in all has no template and is found
+    as an exact one only. Items and documents with fewer than 12 words, empty or null, hold no passage; a repeated id is
+    taken as one text after the other. The documents are read once, whatever the number of items: a bit table of the
+    items' keys spares nearly all of their windows, and the join by key decides on the others.
     """
+    sc = documents.sparkSession.sparkContext
     bench = items.select(F.col(item_key).cast("long").alias("id"), F.col(text).alias("text"))
-    names = item_names(bench, max_names)
-    windows = cut(text_windows(bench, names))
-    n_blocks = max(1, -(-windows.select("key").distinct().count() // block))
+    literals = sc.broadcast(literal_words(bench))
+    windows = cut(text_windows(bench, literals).distinct())
+    longest = windows.agg(F.max("n")).first()[0]
+    if longest is None:
+        return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, exact_windows long, template_windows long, kind string")
+    keys = windows.select("key").distinct()
+    table = sc.broadcast(key_table(keys, keys.count()))
     docs = documents.select(F.col(doc_key).cast("long").alias("id"), F.col(text).alias("text"))
-    sc = documents.sparkSession.sparkContext
-    found = None
-    for b in range(n_blocks):
-        part = windows.where(F.pmod(F.xxhash64("key"), F.lit(n_blocks)) == b)
-        keys = part.select("key").distinct().toPandas()["key"].to_numpy(np.int64)
-        if not len(keys):
-            continue
-        masks = [r["mask"] for r in part.where("mask > 0").select("mask").distinct().collect()]
-        named = [r["word"] for r in part.where("mask > 0").select(F.explode(F.split("words", " ")).alias("word")).distinct().collect()]
-        hits = text_windows(docs, names, sc.broadcast((np.sort(keys.view(np.uint64)), sorted(masks), named)))
-        found = hits if found is None else found.unionAll(hits)
-    if found is None:
-        found = documents.sparkSession.createDataFrame([], _WINDOWS)
-    # a window that many documents share is spread over salts, and the items' windows of that key go to each
-    found = cut(found)
-    hot = found.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > rows_per_salt).select("key", F.ceil(F.col("n") / rows_per_salt).cast("int").alias("salts"))
+    found = cut(text_windows(docs, literals, longest, table))
+    table.unpersist()
+    # a window that many documents share, or one document many times, is spread over salts, and the items' windows of that key go to each
+    hot = found.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > rows_per_salt).select("key", F.ceil(F.col("c") / rows_per_salt).cast("int").alias("salts"))
     salts = F.coalesce("salts", F.lit(1))
-    left = found.join(hot, "key", "left").select(F.col("id").alias("doc_id"), "pos", "key", F.col("words").alias("said"), salt_of(F.col("id"), salts).alias("salt"))
-    right = windows.join(hot, "key", "left").select(F.col("id").alias("item_id"), F.col("pos").alias("ipos"), "key", "words", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    left = found.join(hot, "key", "left").select(F.col("id").alias("doc_id"), "pos", "key", F.col("words").alias("said"), F.pmod(F.xxhash64("id", "pos"), salts).cast("int").alias("salt"))
+    right = windows.join(hot, "key", "left").select(F.col("id").alias("item_id"), F.col("pos").alias("ipos"), "n", "key", "words", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     both = left.join(right, ["key", "salt"]).withColumn("exact", F.col("said") == F.col("words"))
-    return _judge(both)
+    # equal words in a longer window are in the windows of twelve too
+    return _judge(both.where(~F.col("exact") | (F.col("n") == WINDOW)))
 
 
 def _judge(both: DataFrame) -> DataFrame:
     """Slot consistency per (document, item, distance), then one row per document and item."""
     a, b = F.split("words", " "), F.split("said", " ")
-    slots = F.filter(F.zip_with(a, b, lambda x, y: F.struct(x.alias("i"), y.alias("d"))), lambda s: s["i"] != s["d"])
     # words that stay the same count too: a value may not be kept in one place and exchanged in another
-    kept = F.when(F.col("exact"), F.array().cast("array<struct<i:string,d:string>>")).otherwise(F.zip_with(a, b, lambda x, y: F.struct(x.alias("i"), y.alias("d"))))
-    per = both.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift")).agg(
-        F.sum(F.col("exact").cast("long")).alias("exact_windows"), F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set(F.when(F.size(slots) > 0, kept)))).alias("pairs")
-    )
+    kept = F.when(~F.col("exact"), F.zip_with(a, b, lambda x, y: F.struct(x.alias("i"), y.alias("d"))))
+    shift = (F.col("pos") - F.col("ipos")).alias("shift")
+    # a window may agree in both of its templates
+    once = both.groupBy("doc_id", "item_id", shift, "pos").agg(F.max("exact").alias("exact"), F.array_distinct(F.flatten(F.collect_set(kept))).alias("pairs"))
+    per = once.groupBy("doc_id", "item_id", "shift").agg(F.sum(F.col("exact").cast("long")).alias("exact_windows"), F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     one_way = lambda f: F.size(F.array_distinct(F.transform("pairs", lambda s: s[f]))) == F.size("pairs")
     per = per.withColumn("template", F.when(one_way("i") & one_way("d"), F.col("n") - F.col("exact_windows")).otherwise(0))
     out = per.groupBy("doc_id", "item_id").agg(F.sum("exact_windows").alias("exact_windows"), F.sum("template").alias("template_windows"))

@@ -1,4 +1,9 @@
-import pytest
+import re
+
+import numpy as np
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tests.conftest import rows
 from terrafold.llm import leakage as lk
@@ -34,13 +39,15 @@ def test_exact_partial_template_and_nothing(spark):
     assert got == [(1, "template"), (3, "exact")]
 
 
-def test_blocks_and_empty_tables(spark):
+def test_hot_windows_and_empty_tables(spark):
     texts = frame(spark, [(1, ITEM), (2, "a b c")])
     items = frame(spark, [(1, ITEM), (2, ITEM[10:])], "item_id")
     want = rows(lk.leaks(texts, items))
-    assert len(want) == 2 and rows(lk.leaks(texts, items, block=2)) == want
+    assert len(want) == 2
     many = frame(spark, [(i, ITEM) for i in range(9)])
     assert len(rows(lk.leaks(many, items, rows_per_salt=2))) == 18
+    again = frame(spark, [(1, (ITEM + " ") * 30)])
+    assert rows(lk.leaks(again, items, rows_per_salt=2)) == rows(lk.leaks(again, items))
     assert lk.leaks(texts.limit(0), items).collect() == [] == lk.leaks(texts, items.limit(0)).collect()
 
 
@@ -52,8 +59,61 @@ def test_windows_of_mere_numbers_need_equal_words(spark):
 
 def test_words_of_any_script():
     assert lk.words_of("Größe_42 日本語-Ελλάδα") == ["größe", "42", "日本語", "ελλάδα"]
-    capital, plain = lk.capitals("The Delta of Ann. Bob saw ann")
-    assert capital == {"delta", "ann"} and {"of", "saw", "ann"} <= plain
+    assert lk.capitals_of("The Delta of ann", 4).tolist() == [True, True, False, False]
+
+
+def plain_keys(words, template, kind):
+    """Ends and contents of all windows, word by word."""
+    out = {}
+    for i in range(len(words)):
+        seen, literals = [], 0
+        for j in range(i, len(words)):
+            unit = j > i and kind[j - 1] == 2 and kind[j] != 2
+            literals += kind[j] == 1 and not unit
+            seen.append("unit" if unit else int(template[j]))
+            if len(seen) >= lk.WINDOW and literals >= lk.LITERALS:
+                out[i] = (j + 1, tuple(seen))
+                break
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["5", "seven", "km", "Ann", "a", "b", "c", "d", "The"]), min_size=12, max_size=70), st.sampled_from([16, 1 << 16]))
+def test_windows_are_those_of_a_walk_word_by_word(texts, chunk):
+    literals = np.sort(np.array([xxhash.xxh64_intdigest(w) for w in ("km", "a", "b", "c", "d", "the")], np.uint64))
+    words = [w.lower() for w in texts]
+    exact, template, kind = lk.Templates(literals).hashes(words)
+    before, lk._CHUNK = lk._CHUNK, chunk
+    try:
+        got = list(lk.text_keys(exact, template, kind, np.zeros(len(words), bool), 40, lk.Powers()))
+    finally:
+        lk._CHUNK = before
+    want = {i: e for i, e in plain_keys(words, template, kind).items() if e[0] - i <= 40}
+    starts = {int(a): (int(b), int(k)) for s, e, keys in got[0::2] for a, b, k in zip(s, e, keys)}
+    assert {i: e for i, (e, _) in starts.items()} == {i: e for i, (e, _) in want.items()}
+    for i in want:
+        for j in want:
+            assert (want[i][1] == want[j][1]) == (starts[i][1] == starts[j][1])
+    few = {int(a) for s, _, _ in got[1::2] for a in s}
+    assert few == {i for i in range(len(words) - 11) if i not in plain_keys(words, template, kind) or plain_keys(words, template, kind)[i][0] != i + 12}
+
+
+def test_table_holds_all_its_keys(spark):
+    keys = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 5000)
+    table = lk.key_table(spark.createDataFrame([(int(k),) for k in keys], "key long"), 5000)
+    assert len(lk.table_hits(table, keys.view(np.uint64))) == 5000
+    others = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 20_000).view(np.uint64)
+    assert len(lk.table_hits(table, others)) < 200
+
+
+def test_questions_with_many_slots_and_names_that_are_words_elsewhere(spark):
+    slots = "Give 5 km 7 kg 9 m 11 s 13 ha to plot 15 then take 17 cm from the 19 pixels by hand at once"
+    swapped = re.sub(r"\d+", lambda m: str(int(m[0]) + 40), slots)
+    rose = "Three rows of beans beside the old mill Rose planted before the rain began at home"
+    items = frame(spark, [(1, slots), (2, rose), (3, "the rose grew by the wall")], "item_id")
+    texts = [(1, swapped), (2, rose.replace("Rose", "May")), (3, rose.replace("Rose", "grew")), (4, slots.upper()), (5, " ".join(slots.split()[1:13]))]
+    got = rows(lk.leaks(frame(spark, texts), items), "doc_id", "item_id", "kind")
+    assert got == [(1, 1, "template"), (2, 2, "template"), (4, 1, "exact"), (5, 1, "exact")]
 
 
 def test_names_and_measures_the_documents_alone_have(spark):
@@ -70,5 +130,3 @@ def test_names_and_measures_the_documents_alone_have(spark):
     ]
     got = rows(lk.leaks(frame(spark, texts), frame(spark, [(1, item)], "item_id")), "doc_id", "kind")
     assert got == [(1, "template"), (2, "template"), (3, "template"), (7, "exact")]
-    with pytest.raises(ValueError, match="more than 0 names"):
-        lk.leaks(frame(spark, texts), frame(spark, [(1, item)], "item_id"), max_names=0)
