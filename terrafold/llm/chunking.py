@@ -20,6 +20,9 @@ from terrafold.llm.tokenizers import count_tokens, token_lengths
 #: Kinds of boundaries, the best first.
 KINDS = ("cell", "paragraph", "line", "landmark", "limit")
 
+#: Bytes that stand for a token of a vocabulary where distances in bytes are set.
+BYTES_PER_TOKEN = 4.0
+
 _GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 _WINDOW = 32
 
@@ -56,18 +59,21 @@ def _nearest(sorted_: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(at - left <= right - at, left, right)
 
 
-def cuts(data: np.ndarray, cells: np.ndarray, *, limit: int, overlap: int, sizes: np.ndarray | None = None) -> list[tuple[int, int, str]]:
+def cuts(data: np.ndarray, cells: np.ndarray, *, limit: int, overlap: int, sizes: np.ndarray | None = None, excess=None) -> list[tuple[int, int, str]]:
     """[(start, end, kind)] of the pieces without their overlaps; kind tells what the piece ends at, '' for the last.
 
     ``sizes``: tokens begun before each byte, with one more entry for the end; without it a token is a byte.
+    ``excess(start, end)``: tokens by which a piece with its overlap is over the limit when it is encoded by itself; such a
+    piece, and no other, is cut again with that much less room.
     """
     n = len(data)
-    sizes = np.arange(n + 1) if sizes is None else sizes
-    if sizes[n] <= limit:
+    bytes_ = sizes is None
+    sizes = np.arange(n + 1) if bytes_ else sizes
+    if sizes[n] <= limit and (excess is None or excess(0, n) <= 0):
         return [(0, n, "")]
     most = limit - overlap
-    # spacing of landmarks and the reach of the snap are in bytes, as the hash is; tokens are at least a byte long
-    scale = max(1.0, n / max(1, int(sizes[n])))
+    # spacing of landmarks and the reach of the snap are in bytes, as the hash is, and don't depend on the text
+    scale = 1.0 if bytes_ else BYTES_PER_TOKEN
     spacing = 1 << max(4, int(np.log2(max(16.0, limit * scale / 16))))
     marks = np.flatnonzero((rolling_hash(data) >> np.uint32(8)) % np.uint32(spacing) == 0) + 1
     heads = np.flatnonzero((data & 0xC0) != 0x80)
@@ -86,44 +92,51 @@ def cuts(data: np.ndarray, cells: np.ndarray, *, limit: int, overlap: int, sizes
         snapped.append(np.unique(to[near]))
         left = left[~near]
     snapped.append(left)
-    out = []
-    start = 0
-    while True:
-        room = limit if start == 0 else most
+    def end_of(start: int, room: int) -> tuple[int, str]:
+        """Where the piece from ``start`` ends that has at most ``room`` tokens: at n, or at a boundary, the best kind first."""
         if sizes[n] - sizes[start] <= room:
-            out.append((start, n, ""))
-            return out
+            return n, ""
         low = int(np.searchsorted(sizes, sizes[start] + max(1, limit // 4, overlap)))
         high = int(np.searchsorted(sizes, sizes[start] + room, side="right")) - 1
-        end, kind = 0, ""
         for name, found in zip(KINDS, snapped):
             i = int(np.searchsorted(found, low))
-            if i < len(found) and found[i] <= high:
-                end, kind = int(found[i]), name
-                break
-        if kind in ("", "landmark"):  # no landmark with a boundary near it: any boundary is better than none
-            for name, found in zip(KINDS, natural):
-                i = int(np.searchsorted(found, high, side="right")) - 1
-                if i >= 0 and found[i] >= low:
-                    end, kind = int(found[i]), name
-                    break
-        if not kind:
-            i = int(np.searchsorted(heads, high, side="right")) - 1
-            end, kind = int(heads[i]), "limit"
-            if end <= start:  # a character larger than the limit stays whole
-                end = int(heads[i + 1]) if i + 1 < len(heads) else n
+            if name != "landmark" and i < len(found) and found[i] <= high:
+                return int(found[i]), name
+        # no landmark with a boundary near it: any boundary is better than none
+        for name, found in zip(KINDS, natural):
+            i = int(np.searchsorted(found, high, side="right")) - 1
+            if i >= 0 and found[i] >= low:
+                return int(found[i]), name
+        i = int(np.searchsorted(snapped[-1], low))
+        if i < len(snapped[-1]) and snapped[-1][i] <= high:
+            return int(snapped[-1][i]), "landmark"
+        i = int(np.searchsorted(heads, high, side="right")) - 1
+        if heads[i] <= start:  # not even one character has room; the next one is taken all the same
+            return int(heads[i + 1]) if i + 1 < len(heads) else n, "limit"
+        return int(heads[i]), "limit"
+
+    out = []
+    start = 0
+    while start < n:
+        room = limit if start == 0 else most
+        end, kind = end_of(start, room)
+        while excess is not None and (over := excess(start, end)) > 0 and room > 1:
+            room = max(1, min(room, int(sizes[end] - sizes[start])) - over)
+            end, kind = end_of(start, room)
         out.append((start, end, kind))
         start = end
+    return out
 
 
 def split_text(text: str, cell_ends: list[int], *, limit: int, overlap: int, tokenizer: str | None = None) -> list[tuple[int, int, int, str]]:
     """[(byte start, byte end, overlap bytes, kind)] of a text's pieces; start counts from the overlap's first byte.
 
-    ``cell_ends`` are character offsets. With a tokenizer, a piece whose own encoding is over the limit, as encodings
-    may change at its borders, makes the limit for the text smaller until every piece fits.
+    ``cell_ends`` are character offsets. A piece never has more than ``limit`` tokens, with a tokenizer when it is encoded
+    by itself, as encodings may change at its borders. The limit must hold twice the overlap and 16 tokens, so that
+    every character, of at most four bytes and as many tokens, has room.
     """
-    if not 0 <= overlap < limit // 2:
-        raise ValueError("the overlap must be less than half of the limit")
+    if not 0 <= 2 * overlap <= limit - 16:
+        raise ValueError("the limit must be at least 16 tokens more than twice the overlap")
     raw = text.encode("utf-8", "surrogatepass")
     data = np.frombuffer(raw, np.uint8)
     starts = char_starts(data)
@@ -136,18 +149,25 @@ def split_text(text: str, cell_ends: list[int], *, limit: int, overlap: int, tok
         begun = np.zeros(len(data) + 1, np.int64)
         begun[np.concatenate([[0], np.cumsum(token_lengths(tokenizer, text))[:-1]]).astype(np.int64)] = 1
         sizes = np.concatenate([[0], np.cumsum(begun[:-1])])
-    goal = limit
-    while True:
-        pieces = []
-        for start, end, kind in cuts(data, cells, limit=goal, overlap=min(overlap, goal // 2 - 1), sizes=sizes):
-            back = start
-            if start:
-                back = start - overlap if sizes is None else int(np.searchsorted(sizes, sizes[start] - overlap))
-                back = int(starts[np.searchsorted(starts, max(back, 0))])
-            pieces.append((back, end, start - back, kind))
-        if sizes is None or goal <= 16 or all(count_tokens(tokenizer, raw[a:b].decode("utf-8", "surrogatepass")) <= limit for a, b, _, _ in pieces):
-            return pieces
-        goal = int(goal * 0.95)
+
+    def back_of(start: int) -> int:
+        if not start:
+            return start
+        back = start - overlap if sizes is None else int(np.searchsorted(sizes, sizes[start] - overlap))
+        return min(start, int(starts[np.searchsorted(starts, max(back, 0))]))
+
+    def excess(start: int, end: int) -> int:
+        return count_tokens(tokenizer, raw[back_of(start) : end].decode("utf-8", "surrogatepass")) - limit
+
+    found = cuts(data, cells, limit=limit, overlap=overlap, sizes=sizes, excess=None if sizes is None else excess)
+    out = []
+    for start, end, kind in found:
+        back = back_of(start)
+        # one character with an overlap that is longer by itself: the overlap gives way
+        while sizes is not None and back < start and count_tokens(tokenizer, raw[back:end].decode("utf-8", "surrogatepass")) > limit:
+            back = int(starts[np.searchsorted(starts, start - (start - back) // 2)]) if start - back > 8 else start
+        out.append((back, end, start - back, kind))
+    return out
 
 
 _PIECES = "doc_id long, cell_no int, piece_no int, byte_start long, n_bytes int, n_overlap int, n_tokens int, ends_at string, text string"

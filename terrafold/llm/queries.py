@@ -82,6 +82,17 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p8_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each source is within one document a source of its share, and no document is repeated too often."""
+    t = table(spark, d, "mix_targets")
+    got = mixing.mixture(table(spark, d, "documents"), t)
+    per = got.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n"), F.max("n_tokens").alias("largest"), F.max("copies").alias("most"))
+    rows = t.select(F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats").join(per, "source", "left")
+    over = Window.partitionBy(F.lit(0))  # over as many rows as there are sources
+    near = F.abs(F.col("n") - F.col("target_share") * F.sum("n").over(over)) <= F.sum("largest").over(over)
+    return rows.select("source", F.coalesce(near, F.lit(False)).alias("share_reached"), F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(False)).alias("repeats_kept"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return chunking.oversized_items(table(spark, d, "documents"))
 
@@ -90,8 +101,16 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.oversized_pieces(table(spark, d, "documents"))
 
 
+def p9_joined(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces of every item are when joined without their overlaps, and whether all are within the limit."""
+    got = chunking.oversized_pieces(table(spark, d, "documents"))
+    own = F.decode(F.expr("substring(encode(text, 'utf-8'), n_overlap + 1)"), "utf-8")
+    per = got.groupBy("doc_id", "cell_no").agg(F.array_sort(F.collect_list(F.struct("piece_no", own.alias("t")))).alias("parts"), F.max("n_tokens").alias("most"))
+    return per.select("doc_id", "cell_no", (F.col("most") <= 8192).alias("fits"), F.md5(F.array_join(F.transform("parts", lambda p: p["t"]), "")).alias("joined"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_survivors, p3_found, p3_assignment, p3_shares, p3_tiles, p3_balance, p5_found, p5_report, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p2_found, p2_survivors, p3_found, p3_assignment, p3_shares, p3_tiles, p3_balance, p5_found, p5_report, p7_found, p7_leaks, p8_mixture, p8_shares, p8_balance, p9_found, p9_pieces, p9_joined)}
 
 
 _PRODUCT = r"(S2[ABC])_MSIL?(1C|2A)_(\d{8}T\d{6})(?:_N(\d{4}))?_R(\d{3})_T(\d{2}[A-Z]{3})_(\d{8}T\d{6})"
@@ -152,6 +171,9 @@ bw AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w F
 d AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM dw),
 b AS (SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM bw)
 SELECT DISTINCT doc_id, item_id FROM d JOIN b USING (g)""",
+        "p8_balance": "SELECT lower(trim(source)) AS source, TRUE AS share_reached, TRUE AS repeats_kept FROM mix_targets",
+        "p9_joined": """SELECT doc_id, 0 AS cell_no, TRUE AS fits, md5(text) AS joined FROM documents WHERE strlen(text) > 8192
+UNION ALL SELECT doc_id, c.cell_no, TRUE, md5(substring(text, c.char_start + 1, c.char_len)) FROM (SELECT doc_id, text, unnest(cells) AS c FROM documents) WHERE strlen(substring(text, c.char_start + 1, c.char_len)) > 8192""",
         "p9_found": """SELECT doc_id, 0 AS cell_no FROM documents WHERE strlen(text) > 8192
 UNION ALL SELECT doc_id, c.cell_no FROM (SELECT doc_id, text, unnest(cells) AS c FROM documents) WHERE strlen(substring(text, c.char_start + 1, c.char_len)) > 8192""",
     }

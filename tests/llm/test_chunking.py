@@ -16,7 +16,7 @@ def joined(text, pieces):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.text(st.sampled_from("ab \n🙂é"), max_size=600), st.integers(40, 120), st.integers(0, 19))
+@given(st.text(st.sampled_from("ab \n🙂é"), max_size=600), st.integers(54, 120), st.integers(0, 19))
 def test_pieces_fit_overlap_and_join_to_the_text(text, limit, overlap):
     pieces = ch.split_text(text, [5, 50, 10_000, -1], limit=limit, overlap=overlap)
     raw = text.encode()
@@ -72,3 +72,23 @@ def test_limit_in_tokens_of_a_vocabulary():
     pieces = ch.split_text(text, [], limit=256, overlap=16, tokenizer=tk.vocabulary())
     assert joined(text, pieces) and len(pieces) > 5
     assert all(tk.count_tokens(tk.vocabulary(), text.encode()[a:b].decode()) <= 256 for a, b, _, _ in pieces)
+
+
+@pytest.mark.skipif(not os.path.exists(tk.vocabulary()), reason="no vocabulary file")
+def test_with_a_vocabulary_an_edit_alters_only_pieces_near_it():
+    text = lines(3000)
+    blob = "".join(random.Random(4).choice("abcdef0123456789+/") for _ in range(9000))
+    at = text.index("\n", len(text) // 2) + 1
+    base, other = text[:at] + blob + text[at:], text[:at] + "inserted words " + blob + text[at:]
+    got = [{t.encode()[p + o : q] for p, q, o, _ in ch.split_text(t, [], limit=1024, overlap=64, tokenizer=tk.vocabulary())} for t in (base, other)]
+    assert len(got[0]) > 25 and len(got[0] ^ got[1]) <= 8
+    for t in (base, other):
+        pieces = ch.split_text(t, [], limit=1024, overlap=64, tokenizer=tk.vocabulary())
+        assert joined(t, pieces) and all(tk.count_tokens(tk.vocabulary(), t.encode()[a:b].decode()) <= 1024 for a, b, _, _ in pieces)
+
+
+def test_limits_without_room_are_refused():
+    with pytest.raises(ValueError):
+        ch.split_text("a" * 99, [], limit=40, overlap=13)
+    pieces = ch.split_text("🙂" * 99, [], limit=16, overlap=0)
+    assert joined("🙂" * 99, pieces) and all(b - a <= 16 for a, b, _, _ in pieces)
