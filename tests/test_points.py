@@ -63,28 +63,74 @@ def test_regions_with_holes_parts_and_the_date_line(spark):
     pts = spark.createDataFrame([(1, 0.5, 0.5, ""), (2, 2.0, 2.0, ""), (3, -179.0, 0.5, ""), (4, 181.0, 0.0, ""), (5, 5.0, 5.0, ""), (6, 11.0, 10.5, ""), (7, None, 0.0, ""), (8, 10.2, 11.0, ""), (9, 2.0, 95.0, "")], SCHEMA)
     want = [(1, 0), (1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (4, 1), (8, 8)]
     assert rows(points.containing_regions(pts, regions)) == want
-    assert rows(points.containing_regions(pts, regions, broadcast_edges=0, salts=3)) == want
+    assert rows(points.containing_regions(pts, regions, broadcast_edges=0, rows_per_salt=1)) == want
+    assert rows(points.unread_regions(regions)) == [(3,), (4,), (6,), (9,), (10,)]
     assert points.containing_regions(pts, regions.limit(0)).collect() == []
     assert points.containing_regions(pts.limit(0), regions).collect() == []
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), min_size=3, max_size=14), st.floats(0.01, 11.99), st.floats(0.01, 11.99))
-def test_slabs_hold_even_odd_for_any_ring(ring, x, y):
-    r = np.array(ring, float)
+def even_odd(rings, x, y):
     inside = False
-    for (xa, ya), (xb, yb) in zip(r, np.roll(r, -1, axis=0)):
-        if (xa <= x) != (xb <= x) and ya + (x - xa) * (yb - ya) / (xb - xa) < y:
-            inside = not inside
-    got = False
-    for x0, x1, edges in points.slab_edges([r]):
-        if x0 <= x < x1:
-            ys = [e[1] + (x - e[0]) * (e[3] - e[1]) / (e[2] - e[0]) for e in edges]
-            assert all(b - a > -1e-9 for a, b in zip(ys, ys[1:]))
-            if min(abs(v - y) for v in ys) < 1e-9:
-                return
-            got = int(np.searchsorted(ys, y)) % 2 == 1
-    assert got == inside
+    for r in rings:
+        for (xa, ya), (xb, yb) in zip(r, np.roll(r, -1, axis=0)):
+            if (xa <= x) != (xb <= x) and ya + (x - xa) * (yb - ya) / (xb - xa) < y:
+                inside = not inside
+    return inside
+
+
+def off_edges(rings, x, y):
+    e = np.concatenate([np.concatenate([r, np.roll(r, -1, axis=0)], axis=1) for r in rings])
+    e = e[(e[:, 0] != e[:, 2]) & (np.minimum(e[:, 0], e[:, 2]) <= x) & (np.maximum(e[:, 0], e[:, 2]) >= x)]
+    return abs(x - round(x)) > 1e-9 and (np.abs(e[:, 1] + (x - e[:, 0]) * (e[:, 3] - e[:, 1]) / (e[:, 2] - e[:, 0]) - y) > 1e-9).all()
+
+
+def locate(cells, x, y, world):
+    """Whether a place is inside by the cells of one polygon."""
+    hits = []
+    for level, i, j, slabs in cells:
+        size = world / 4 ** (level + 1)
+        if math.floor((x + world / 2) / size) == i and math.floor(y / size) == j:
+            for x0, x1, below, edges in slabs:
+                if x0 <= x < x1:
+                    ys = [e[1] + (x - e[0]) * (e[3] - e[1]) / (e[2] - e[0]) for e in edges]
+                    assert all(b - a > -1e-9 for a, b in zip(ys, ys[1:]))
+                    hits.append((below + int(np.searchsorted(ys, y))) % 2 == 1)
+    assert len(hits) <= 1
+    return bool(hits) and hits[0]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(-9, 12), st.integers(-9, 12)), min_size=3, max_size=14), min_size=1, max_size=3), st.lists(st.tuples(st.floats(-9, 11.99), st.floats(-9, 11.99)), min_size=5, max_size=5), st.sampled_from([3, 64]))
+def test_cells_hold_even_odd_for_any_rings(rings, places, most):
+    arrays = [np.array(r, float) for r in rings]
+    before, points.CELL_EDGES, last, points.LAST_LEVEL = points.CELL_EDGES, most, points.LAST_LEVEL, 6
+    try:
+        cells = list(points.part_cells(arrays, 360.0))
+    finally:
+        points.CELL_EDGES, points.LAST_LEVEL = before, last
+    for x, y in places:
+        if off_edges(arrays, x, y):
+            assert locate(cells, x, y, 360.0) == even_odd(arrays, x, y)
+
+
+def test_a_ring_of_a_hundred_thousand_vertices_stays_small():
+    t = np.linspace(0, 2 * math.pi, 100_000, endpoint=False)
+    radius = 60 + 5 * np.sin(40 * t) + np.random.default_rng(5).normal(0, 0.0005, len(t))
+    ring = np.stack([radius * 2 * np.cos(t), radius * np.sin(t)], axis=1)
+    cells = list(points.part_cells([ring], 360.0))
+    held = [sum(len(s[3]) for s in slabs) for *_, slabs in cells]
+    assert sum(held) < 10 * len(ring) and max(held) < 10_000 and len(cells) < 30_000
+    for x, y in np.random.default_rng(6).uniform(-130, 130, (40, 2)):
+        assert not off_edges([ring], x, y) or locate(cells, x, y, 360.0) == even_odd([ring], x, y)
+
+
+def test_regions_in_utm(spark):
+    square = [[400000, 5500000], [600000, 5500000], [600000, 5700000], [400000, 5700000], [400000, 5500000]]
+    south = [[400000, 5500000], [600000, 5500000], [600000, 9900000], [400000, 9900000], [400000, 5500000]]
+    regions = region(spark, poly([square], "EPSG:32633"), poly([south], "urn:ogc:def:crs:EPSG::32701"), poly([square], "EPSG:32661"))
+    pts = spark.createDataFrame([(1, 15.0, 50.5, ""), (2, 13.0, 50.5, ""), (3, 16.2, 51.0, ""), (4, -177.0, -30.0, ""), (5, 183.5, -1.5, ""), (6, 105.0, 50.5, "")], SCHEMA)
+    assert rows(points.containing_regions(pts, regions)) == [(1, 0), (3, 0), (4, 1), (5, 1)]
+    assert rows(points.unread_regions(regions)) == [(2,)]
 
 
 def test_locations_of_footprints(spark):
