@@ -51,12 +51,12 @@ def is_vector(v: Any) -> bool:
     return isinstance(v, list) and bool(v) and all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in v)
 
 
-def number_nodes(root: Any) -> list[list]:
+def number_nodes(root: Any, vectors: bool = True) -> list[list]:
     """[pre, post, depth, path, key, idx, type, child_type, value] of every node, in pre-order, by a depth-first walk.
 
     A node a is an ancestor of b exactly if a.pre < b.pre and a.post > b.post. path joins member names by '.',
     with '[]' for an array entry; key is the member's name and idx the place in its array. A vector is one leaf
-    of type 'vector'; child_type is the type of an array's first entry. The walk keeps its own stack, so depth is no limit.
+    of type 'vector', unless ``vectors`` is False; child_type is the type of an array's first entry. The walk keeps its own stack, so depth is no limit.
     """
     nodes: list[list] = []
     post = 0
@@ -67,10 +67,10 @@ def number_nodes(root: Any) -> list[list]:
             nodes[done][1] = post
             post += 1
             continue
-        kind = "vector" if is_vector(v) else json_type(v)
+        kind = "vector" if vectors and is_vector(v) else json_type(v)
         first = None
         if kind == "array" and v:
-            first = "vector" if is_vector(v[0]) else json_type(v[0])
+            first = "vector" if vectors and is_vector(v[0]) else json_type(v[0])
         me = len(nodes)
         nodes.append([me, 0, depth, path, key, idx, kind, first, v])
         stack.append((v, depth, path, key, idx, me))

@@ -1,9 +1,9 @@
 """Schemas that drift between files: one table of changes, and one consistent table of all rows.
 
-Each file's schema is a graph of field names, types and nesting. Fields that vanish from one file to the next are
-matched with fields that appear by similarity flooding: scores start from the likeness of names, flow along the
-nesting and type edges of both graphs until they settle, and mutually best pairs above a threshold are taken as
-renames or moves. Correspondences that hold over all files give every field its canonical name and type, to which
+Each file's schema is a graph of member names, types and nesting, of any depth. Members that vanish from one file to the
+next are matched with members that appear by similarity flooding: scores start from the likeness of names, flow along
+the nesting and type edges of both graphs until they settle, and mutually best pairs that can be cast are taken as
+renames or moves, if their names are alike or most of what they hold is. Correspondences that hold over all files give every field its canonical name and type, to which
 the values are cast.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrafold.functions.jsonwalk import features_of, is_vector, json_type, load_json
+from terrafold.functions.jsonwalk import features_of, load_json
 from terrafold.session import cut
 
 _SEEN = T.StructType(
@@ -37,29 +37,33 @@ _SEEN = T.StructType(
 
 
 def is_field(path: Column) -> Column:
-    """Whether a path is a field: a member of the Feature, or of its properties. Deeper paths only serve matching.
+    """Whether a path is a field: a member of the Feature, or of its properties. Deeper paths serve matching and are reported too.
 
-    Paths are JSON arrays of member names, so a name may hold any character.
+    Paths are JSON arrays of member names, so a name may hold any character; "[]" stands for the objects of an array.
     """
     depth = F.size(F.from_json(path, "array<string>"))
     return (depth == 1) | ((depth == 2) & (F.get_json_object(path, "$[0]") == "properties"))
 
 
-def _shallow(feature: dict, counts: Counter, to: tuple) -> None:
-    """Counts (path, type) of the members of a Feature down to the members of its properties' objects."""
-    for k, v in feature.items():
-        if v is None:
-            continue
-        counts[(*to, (k,), json_type(v))] += 1
-        if isinstance(v, dict) and k != "assets":
-            for k2, v2 in v.items():
-                if v2 is None:
-                    continue
-                counts[(*to, (k, k2), json_type(v2))] += 1
-                if isinstance(v2, dict):
-                    for k3, v3 in v2.items():
-                        if v3 is not None:
-                            counts[(*to, (k, k2, k3), json_type(v3))] += 1
+_KINDS = {str: "string", int: "number", float: "number", bool: "boolean", list: "array", dict: "object"}
+
+
+def _members(feature: dict, counts: dict) -> None:
+    """Counts (path, type) of all members of a Feature that aren't null, those of the objects of arrays under "[]"."""
+    todo: list[tuple[dict, tuple]] = [(feature, ())]
+    while todo:
+        v, at = todo.pop()
+        for k, x in v.items():
+            if x is None:
+                continue
+            kind = type(x)
+            path = (*at, k)
+            key = (path, _KINDS[kind])
+            counts[key] = counts.get(key, 0) + 1
+            if kind is dict:
+                todo.append((x, path))
+            elif kind is list:
+                todo.extend((e, (*path, "[]")) for e in x if type(e) is dict)
 
 
 def schema_entries(raw: DataFrame) -> DataFrame:
@@ -71,17 +75,17 @@ def schema_entries(raw: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            counts: Counter = Counter()
+            files: dict[tuple, dict] = {}
             for feed, seq, name, text in zip(pdf["feed"], pdf["file_seq"], pdf["file_name"], pdf["payload"]):
                 if pd.isna(seq) or name is None:
                     continue
-                to = (feed, int(seq), name)
-                counts[(*to, None, None)] += 1
+                counts = files.setdefault((feed, int(seq), name), {(None, None): 0})
+                counts[None, None] += 1
                 ok, doc = load_json(text)
                 for _, feature in features_of(doc) if ok else ():
-                    _shallow(feature, counts, to)
-            if counts:
-                yield pd.DataFrame(((a, b, c, None if p is None else json.dumps(p), t, n) for (a, b, c, p, t), n in counts.items()), columns=_SEEN.names)
+                    _members(feature, counts)
+            if files:
+                yield pd.DataFrame(((*to, None if p is None else json.dumps(p), t, n) for to, counts in files.items() for (p, t), n in counts.items()), columns=_SEEN.names)
 
     seen = raw.select("feed", "file_seq", "file_name", "payload").mapInPandas(run, _SEEN)
     return seen.groupBy("feed", "file_seq", "file_name", "path", "type").agg(F.sum("n").alias("n"))
@@ -94,7 +98,7 @@ def file_schemas(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     files = e.where("path IS NULL").select("fk", "feed", "file_seq", "file_name")
     files = files.withColumn("at", F.row_number().over(Window.partitionBy("fk").orderBy("file_seq", "file_name")))
     fields = e.where("path IS NOT NULL").groupBy("fk", "file_seq", "file_name", "path").agg(F.array_sort(F.collect_set("type")).alias("types"), F.sum("n").alias("n"))
-    return files, fields.join(files, ["fk", "file_seq", "file_name"])
+    return files, cut(fields.join(files, ["fk", "file_seq", "file_name"]))
 
 
 # --- similarity flooding ----------------------------------------------------------------------------
@@ -121,60 +125,109 @@ def name_likeness(a: str, b: str) -> float:
     return max(words, grams)
 
 
+def castable(old: dict[tuple, list[str]], x: tuple, new: dict[tuple, list[str]], y: tuple) -> bool:
+    """Whether values of y can be read as those of x: equal types, plain values as each other, and an object as the plain value it wraps."""
+    plain = {"number", "string", "boolean"}
+
+    def kinds(schema: dict[tuple, list[str]], p: tuple) -> set[str]:
+        found = set(schema[p])
+        inner = set(schema.get((*p, "value"), ())) & plain
+        return found | inner if "object" in found else found
+
+    a, b = kinds(old, x), kinds(new, y)
+    same = a & b
+    return bool(same) or bool(a & plain and b & plain)
+
+
+def _structure(a: list[tuple], b: list[tuple], start: np.ndarray, threshold: float) -> np.ndarray:
+    """For each two members that hold members themselves the share of those that have one alike in the other, if there are two or more."""
+    kids_a, kids_b = defaultdict(list), defaultdict(list)
+    for paths, kids in ((a, kids_a), (b, kids_b)):
+        for i, p in enumerate(paths):
+            kids[p[:-1]].append(i)
+    out = np.zeros_like(start)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            p, q = kids_a.get(x), kids_b.get(y)
+            if p and q:
+                alike = start[np.ix_(p, q)] >= threshold
+                met = min(int(alike.any(1).sum()), int(alike.any(0).sum()))
+                if met >= 2:
+                    out[i, j] = met / max(len(p), len(q))
+    return out
+
+
 def flood(old: dict[tuple, list[str]], new: dict[tuple, list[str]], *, threshold: float = 0.5, rounds: int = 60, eps: float = 1e-4) -> list[tuple[tuple, tuple, float]]:
     """Correspondences (old path, new path, score) between two schemas given as path -> types.
 
-    Scores start from name likeness and flow between pairs of fields along equal edges of the two graphs, from
-    parents to children, back, and between fields of a like type, until no score moves by more than ``eps``.
-    Paths in both schemas correspond to themselves. The others are paired best first, each once, where the pair is
-    best for both sides, can be cast, and its name likeness and settled score reach the threshold.
+    Scores start from name likeness and flow between pairs of members along equal edges of the two graphs, from
+    parents to children, back, and between members of a like type, until no score moves by more than ``eps``.
+    Paths in both schemas correspond to themselves. Of the others those pairs correspond that can be cast, whose settled
+    score is at least 0.6 of the best of either, and whose evidence reaches the threshold and is the best for both sides:
+    the settled score times the likeness of the names, or the share of members inside that are alike.
     """
     a, b = sorted(old), sorted(new)
-    if not a or not b:
-        return []
-    start = np.array([[name_likeness(x[-1], y[-1]) for y in b] for x in a])
-    same_type = np.array([[len({*old[x]} & {*new[y]}) / len({*old[x]} | {*new[y]}) for y in b] for x in a])
-    start *= 0.75 + 0.25 * same_type
+    found = [(x, x, 1.0) for x in a if x in new]
+    free_a, free_b = [i for i, x in enumerate(a) if x not in new], [j for j, y in enumerate(b) if y not in old]
+    if not free_a or not free_b:
+        return found
+    types = ("number", "string", "boolean", "array", "object")
+    ta, tb = (np.array([[t in schema[x] for t in types] for x in paths], float) for schema, paths in ((old, a), (new, b)))
+    both = ta @ tb.T
+    same_type = both / np.maximum(1, ta.sum(1)[:, None] + tb.sum(1)[None, :] - both)
+    names_a, names_b = sorted({x[-1] for x in a}), sorted({y[-1] for y in b})
+    like = np.array([[name_likeness(x, y) for y in names_b] for x in names_a])
+    ia, ib = {x: i for i, x in enumerate(names_a)}, {y: j for j, y in enumerate(names_b)}
+    named = like[np.ix_([ia[x[-1]] for x in a], [ib[y[-1]] for y in b])]
+    start = named * (0.75 + 0.25 * same_type)
+    at_b = {y: j for j, y in enumerate(b)}
     for i, x in enumerate(a):
         if x in new:
             start[i, :] = 0
-            start[:, b.index(x)] = 0
-            start[i, b.index(x)] = 1
+            start[:, at_b[x]] = 0
+            start[i, at_b[x]] = 1
 
-    def children(paths: list[tuple]) -> np.ndarray:
+    def parents(paths: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(members with a parent, their parents, how many members each parent has)."""
         at = {p: i for i, p in enumerate(paths)}
-        m = np.zeros((len(paths), len(paths)))
-        for p, i in at.items():
-            if p[:-1] in at:
-                m[at[p[:-1]], i] = 1
-        return m
-
-    def share(m: np.ndarray) -> np.ndarray:
-        return m / np.maximum(1, m.sum(1, keepdims=True))
+        kids = np.array([i for i, p in enumerate(paths) if p[:-1] in at], int)
+        up = np.array([at[paths[i][:-1]] for i in kids], int)
+        return kids, up, np.maximum(1, np.bincount(up, minlength=len(paths)))
 
-    ca, cb = children(a), children(b)
-    down_a, down_b, up_a, up_b = share(ca), share(cb), share(ca.T), share(cb.T)
+    (kids_a, up_a, n_a), (kids_b, up_b, n_b) = parents(a), parents(b)
     s = start.copy()
     for _ in range(rounds):
         x = start + s
-        flowed = x + down_a.T @ x @ down_b + up_a.T @ x @ up_b + 0.25 * x * same_type
+        flowed = x + 0.25 * x * same_type
+        if len(kids_a) and len(kids_b):
+            shared = x / n_a[:, None] / n_b[None, :]
+            flowed[np.ix_(kids_a, kids_b)] += shared[np.ix_(up_a, up_b)]
+            rows = np.zeros((len(a), len(kids_b)))
+            np.add.at(rows, up_a, x[np.ix_(kids_a, kids_b)])
+            whole = np.zeros((len(b), len(a)))
+            np.add.at(whole, up_b, rows.T)
+            flowed += whole.T
         flowed /= max(flowed.max(), 1e-12)
         moved = np.abs(flowed - s).max()
         s = flowed
         if moved < eps:
             break
-    # settled scores against the best of either side, so that a field is judged among its rivals
-    relative = s / np.maximum(np.maximum(s.max(1, keepdims=True), s.max(0, keepdims=True)), 1e-12)
-    found = [(x, x, 1.0) for x in a if x in new]
-    free = [(relative[i, j] * start[i, j], relative[i, j], i, j) for i, x in enumerate(a) if x not in new for j, y in enumerate(b) if y not in old]
+    # settled scores against the best of either side, so that a member is judged among its rivals
+    rivals = s[np.ix_(free_a, free_b)]
+    relative = rivals / np.maximum(np.maximum(rivals.max(1, keepdims=True), rivals.max(0, keepdims=True)), 1e-12)
+    inside = _structure(a, b, named, threshold)[np.ix_(free_a, free_b)]
+    evidence = np.maximum(relative * start[np.ix_(free_a, free_b)], inside)
+    for i, u in enumerate(free_a):
+        for j, v in enumerate(free_b):
+            if evidence[i, j] and (relative[i, j] < 0.6 and not inside[i, j] or not castable(old, a[u], new, b[v])):
+                evidence[i, j] = 0
     used_a, used_b = set(), set()
-    for score, rel, i, j in sorted(free, key=lambda t: (-t[0], a[t[2]], b[t[3]])):
-        if score < threshold or rel < 0.6:
-            break
-        if i not in used_a and j not in used_b:
+    for i, j in sorted(zip(*np.nonzero(evidence >= threshold)), key=lambda t: (-evidence[t], -relative[t], a[free_a[t[0]]], b[free_b[t[1]]])):
+        best = evidence[i, j] >= max(evidence[i].max(), evidence[:, j].max())
+        if best and i not in used_a and j not in used_b:
             used_a.add(i)
             used_b.add(j)
-            found.append((a[i], b[j], float(score)))
+            found.append((a[free_a[i]], b[free_b[j]], float(evidence[i, j])))
     return found
 
 
@@ -186,12 +239,15 @@ def schema_changes(raw: DataFrame, *, threshold: float = 0.5) -> DataFrame:
     """Every change of a file against the one before it in its feed.
 
     (feed, file_seq, file_name, change, old_path, new_path, old_types, new_types, score); change is added, removed,
-    type, renamed or moved; paths are JSON arrays of names. A null feed is a feed of its own; rows without file_seq
-    or file_name are left out; broken payloads are left out, but their file counts. The first file has no changes.
-    Flooding runs once per distinct pair of schemas that has fields on both sides, each in a task of its own.
+    type, renamed or moved; paths are JSON arrays of names, of any depth. What came or went with its parent isn't a
+    change of its own. A null feed is a feed of its own; rows without file_seq or file_name are left out; broken
+    payloads are left out, but their file counts. The first file has no changes. Flooding runs once per distinct pair of
+    schemas that has members on both sides, each in a task of its own.
     """
-    files, fields = file_schemas(raw)
-    fields = cut(fields)
+    return _changes(*file_schemas(raw), threshold)
+
+
+def _changes(files: DataFrame, fields: DataFrame, threshold: float) -> DataFrame:
     entry = F.concat_ws("\t", "path", F.concat_ws(",", "types"))
     per_file = fields.groupBy("fk", "at").agg(F.array_sort(F.collect_list(entry)).alias("entries")).withColumn("sig", _signature(F.col("entries")))
     per_file = cut(per_file)
@@ -210,52 +266,51 @@ def schema_changes(raw: DataFrame, *, threshold: float = 0.5) -> DataFrame:
         def read(entries) -> dict[tuple, list[str]]:
             return {tuple(json.loads(p)): t.split(",") for p, t in (e.split("\t", 1) for e in entries)}
 
-        def a_field(p: tuple) -> bool:
-            return len(p) == 1 or (len(p) == 2 and p[0] == "properties")
-
         for pdf in batches:
             rows = []
             for pair, before_, entries in zip(pdf["pair"], pdf["before"], pdf["entries"]):
                 old, new = read(before_), read(entries)
-                met = flood(old, new, threshold=threshold)
                 put = lambda change, o, n, score: rows.append((pair, change, json.dumps(o) if o else None, json.dumps(n) if n else None, old.get(o), new.get(n), score))  # noqa: B023, E731
-                from_, to = set(), set()
-                for o, n, score in met:
-                    if a_field(o) and a_field(n):
-                        from_.add(o)
-                        to.add(n)
-                        if o == n:
-                            if old[o] != new[n]:
-                                put("type", o, n, None)
-                        else:
-                            put("renamed" if o[:-1] == n[:-1] else "moved", o, n, score)
+                to = {o: (n, score) for o, n, score in flood(old, new, threshold=threshold)}
+                met = {n for n, _ in to.values()}
+                # a parent is there as long as it is matched; the parent of a field always is
+                stays = lambda p, known: len(p) == 1 or p[:-1] in known or (len(p) == 2 and p[0] == "properties") or (p[-1] == "[]" and p[:-1] in known)
+                for o, (n, score) in to.items():
+                    if o == n:
+                        if old[o] != new[n]:
+                            put("type", o, n, None)
+                    elif to.get(o[:-1], (None,))[0] == n[:-1] and o[-1] == n[-1]:
+                        pass  # went with its parent
+                    else:
+                        put("renamed" if to.get(o[:-1], (o[:-1],))[0] == n[:-1] else "moved", o, n, score)
                 for o in old:
-                    if a_field(o) and o not in from_:
+                    if o not in to and stays(o, to):
                         put("removed", o, None, None)
                 for n in new:
-                    if a_field(n) and n not in to:
+                    if n not in met and stays(n, met):
                         put("added", None, n, None)
             if rows:
                 yield pd.DataFrame(rows, columns=["pair", "change", "old_path", "new_path", "old_types", "new_types", "score"])
 
-    n_tasks = max(1, raw.sparkSession.sparkContext.defaultParallelism)
+    n_tasks = max(1, fields.sparkSession.sparkContext.defaultParallelism)
     found = pairs.repartition(n_tasks, "pair").mapInPandas(run, out)
     return chain.select("feed", "file_seq", "file_name", "pair").join(found, "pair").drop("pair")
 
 
 def dotted(path: Column) -> Column:
-    """A path of at most two names in the form properties.NAME."""
+    """A path in the form properties.NAME."""
     return F.concat_ws(".", F.from_json(path, "array<string>"))
 
 
 def found_changes(raw: DataFrame) -> DataFrame:
-    """(file_name, field_path, change) with change added, removed or type; a rename or move is one removed and one added."""
+    """(file_name, field_path, change) of fields, with change added, removed or type; a rename or move is one removed and one added."""
     c = schema_changes(raw)
     moved = F.col("change").isin("renamed", "moved")
     each = F.when(moved, F.array(F.struct(F.col("old_path").alias("p"), F.lit("removed").alias("c")), F.struct(F.col("new_path").alias("p"), F.lit("added").alias("c")))).otherwise(
         F.array(F.struct(F.coalesce("new_path", "old_path").alias("p"), F.col("change").alias("c")))
     )
-    return c.select("file_name", F.explode(each).alias("e")).select("file_name", dotted(F.col("e.p")).alias("field_path"), F.col("e.c").alias("change"))
+    e = c.select("file_name", F.explode(each).alias("e")).where(is_field(F.col("e.p")))
+    return e.select("file_name", dotted(F.col("e.p")).alias("field_path"), F.col("e.c").alias("change"))
 
 
 # --- one consistent table ----------------------------------------------------------------------------
@@ -268,10 +323,11 @@ def canonical_fields(raw: DataFrame, *, threshold: float = 0.5, max_fields: int
     The most frequent name of a group is canonical; its type is the most frequent one that is not an object or array,
     if there is any. The result is as large as the vocabulary of member names, which is checked against ``max_fields``.
     """
-    _, fields = file_schemas(raw)
+    files, fields = file_schemas(raw)
+    changes = _changes(files, fields, threshold)
     fields = fields.where(is_field(F.col("path")))
     seen = fields.select("path", F.explode("types").alias("type"), "n").groupBy("path", "type").agg(F.sum("n").alias("n"))
-    links = schema_changes(raw, threshold=threshold).where(F.col("change").isin("renamed", "moved")).groupBy("old_path", "new_path").agg(F.count("*").alias("n"))
+    links = changes.where(F.col("change").isin("renamed", "moved") & is_field(F.col("old_path")) & is_field(F.col("new_path"))).groupBy("old_path", "new_path").agg(F.count("*").alias("n"))
     one = fields.select("fk", "at", F.col("path").alias("old_path"))
     two = fields.select("fk", "at", F.col("path").alias("new_path"))
     both = links.join(one, "old_path").join(two, ["fk", "at", "new_path"]).groupBy("old_path", "new_path").agg(F.count("*").alias("both"))
@@ -312,14 +368,15 @@ def column_name(path: str) -> str:
     return re.sub(r"\W+", "_", "__".join(json.loads(path))).lower()
 
 
-def unified_table(raw: DataFrame, *, threshold: float = 0.5) -> DataFrame:
+def unified_table(raw: DataFrame, *, threshold: float = 0.5, max_fields: int = 20_000) -> DataFrame:
     """All Features as rows of one table: raw_id, feature_ord, feed, file_name, file_seq and one column per canonical field.
 
     Numbers are double, booleans boolean, all else text (objects and arrays as JSON). A number written as text, or
     wrapped as {"value": ...}, is read; what cannot be cast is null in its column and kept whole in ``uncast``, a JSON
-    object, or null. Null and broken payloads give no rows.
+    object, or null. Null and broken payloads give no rows. More than ``max_fields`` distinct fields are an error, as they
+    would be so many columns.
     """
-    canon = canonical_fields(raw, threshold=threshold)
+    canon = canonical_fields(raw, threshold=threshold, max_fields=max_fields)
     names, taken = {}, {"raw_id", "feature_ord", "feed", "file_name", "file_seq", "uncast"}
     for path in sorted({c for c, _ in canon.values()}):
         name = column_name(path)

@@ -35,31 +35,33 @@ NODES = T.StructType(
 )
 
 
-def label_nodes(records: DataFrame, *, key: str, payload: str, keep: str | None = None, values: bool = True) -> DataFrame:
+def label_nodes(records: DataFrame, *, key: str, payload: str, keep: str | None = None, values: bool = True, features: bool = True, vectors: bool = True) -> DataFrame:
     """One row per node of every Feature in the payload: record key, feature ordinal, interval labels, place and value.
 
     Null, empty or broken payloads and those that hold no Feature give no rows; rows with a null key neither. A
-    payload given twice under two keys counts twice. ``keep`` is a pattern of the paths to give out (labels count
-    all nodes); ``values`` False leaves the values null. Other columns are ignored.
+    payload given twice under two keys counts twice. With ``features`` False the payload itself, whatever it is, is the one
+    root. Arrays of numbers are one node, or with ``vectors`` False a node and one for each number. ``keep`` is a pattern
+    of depth:path, as 2:assets.B04, of the nodes to give out (labels count all nodes); ``values`` False leaves the values null.
+    Other columns are ignored.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted = re.compile(keep, re.DOTALL) if keep else None
-        known: dict[str, bool] = {}
+        known: dict[tuple[int, str], bool] = {}
         for pdf in batches:
             out = []
             for rec, text in zip(pdf["rec"], pdf["payload"]):
                 ok, doc = load_json(text)
                 if not ok or pd.isna(rec):
                     continue
-                for ord_, feature in features_of(doc):
-                    for n in number_nodes(feature):
+                for ord_, root in features_of(doc) if features else [(0, doc)]:
+                    for n in number_nodes(root, vectors):
                         if wanted is not None:
-                            hit = known.get(n[3])
+                            hit = known.get((n[2], n[3]))
                             if hit is None:
                                 if len(known) > 100_000:
                                     known.clear()
-                                hit = known[n[3]] = wanted.search(n[3]) is not None
+                                hit = known[n[2], n[3]] = wanted.search(f"{n[2]}:{n[3]}") is not None
                             if not hit:
                                 continue
                         v = n[8]
@@ -74,7 +76,21 @@ def label_nodes(records: DataFrame, *, key: str, payload: str, keep: str | None
 
 
 def link(children: DataFrame, parents: DataFrame) -> DataFrame:
-    """Child rows with parent_pre and parent_path for every given parent whose interval contains theirs."""
+    """Child rows with parent_pre and parent_path of the given parent whose interval contains theirs; others are left out.
+
+    Parents must not contain each other, so one sort of both within the record tells each child's only candidate, and the
+    interval decides. For parents that do, ``ancestors`` gives all.
+    """
+    p = parents.select("rec", "ord", "pre", "post", F.lit(True).alias("_parent"), F.col("path").alias("_path"))
+    c = children.withColumn("_parent", F.lit(False))
+    w = Window.partitionBy("rec", "ord").orderBy("pre", F.desc("_parent")).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("_parent"), F.struct("pre", "post", "_path")), ignorenulls=True).over(w)
+    both = c.unionByName(p, allowMissingColumns=True).withColumn("_last", last).where(~F.col("_parent") & (F.col("_last.post") > F.col("post")))
+    return both.select(*children.columns, F.col("_last.pre").alias("parent_pre"), F.col("_last._path").alias("parent_path"))
+
+
+def ancestors(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """Child rows with parent_pre and parent_path for every given parent whose interval contains theirs, nested ones too."""
     p = parents.select("rec", "ord", F.col("pre").alias("parent_pre"), F.col("post").alias("parent_post"), F.col("path").alias("parent_path"))
     inside = (F.col("parent_pre") < F.col("pre")) & (F.col("parent_post") > F.col("post"))
     return children.join(p, ["rec", "ord"]).where(inside).drop("parent_post")
@@ -92,16 +108,16 @@ def with_ancestor(nodes: DataFrame, name: str, is_parent: Column, what: Column)
 
 
 #: Paths of a Feature that its child tables come from.
-_CHILD_PATHS = r"^(properties\.instruments(\[\])?|geometry\.coordinates(\[\])*|assets\..*)$"
+_CHILD_PATHS = r"^(\d+:properties\.instruments(\[\])?|\d+:geometry\.coordinates(\[\])*|2:assets\..*|3:assets\..*\.eo:bands|4:assets\..*\.eo:bands\[\])\Z"
 
 
-def feature_nodes(raw: DataFrame, *, key: str = "raw_id", payload: str = "payload") -> DataFrame:
+def feature_nodes(raw: DataFrame, *, key: str = "raw_id", payload: str = "payload", values: bool = True) -> DataFrame:
     """Nodes of the Features' instruments, geometry and assets, with their kind and the place of their parents.
 
     kind is instrument, polygon, ring, vertex, asset, band, or null for what lies in between. The member names of
     assets may hold any character, so assets are told by depth, not by path.
     """
-    n = label_nodes(raw, key=key, payload=payload, keep=_CHILD_PATHS)
+    n = label_nodes(raw, key=key, payload=payload, keep=_CHILD_PATHS, values=values)
     coords = F.col("path").startswith("geometry.coordinates")
     level = F.when(coords, F.col("depth") - 2)
     ring = coords & (F.col("type") == "array") & (F.col("child_type") == "vector")
@@ -123,13 +139,13 @@ def feature_nodes(raw: DataFrame, *, key: str = "raw_id", payload: str = "payloa
     return n.withColumn("kind", kind)
 
 
-def feature_children(raw: DataFrame, *, key: str = "raw_id", payload: str = "payload") -> DataFrame:
+def feature_children(raw: DataFrame, *, key: str = "raw_id", payload: str = "payload", values: bool = True) -> DataFrame:
     """(raw_id, feature_ord, child, parent_path, child_ord, value) of the instruments, vertices, assets and bands.
 
     parent_path is '' for an instrument, 'polygon/ring' for a vertex, the asset's name for an asset and a band. A
-    bare string is one instrument; null and [] give none. A lone position is '0/0', as is one of a line.
+    bare string is one instrument; null and [] give none; ``values`` False leaves the values null. A lone position is '0/0', as is one of a line.
     """
-    n = feature_nodes(raw, key=key, payload=payload)
+    n = feature_nodes(raw, key=key, payload=payload, values=values)
     polygon = F.when(F.col("level") >= 3, F.col("first")).otherwise(0)
     ring = F.when(F.col("level") >= 2, F.col("ring.idx")).otherwise(0)
     parent = F.when(F.col("kind") == "vertex", F.concat_ws("/", polygon, ring)).when(F.col("kind") == "asset", F.col("key")).when(F.col("kind") == "band", F.col("asset")).otherwise("")

@@ -47,7 +47,7 @@ def p4_unified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.feature_children(table(spark, d, "raw_stac")).drop("value", "pre", "post")
+    return nested.feature_children(table(spark, d, "raw_stac"), values=False).drop("value", "pre", "post")
 
 
 def p6_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +57,7 @@ def p6_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_asset_bands(spark: SparkSession, d: str) -> DataFrame:
     """Bands with the name and href of their asset, all three node tables linked by interval containment."""
-    n = cut(nested.label_nodes(table(spark, d, "raw_stac"), key="raw_id", payload="payload", keep=r"^assets\."))
+    n = cut(nested.label_nodes(table(spark, d, "raw_stac"), key="raw_id", payload="payload", keep=r"^\d+:assets\."))
     assets = n.where("depth = 2")
     hrefs = nested.link(n.where("depth = 3 AND key = 'href'"), assets).select("rec", "ord", "parent_pre", F.col("value").alias("href"))
     bands = nested.link(n.where("depth = 5 AND key = 'name'"), assets).select("rec", "ord", "parent_pre", F.col("value").alias("band"))

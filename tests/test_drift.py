@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from tests.conftest import rows
 from terrafold.operators import drift
 
@@ -43,6 +45,32 @@ def test_flooding_pairs_names_and_prefers_the_same_parent():
     assert drift.flood({}, new) == [] and drift.flood(old, {}) == []
 
 
+def test_flooding_takes_only_what_can_be_cast_and_carries_structure():
+    pair = lambda x, kx, y, ky: {(a, b) for a, b, _ in drift.flood({("p",): ["object"], ("p", x): kx}, {("p",): ["object"], ("p", y): ky}) if a != b}
+    assert pair("cloud_cover", ["number"], "eo:cloud_cover", ["object"]) == set()
+    assert pair("proj:shape", ["array"], "shape", ["boolean"]) == set()
+    assert len(pair("cloud_cover", ["number"], "eo:cloud_cover", ["string"])) == 1
+    wrapped = drift.flood({("cloud_cover",): ["number"]}, {("eo:cloud_cover",): ["object"], ("eo:cloud_cover", "value"): ["number"]})
+    assert [(a, b) for a, b, _ in wrapped] == [(("cloud_cover",), ("eo:cloud_cover",))]
+    old = {("view",): ["object"], ("view", "azimuth"): ["number"], ("view", "off_nadir"): ["number"]}
+    new = {("acq",): ["object"], ("acq", "azimuth"): ["number"], ("acq", "off_nadir"): ["number"]}
+    assert {(a[-1], b[-1]) for a, b, _ in drift.flood(old, new)} == {("view", "acq"), ("azimuth", "azimuth"), ("off_nadir", "off_nadir")}
+    # one partner each, the best for both
+    got = drift.flood({("cloud_cover",): ["number"], ("cloud_cover_b",): ["number"]}, {("eo:cloud_cover",): ["number"]})
+    assert [(a, b) for a, b, _ in got] == [(("cloud_cover",), ("eo:cloud_cover",))]
+
+
+def test_changes_at_any_depth(spark):
+    band = lambda name: {"B1": {"href": "x", "eo:bands": [{name: "b", "gsd": 1}, 5]}}
+    raw = frame(spark, [("f", "1", 1, f(assets=band("common_name"), view={"azimuth": 1, "off_nadir": 2})), ("f", "2", 2, f(assets=band("commonName"), acq={"azimuth": 1, "off_nadir": 2})), ("f", "3", 3, f(assets={}, acq=None))])
+    got = rows(drift.schema_changes(raw), "file_name", "change", "old_path", "new_path")
+    b = '["assets", "B1", "eo:bands", "[]", "{}"]'
+    assert got == [("2", "renamed", b.replace("{}", "common_name"), b.replace("{}", "commonName")), ("2", "renamed", '["view"]', '["acq"]'), ("3", "removed", '["acq"]', None), ("3", "removed", '["assets", "B1"]', None)]
+    assert rows(drift.found_changes(raw)) == [("2", "acq", "added"), ("2", "view", "removed"), ("3", "acq", "removed")]
+    with pytest.raises(ValueError, match="more than 2 distinct"):
+        drift.unified_table(raw, max_fields=2)
+
+
 def test_unified_table_casts_and_keeps_what_it_cannot(spark):
     raw = frame(
         spark,

@@ -68,6 +68,17 @@ def test_children_keep_their_parents(spark):
 
 def test_linked_tables_agree_with_the_ordered_pass(spark, data):
     raw = spark.read.parquet(f"{data}/raw_stac.parquet")
-    n = nested.label_nodes(raw, key="raw_id", payload="payload", keep=r"^assets\.")
+    n = nested.label_nodes(raw, key="raw_id", payload="payload", keep=r"^\d+:assets\.")
     linked = nested.link(n.where("depth = 4 AND idx IS NOT NULL AND path LIKE '%.eo:bands[]'"), n.where("depth = 2"))
+    every = nested.ancestors(n.where("depth = 4 AND idx IS NOT NULL AND path LIKE '%.eo:bands[]'"), n.where("depth = 2"))
+    assert rows(every, "rec", "ord", "pre", "parent_pre") == rows(linked, "rec", "ord", "pre", "parent_pre")
     assert linked.count() == nested.feature_children(raw).where("child = 'band'").count() > 0
+
+
+def test_any_document_and_numbers_as_nodes(spark):
+    raw = spark.createDataFrame([(1, '{"a": {"b": [1, 2]}, "c": null}'), (2, "7"), (3, "x")], "k long, text string")
+    n = nested.label_nodes(raw, key="k", payload="text", features=False, vectors=False)
+    assert rows(n, "rec", "pre", "post", "path", "type") == [(1, 0, 5, "", "object"), (1, 1, 3, "a", "object"), (1, 2, 2, "a.b", "array"), (1, 3, 0, "a.b[]", "number"), (1, 4, 1, "a.b[]", "number"), (1, 5, 4, "c", "null"), (2, 0, 0, "", "number")]
+    inner = nested.ancestors(n.where("path = 'a.b[]'"), n.where("type = 'object'"))
+    assert inner.count() == 4
+    assert nested.link(n.where("path = 'c'"), n.where("path = 'a'")).collect() == []
