@@ -21,6 +21,16 @@ def product_part(name: Column, group: int) -> Column:
     return _or_null(F.regexp_extract(F.upper(name), r"(?s).*" + PRODUCT, group))
 
 
+def product_parts(*names: Column) -> Column:
+    """The parts of the first name that is a product identifier as an array of seven, '' for a missing baseline; null if none is.
+
+    The pattern is run once per name, where single parts would run it once each.
+    """
+    whole = r"(?s).*" + PRODUCT + ".*"
+    each = F.transform(F.array(*[F.upper(n) for n in names]), lambda n: F.split(F.regexp_replace(n, whole, "$1|$2|$3|$4|$5|$6|$7"), r"\|"))
+    return F.get(F.filter(each, lambda p: F.size(p) == 7), F.lit(0))
+
+
 def tile_code(tile: Column, product: Column | None = None) -> Column:
     """MGRS tile as two-digit zone and three capitals; a code that can't be read is taken from the product name."""
     text = F.regexp_replace(F.upper(tile), r"[^0-9A-Z]", "")
