@@ -15,6 +15,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,9 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrafold.functions.names import product_part, tile_code
+from terrafold.functions.names import product_parts, tile_code
 from terrafold.session import cut, salt_of
 
+_TEXT = r'"(?:[^"\\]|\\.)*"'
+_TEXTS, _ELEMENT = re.compile(rf"\[{_TEXT}(?:,{_TEXT})*\]", re.DOTALL), re.compile(rf"{_TEXT}|[\[\],]", re.DOTALL)
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[\W_]", re.UNICODE)
 
 #: Pairs of columns that are compared token by token; longer values are first cut at the tokens both have once.
@@ -35,8 +38,8 @@ Profile = list[dict[str, float]]
 
 
 def tokens(text: str) -> list[str]:
-    """Runs of letters, runs of digits, and every other character on its own."""
-    return _TOKEN.findall(text)
+    """Runs of letters, runs of digits, and every other character on its own; of a JSON array of texts its texts and the signs between."""
+    return _ELEMENT.findall(text) if _TEXTS.fullmatch(text) else _TOKEN.findall(text)
 
 
 def _cost(column: dict[str, float], total: float, other: dict[str, float], other_total: float) -> float:
@@ -44,9 +47,46 @@ def _cost(column: dict[str, float], total: float, other: dict[str, float], other
     return 1.0 - sum(w * other.get(t, 0.0) for t, w in column.items()) / (total * other_total)
 
 
+def _few_paths(a: Profile, wa: float, b: Profile, wb: float) -> list[tuple[int, int]]:
+    """As _paths, for so few columns that single numbers are faster than arrays."""
+    unit = 1.0 / (wa * wb)
+    gap_b = [1.0 - y.get("", 0.0) * wa * unit for y in b]
+    best = [0.0]
+    for g in gap_b:
+        best.append(best[-1] + g)
+    steps = []
+    for x in a:
+        gap = 1.0 - x.get("", 0.0) * wb * unit
+        left = best[0] + gap
+        row, step = [left], []
+        for j, y in enumerate(b):
+            cost = 1.0
+            for t, w in x.items():
+                if t in y:
+                    cost -= w * y[t] * unit
+            meet, skip, left = best[j] + cost, best[j + 1] + gap, left + gap_b[j]
+            least = meet if meet < skip else skip
+            if left < least:
+                least = left
+            step.append(0 if meet <= least + 1e-9 else 1 if skip <= least + 1e-9 else 2)
+            left = least
+            row.append(least)
+        best = row
+        steps.append(step)
+    out = []
+    i, j = len(a), len(b)
+    while i or j:
+        s = 1 if not j else 2 if not i else steps[i - 1][j - 1]
+        i, j = i - (s != 2), j - (s != 1)
+        out.append((int(s != 2), int(s != 1)))
+    return out[::-1]
+
+
 def _paths(a: Profile, wa: float, b: Profile, wb: float) -> list[tuple[int, int]]:
     """Steps of an alignment of least cost, as (columns of a, columns of b) each 0 or 1; columns meet rather than gap."""
     n, m = len(a), len(b)
+    if n * m <= 400:
+        return _few_paths(a, wa, b, wb)
     gap_a = np.array([_cost(x, wa, {"": wb}, wb) for x in a])
     gap_b = np.array([_cost(y, wb, {"": wa}, wa) for y in b])
     at: dict[str, tuple[list[int], list[float]]] = {}
@@ -110,18 +150,50 @@ def _anchors(a: Profile, b: Profile) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _common_ends(a: list, b: list, same) -> tuple[int, int]:
+    """How many entries two sequences begin and, without these, end with alike."""
+    short = min(len(a), len(b))
+    front = 0
+    while front < short and same(a[front], b[front]):
+        front += 1
+    back = 0
+    while back < short - front and same(a[-1 - back], b[-1 - back]):
+        back += 1
+    return front, back
+
+
+def _side_by_side(a: Profile, wa: float, b: Profile, wb: float) -> bool:
+    """Whether columns paired by place are an alignment of least cost: then no other way can make up for the gap it has on both sides.
+
+    A step costs 1 less the share of tokens that agree. Another way has at least one step more, and in no step can a
+    column of b agree with more than it does with the best column of a for each of its tokens, or with a gap.
+    """
+    if len(a) != len(b):
+        return False
+    unit = 1.0 / (wa * wb)
+    best: dict[str, float] = {}
+    for x in a:
+        for t, w in x.items():
+            if w > best.get(t, 0.0):
+                best[t] = w
+    met = most = 0.0
+    for x, y in zip(a, b):
+        some = 0.0
+        for t, w in y.items():
+            if t in x:
+                met += w * x[t] * unit
+            if t in best:
+                some += w * best[t] * unit
+        most += max(some, y.get("", 0.0) / wb)
+    return most - met <= 1.0 - best.get("", 0.0) / wa
+
+
 def _steps(a: Profile, wa: float, b: Profile, wb: float) -> list[tuple[int, int]]:
     """Steps of an alignment. Columns both begin or end with, all of one token, meet: that is never worse than any other way."""
-    if len(a) == len(b):
-        costs = [_cost(x, wa, y, wb) for x, y in zip(a, b)]
-        # any other way has a gap on both sides
-        if not a or sum(costs) <= min(_cost(x, wa, {"": wb}, wb) for x in a) + min(_cost(y, wb, {"": wa}, wa) for y in b):
-            return [(1, 1)] * len(a)
-    same = lambda x, y: len(x) == 1 and x.keys() == y.keys()
-    short = min(len(a), len(b))
-    front = next((i for i in range(short) if not same(a[i], b[i])), short)
-    back = next((i for i in range(short - front) if not same(a[-1 - i], b[-1 - i])), short - front)
+    front, back = _common_ends(a, b, lambda x, y: len(x) == 1 and x.keys() == y.keys())
     x, y = a[front : len(a) - back], b[front : len(b) - back]
+    if _side_by_side(x, wa, y, wb):
+        return [(1, 1)] * len(a)
     if len(x) * len(y) <= MOST_CELLS:
         inner = _paths(x, wa, y, wb) if x and y else [(1, 0)] * len(x) + [(0, 1)] * len(y)
     else:
@@ -147,14 +219,24 @@ def align(a: Profile, wa: float, b: Profile, wb: float) -> Profile:
     i = j = 0
     for u, v in _steps(a, wa, b, wb):
         x, y = a[i] if u else {"": wa}, b[j] if v else {"": wb}
-        out.append({t: x.get(t, 0.0) + y.get(t, 0.0) for t in {*x, *y}})
+        column = dict(x)
+        for t, w in y.items():
+            column[t] = column.get(t, 0.0) + w
+        out.append(column)
         i, j = i + u, j + v
     return out
 
 
+def _content(p: Profile) -> str:
+    """A text to order profiles of one weight by: the value itself where all columns have one token."""
+    if all(len(c) == 1 for c in p):
+        return "".join([t for c in p for t in c])
+    return json.dumps(p, sort_keys=True)
+
+
 def progressive(items: list[tuple[Profile, float]]) -> tuple[Profile, float]:
     """Aligns profiles one after the other, the heaviest first; ties by content, so the order given doesn't matter."""
-    items = sorted(items, key=lambda it: (-it[1], json.dumps(it[0], sort_keys=True)))
+    items = sorted(items, key=lambda it: (-it[1], _content(it[0])))
     p, w = items[0]
     for q, v in items[1:]:
         p = align(p, w, q, v)
@@ -164,15 +246,13 @@ def progressive(items: list[tuple[Profile, float]]) -> tuple[Profile, float]:
 
 def vote(profile: Profile) -> list[str]:
     """The heaviest token of each column, ties to the smaller one; gaps that win are left out."""
-    winners = [min(c, key=lambda t: (-c[t], t)) for c in profile]
+    winners = [next(iter(c)) if len(c) == 1 else min(c, key=lambda t: (-c[t], t)) for c in profile]
     return [t for t in winners if t]
 
 
 def edits(a: list[str], b: list[str]) -> int:
     """Token insertions, deletions and replacements between two sequences; the time grows with length times edits."""
-    short = min(len(a), len(b))
-    front = next((i for i in range(short) if a[i] != b[i]), short)
-    back = next((i for i in range(short - front) if a[-1 - i] != b[-1 - i]), short - front)
+    front, back = _common_ends(a, b, str.__eq__)
     a, b = a[front : len(a) - back], b[front : len(b) - back]
     if not a or not b:
         return len(a) + len(b)
@@ -217,9 +297,15 @@ def consensus(weights: dict[str, float]) -> str:
     top = min(weights, key=lambda v: (-weights[v], v))
     if 2 * weights[top] > sum(weights.values()):
         return top
-    profile, _ = progressive([([{t: w} for t in tokens(v)], w) for v, w in weights.items()])
+    return _voted(tuple(sorted(weights.items())))
+
+
+@lru_cache(1024)
+def _voted(weights: tuple[tuple[str, float], ...]) -> str:
+    read = {v: tokens(v) for v, _ in weights}
+    profile, _ = progressive([([{t: w} for t in read[v]], w) for v, w in weights])
     won = vote(profile)
-    return min(weights, key=lambda v: (edits(tokens(v), won), -weights[v], v))
+    return min(weights, key=lambda it: (edits(read[it[0]], won), -it[1], it[0]))[0]
 
 
 def _merge_blocks(df: DataFrame, first: bool) -> DataFrame:
@@ -358,16 +444,16 @@ def survivors(records: DataFrame, *, group: Column, key: Column, trust: list[Col
     return out.unionByName(rest)
 
 
-def acquisition_parts(items: DataFrame) -> dict[str, Column]:
-    """Group, baseline, generation time and completeness of catalog records, read from whichever identifier has them."""
-    part = lambda i: F.coalesce(product_part(F.col("item_id"), i), product_part(F.col("product_uri"), i))
-    group = F.when(part(3).isNotNull(), F.concat_ws("_", *[part(i) for i in (1, 2, 3, 6)]))
+def acquisition_parts(items: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Catalog records with the parts of their identifiers, and group, baseline, generation time and completeness read from whichever has them."""
+    read = items.withColumn("_own", product_parts(F.col("item_id"), F.col("product_uri"))).withColumn("_uri", product_parts(F.col("product_uri")))
+    part = lambda c, i: F.when(F.get(c, F.lit(i - 1)) != "", F.get(c, F.lit(i - 1)))
     stated = F.round(F.expr("try_cast(processing_baseline AS double)") * 100).cast("int")
     present = lambda c: F.col(c).isNotNull().cast("int")
-    return {
-        "group": group,
-        "baseline": F.coalesce(product_part(F.col("product_uri"), 4).cast("int"), stated),
-        "generation": F.coalesce(product_part(F.col("product_uri"), 7), product_part(F.col("item_id"), 7)),
+    return read, {
+        "group": F.when(F.col("_own").isNotNull(), F.concat_ws("_", *[part("_own", i) for i in (1, 2, 3, 6)])),
+        "baseline": F.coalesce(part("_uri", 4).cast("int"), stated),
+        "generation": F.coalesce(part("_uri", 7), part("_own", 7)),
         "complete": present("mgrs_tile") + present("cloud_cover") + present("product_uri") + present("generation_time"),
     }
 
@@ -378,7 +464,7 @@ def item_survivors(items: DataFrame, *, least: int = 1) -> DataFrame:
     The fields are all columns of stac_items but rec_id, as text, arrays as JSON text. A column the table lacks is left
     out; those that name the acquisition or its trust must be there.
     """
-    p = acquisition_parts(items)
+    read, p = acquisition_parts(items)
     cols = {
         "item_id": F.col("item_id"),
         "collection": F.col("collection"),
@@ -399,4 +485,4 @@ def item_survivors(items: DataFrame, *, least: int = 1) -> DataFrame:
     }
     cols = {name: c for name, c in cols.items() if name in items.columns}
     weight = (1 + p["complete"]) * (1000 + F.coalesce(p["baseline"], F.lit(0)))
-    return survivors(items, group=p["group"], key=F.col("rec_id"), trust=[p["baseline"], p["generation"], p["complete"]], fields=cols, weight=weight, least=least)
+    return survivors(read, group=p["group"], key=F.col("rec_id"), trust=[p["baseline"], p["generation"], p["complete"]], fields=cols, weight=weight, least=least)
