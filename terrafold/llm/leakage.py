@@ -59,10 +59,16 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def capitals_of(text: str, n: int) -> np.ndarray:
-    """Which of a text's n words begin with a capital; none if lower case changes the number of words."""
+def cased_words(text: str) -> tuple[list[str], np.ndarray | None]:
+    """(words that give words_of(text) when each is put in lower case, which of them begin with a capital or None if their own letters tell).
+
+    Word by word is the same as the whole text at once, but for two capitals whose lower case depends on what is around them.
+    """
     words = _WORD.findall(text)
-    return np.fromiter((w[0].isupper() for w in words), bool, n) if len(words) == n else np.zeros(n, bool)
+    if "\u0130" not in text and "\u03a3" not in text:
+        return words, None
+    lower = words_of(text)
+    return lower, np.fromiter((w[0].isupper() for w in words), bool, len(words)) if len(words) == len(lower) else np.zeros(len(lower), bool)
 
 
 class Powers:
@@ -80,7 +86,7 @@ class Powers:
 
 
 class Templates:
-    """Hashes of words, what stands for them in a template, and their kind. Holds the words it has seen, up to a bound in characters, for speed only."""
+    """Hashes of words, what stands for them in a template, their kind and whether they have a capital. Holds the words it has seen, up to a bound in characters, for speed only."""
 
     def __init__(self, literals: np.ndarray, most: int = 5_000_000) -> None:
         self.literals, self.most = literals, most
@@ -89,14 +95,16 @@ class Templates:
     def _reset(self) -> None:
         self.ids: dict[str, int] = {}
         self.held = 0
-        self.exact, self.template, self.kind = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64), np.zeros(1024, np.uint8)
+        self.exact, self.template, self.kind, self.capital = (np.zeros(1024, t) for t in (np.uint64, np.uint64, np.uint8, bool))
 
     def _id(self, word: str) -> int:
         i = len(self.ids)
         self.ids[word] = i
         self.held += len(word) + 16
         if i == len(self.exact):
-            self.exact, self.template, self.kind = (np.concatenate([a, np.zeros_like(a)]) for a in (self.exact, self.template, self.kind))
+            self.exact, self.template, self.kind, self.capital = (np.concatenate([a, np.zeros_like(a)]) for a in (self.exact, self.template, self.kind, self.capital))
+        self.capital[i] = word[0].isupper()
+        word = word.lower()
         own = np.uint64(xxhash.xxh64_intdigest(word))
         self.exact[i] = own
         if word in NUMBER_WORDS or _DIGIT.search(word):
@@ -107,13 +115,18 @@ class Templates:
             self.template[i], self.kind[i] = (own, _IS_LITERAL) if known else (_NAME, _IS_NAME)
         return i
 
-    def hashes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hashes of the words themselves, of what stands for them, kinds)."""
+    def hashes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes of the words themselves in lower case, of what stands for them, kinds, capitals)."""
         if self.held > self.most:
             self._reset()
-        get, new = self.ids.get, self._id
-        ids = np.fromiter((i if (i := get(w)) is not None else new(w) for w in words), np.int64, len(words))
-        return self.exact[ids], self.template[ids], self.kind[ids]
+        ids = list(map(self.ids.get, words))
+        if None in ids:
+            for at, word in enumerate(words):
+                if ids[at] is None:
+                    known = self.ids.get(word)
+                    ids[at] = self._id(word) if known is None else known
+        at = np.array(ids, np.int64)
+        return self.exact[at], self.template[at], self.kind[at], self.capital[at]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -237,10 +250,11 @@ def text_windows(texts: DataFrame, literals: Broadcast, longest: int | None = No
             for i, text in zip(pdf["id"], pdf["text"]):
                 if text is None or pd.isna(i):
                     continue
-                words = words_of(text)
+                words, capital = cased_words(text)
                 if len(words) < WINDOW:
                     continue
-                for starts, ends, key in text_keys(*templates.hashes(words), capitals_of(text, len(words)), longest or len(words), powers):
+                exact, template, kind, own = templates.hashes(words)
+                for starts, ends, key in text_keys(exact, template, kind, own if capital is None else capital, longest or len(words), powers):
                     if table is not None:
                         hit = table_hits(table.value, key)
                         starts, ends, key = starts[hit], ends[hit], key[hit]
@@ -248,7 +262,7 @@ def text_windows(texts: DataFrame, literals: Broadcast, longest: int | None = No
                         ids.append(i)
                         at.append(a)
                         size.append(b - a)
-                        said.append(" ".join(words[a:b]))
+                        said.append(" ".join([w.lower() for w in words[a:b]]))
                     keys.append(key)
             if ids:
                 yield pd.DataFrame({"id": ids, "pos": at, "n": size, "key": np.concatenate(keys).view(np.int64), "words": said})

@@ -59,7 +59,10 @@ def test_windows_of_mere_numbers_need_equal_words(spark):
 
 def test_words_of_any_script():
     assert lk.words_of("Größe_42 日本語-Ελλάδα") == ["größe", "42", "日本語", "ελλάδα"]
-    assert lk.capitals_of("The Delta of ann", 4).tolist() == [True, True, False, False]
+    for text in ("The Delta of ann", "ΑΣ'ΒΓ ΣΑΣ İstanbul Ab", "straẞe ǅ ŒUVRE 5KM"):
+        words, capital = lk.cased_words(text)
+        assert [w.lower() for w in words] == lk.words_of(text) and (capital is None or len(capital) == len(words))
+    assert lk.cased_words("Σ Ann of")[1].tolist() == [True, True, False]
 
 
 def plain_keys(words, template, kind):
@@ -82,7 +85,7 @@ def plain_keys(words, template, kind):
 def test_windows_are_those_of_a_walk_word_by_word(texts, chunk):
     literals = np.sort(np.array([xxhash.xxh64_intdigest(w) for w in ("km", "a", "b", "c", "d", "the")], np.uint64))
     words = [w.lower() for w in texts]
-    exact, template, kind = lk.Templates(literals).hashes(words)
+    exact, template, kind, _ = lk.Templates(literals).hashes(words)
     before, lk._CHUNK = lk._CHUNK, chunk
     try:
         got = list(lk.text_keys(exact, template, kind, np.zeros(len(words), bool), 40, lk.Powers()))
