@@ -7,15 +7,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrafold.session import cut
+
 
 def numbered(rows: DataFrame, order: list[str], name: str = "ord") -> DataFrame:
     """Adds the place of each row in the order, from 0. Ranks are counted by range partitions, not in one task.
 
     Rows are range partitioned by the order; each partition's number of rows comes first, then rows are counted within.
-    Ties are broken by nothing else, so the order should be total.
+    Ties are broken by nothing else, so the order should be total. The partitions are written once, as their numbers are
+    counted and used in two places that must agree.
     """
     parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    parts = parts.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33))
+    parts = cut(parts.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33)))
     counts = parts.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return parts.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")
@@ -74,6 +77,27 @@ def grouped_table(rows: DataFrame, key: str, columns: list[str], order: str) ->
     return g.select("sample_id", F.size("_p").alias("n_rows"), F.get("_p", F.lit(0))["_o"].alias("first_order"), *[_field("_p", c) for c in columns])
 
 
+def grouped_blocks(rows: DataFrame, key: str, columns: list[str], order: str, *, size: int) -> DataFrame:
+    """As grouped_table, but a key's rows come as blocks of ``size`` of them: sample_id, block, n_rows, and the arrays.
+
+    For keys of any size: places are counted over ranges of (key, order), and no task holds more than a block.
+    """
+    if size < 1:
+        raise ValueError("size must be at least 1")
+    keyed = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("sample_id"), F.col(order).alias("_o"), *columns)
+    placed = numbered(keyed, ["sample_id", "_o", *columns], "_at")
+    first = placed.groupBy("sample_id").agg(F.min("_at").alias("_first"))
+    blocks = placed.join(first, "sample_id").withColumn("block", F.floor((F.col("_at") - F.col("_first")) / size))
+    g = blocks.groupBy("sample_id", "block").agg(F.array_sort(F.collect_list(F.struct("_at", *columns))).alias("_p"))
+    return g.select("sample_id", "block", F.size("_p").alias("n_rows"), *[_field("_p", c) for c in columns])
+
+
+def with_provenance(rows: DataFrame, items: DataFrame, key: str, name: str = "n_items") -> DataFrame:
+    """Rows with the number of provenance items of their key, 0 if it has none; items without a key belong to no row."""
+    per = items.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    return rows.join(per, key, "left").withColumn(name, F.coalesce("_n", F.lit(0))).drop("_n")
+
+
 def manifest(rows: DataFrame, fields: list[str], key: str = "sample_id") -> DataFrame:
     """sample_id and the fields; a field of that name raises."""
     if "sample_id" in fields:

@@ -6,9 +6,11 @@ classes squared. Macro averages run over the classes that occur as label or pred
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.operators.ranking import running_total, value_bucket
+
 #: Fixed metric names and the modes each takes.
 MODES = {"accuracy": ("macro", "micro"), "precision": ("macro", "micro", "per_class"), "recall": ("macro", "micro", "per_class"), "f1": ("macro", "micro", "per_class"), "iou": ("macro", "micro", "per_class"), "mcc": (), "kappa": (), "auroc": ("macro", "micro", "per_class")}
 
@@ -74,15 +76,22 @@ def agreement(conf: DataFrame) -> DataFrame:
 def auroc(scores: DataFrame, *, by: str = "class", score: str = "score", positive: str = "positive") -> DataFrame:
     """(by, auroc) by rank sums with ties averaged; null where a class has only positives or only negatives.
 
-    Scores are counted per distinct value first, so the ordered pass runs over distinct scores.
+    Scores are counted per distinct value first, then ranks run over ranges of scores, so no task holds a class.
     """
     pos = F.col(positive).cast("long")
     d = scores.where(F.col(score).isNotNull() & F.col(positive).isNotNull()).groupBy(by, score).agg(F.sum(pos).alias("p"), F.sum(1 - pos).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = d.withColumn("won", F.col("p") * (below + F.col("n") / 2))
+    d = running_total(d.withColumn("_bucket", value_bucket(F.col(score))), by=[by], bucket="_bucket", order=[F.col(score)], value=F.col("n"), name="_upto")
+    won = d.withColumn("won", F.col("p") * (F.col("_upto") - F.col("n") / 2))
     return won.groupBy(by).agg(F.try_divide(F.sum("won"), (F.sum("p") * F.sum("n")).cast("double")).alias("auroc"))
 
 
+def auroc_summary(scores: DataFrame, *, by: str = "class", score: str = "score", positive: str = "positive") -> DataFrame:
+    """(mode, auroc): macro is the mean over the classes that have one, micro that of all classes' scores as one."""
+    macro = auroc(scores, by=by, score=score, positive=positive).agg(F.avg("auroc").alias("auroc")).select(F.lit("macro").alias("mode"), "auroc")
+    one = scores.select(F.lit("micro").alias("mode"), F.col(score).alias("score"), F.col(positive).alias("positive"))
+    return macro.unionByName(auroc(one, by="mode"))
+
+
 def threshold_sweep(rows: DataFrame, *, n_classes: int, candidates: list[float], metric: str = "f1", label: str = "label", pred: str = "pred", p: str = "p") -> DataFrame:
     """(class, threshold, score): per class the lowest candidate with the best macro score.
 

@@ -73,30 +73,37 @@ def all_buckets(scenes: DataFrame, by: list[str], *, frequency: str = "month") -
     return rows.select(*by, "bucket", bucket_end(F.col("bucket"), F.col("end"), frequency).alias("bucket_end"))
 
 
-def fill_nearest(buckets: DataFrame, scenes: DataFrame, by: list[str], *, value: str = "value", ties: str = "item_id") -> DataFrame:
+def fill_nearest(buckets: DataFrame, scenes: DataFrame, by: list[str], *, value: str = "value", ties: str = "item_id", piece_days: int = 61) -> DataFrame:
     """Per bucket its earliest scene, or for an empty one the scene nearest to its middle: by, bucket, scene_ts, value, filled.
 
-    The nearest scene is the last one up to the middle or the first one after it, found by one ordered pass over
-    buckets and scenes of the series together; of two equally near ones the earlier wins.
+    The nearest scene is the last one up to the middle or the first one after it; of two equally near ones the earlier
+    wins. Series are cut into pieces of time: a bucket meets the scenes of the pieces it reaches into, and a middle is
+    ordered with those of its own piece and with the last scene of any piece before and the first of any after.
     """
-    s = scenes.where("ts IS NOT NULL").select(*by, "ts", F.struct("ts", F.coalesce(F.col(ties), F.lit("")).alias("tie"), F.col(value).alias("v")).alias("scene"))
+    piece = lambda t: F.floor(F.unix_micros(t.cast("timestamp")) / F.lit(piece_days * 86_400_000_000))
+    s = scenes.where("ts IS NOT NULL").select(*by, "ts", F.struct("ts", F.coalesce(F.col(ties), F.lit("")).alias("tie"), F.col(value).alias("v")).alias("scene"), piece(F.col("ts")).alias("piece"))
     mid = F.timestamp_add("MICROSECOND", F.floor(F.timestamp_diff("MICROSECOND", F.col("bucket"), F.col("bucket_end")) / 2), F.col("bucket"))
     b = buckets.select(*by, "bucket", "bucket_end", mid.alias("mid"))
+    # of scenes at one time the first in order counts
+    times = s.groupBy(*by, "piece", "ts").agg(F.min("scene").alias("scene"))
     null = F.lit(None)
-    both = s.select(*by, F.col("ts").alias("at"), F.lit(0).alias("kind"), "scene", null.cast("timestamp_ntz").alias("bucket"), null.cast("timestamp_ntz").alias("bucket_end"), null.cast("timestamp_ntz").alias("mid")).unionAll(
-        b.select(*by, F.col("mid").alias("at"), F.lit(1).alias("kind"), null.cast(s.schema["scene"].dataType).alias("scene"), "bucket", "bucket_end", "mid")
+    both = times.select(*by, "piece", F.col("ts").alias("at"), F.lit(0).alias("kind"), "scene", null.cast("timestamp_ntz").alias("bucket")).unionAll(
+        b.select(*by, piece(F.col("mid")).alias("piece"), F.col("mid").alias("at"), F.lit(1).alias("kind"), null.cast(s.schema["scene"].dataType).alias("scene"), "bucket")
     )
-    w = Window.partitionBy(*by).orderBy("at", "kind", "scene")
+    # one row per piece, those with middles only too: what lies before and after it
+    ends = both.groupBy(*by, "piece").agg(F.max("scene").alias("_last"), F.min("scene").alias("_first"))
+    over = Window.partitionBy(*by).orderBy("piece")
+    ends = ends.select(*by, "piece", F.last("_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"), F.first("_first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    w = Window.partitionBy(*by, "piece").orderBy("at", "kind")
     before = F.last("scene", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first("scene", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    # of scenes at one time the first in order counts
-    first_at = F.min("scene").over(Window.partitionBy(*by, "at"))
-    both = both.withColumn("scene", F.when(F.col("kind") == 0, first_at))
-    got = both.withColumn("before", before).withColumn("after", after).where("kind = 1")
-    gap = lambda c: F.abs(F.timestamp_diff("MICROSECOND", F.col(f"{c}.ts"), F.col("mid")))
+    got = both.withColumn("before", before).withColumn("after", after).where("kind = 1").join(ends, [*by, "piece"])
+    got = got.withColumn("before", F.coalesce("before", "_earlier")).withColumn("after", F.coalesce("after", "_later"))
+    gap = lambda c: F.abs(F.timestamp_diff("MICROSECOND", F.col(f"{c}.ts"), F.col("at")))
     nearest = F.when(F.col("after").isNull() | (gap("before") <= gap("after")), F.col("before")).otherwise(F.col("after"))
-    got = got.withColumn("near", nearest).select(*by, "bucket", "bucket_end", "near")
-    inside = s.join(b.select(*by, "bucket", "bucket_end"), by).where("ts BETWEEN bucket AND bucket_end").groupBy(*by, "bucket").agg(F.min("scene").alias("own"))
+    got = got.withColumn("near", nearest).select(*by, "bucket", "near")
+    reached = b.withColumn("piece", F.explode(F.sequence(piece(F.col("bucket")), piece(F.col("bucket_end"))))).select(*by, "piece", "bucket", "bucket_end")
+    inside = times.join(reached, [*by, "piece"]).where("ts BETWEEN bucket AND bucket_end").groupBy(*by, "bucket").agg(F.min("scene").alias("own"))
     out = got.join(inside, [*by, "bucket"], "left")
     use = F.coalesce("own", "near")
     return out.select(*by, "bucket", use["ts"].alias("scene_ts"), use["v"].alias("value"), F.col("own").isNull().alias("filled"))

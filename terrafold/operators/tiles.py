@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.functions.classes import panel_kind
+from terrafold.operators.ranking import exact_percentiles
+
 PIXEL_COLUMNS = {"anchor_id": "string", "layer": "string", "ts": "timestamp_ntz", "band": "string", "y": "int", "x": "int", "value": "double"}
 ANCHOR_COLUMNS = ("crs", "minx", "miny", "maxx", "maxy", "res", "width", "height")
 
@@ -36,6 +39,34 @@ def layer_summary(pixels: DataFrame) -> DataFrame:
     return g.select("anchor_id", "layer", F.greatest(F.size("b"), F.lit(1)).alias("n_bands"), F.concat_ws(",", "b").alias("bands"), "n_times", (F.col("n_times") > 0).alias("has_time"))
 
 
+def panel_summary(pixels: DataFrame) -> DataFrame:
+    """(layer, n_bands, n_values, is_float, kind): what decides how a layer is shown, and how.
+
+    Distinct values come first, so the wide aggregation sees few rows.
+    """
+    v = pixels.groupBy("layer", "band", "value").agg(F.lit(1).alias("one"))
+    g = v.groupBy("layer").agg(F.greatest(F.count_distinct("band"), F.lit(1)).alias("n_bands"), F.count_distinct("value").alias("n_values"), F.bool_or(F.col("value") != F.floor("value")).alias("is_float"))
+    return g.withColumn("kind", panel_kind(F.col("n_bands"), F.col("is_float"), F.col("n_values")))
+
+
+def classes_present(pixels: DataFrame) -> DataFrame:
+    """(layer, classes): the class codes of each layer in order, as text with commas between; null is none."""
+    p = pixels.where(F.col("value").isNotNull()).groupBy("layer", F.col("value").cast("int").alias("c")).agg(F.lit(1).alias("one"))
+    return p.groupBy("layer").agg(F.array_sort(F.collect_list("c")).alias("c")).select("layer", F.concat_ws(",", F.col("c").cast("array<string>")).alias("classes"))
+
+
+def stretch_limits(pixels: DataFrame, by: list[str], *, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """(by, lo, hi): exact percentiles to stretch between; the least and the greatest value where both are the same."""
+    q = exact_percentiles(pixels, by, "value", [low, high, 0.0, 1.0], ["lo", "hi", "_min", "_max"])
+    flat = F.col("hi") <= F.col("lo")
+    return q.select(*by, F.when(flat, F.col("_min")).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("_max")).otherwise(F.col("hi")).alias("hi"))
+
+
+def area_total(pixels: DataFrame, by: list[str], *, res: float, per: float = 10_000.0) -> DataFrame:
+    """(by, total): the sum of a value given per ``per`` square metres over pixels of ``res`` metres; null values count nothing."""
+    return pixels.groupBy(*by).agg((F.sum("value") * res * res / per).alias("total"))
+
+
 def rgb_subset(bands: Column, rgb: list[str]) -> Column:
     """The rgb bands in their order if the layer has all of them, else null."""
     want = F.array(*map(F.lit, rgb))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.functions import classes, indices
-from terrafold.operators import align, catalog, components, focal, grid, temporal
+from terrafold.operators import align, catalog, components, focal, grid, temporal, tiles
 from terrafold.session import table
 from terrafold.sources import sensors
 
@@ -124,7 +124,7 @@ SELECT band, round(lo, 6) AS lo, round(hi, 6) AS hi, round(avg(greatest(0, least
 FROM pixels JOIN p USING (band) WHERE layer = 'sentinel_2_l2a' AND value NOT IN (-9999, 65535) GROUP BY band, lo, hi""")
 def stretch_p2_p98(spark, d):
     p = table(spark, d, "pixels").where(F.col("layer") == "sentinel_2_l2a").where(~F.col("value").isin(*NODATA) & F.col("band").isNotNull())
-    q = p.groupBy("band").agg(F.percentile("value", F.array(F.lit(0.02), F.lit(0.98))).alias("q")).select("band", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    q = tiles.stretch_limits(p, ["band"])
     s = p.join(q, "band").withColumn("s", classes.stretch(F.col("value"), F.col("lo"), F.col("hi")))
     return s.groupBy("band", "lo", "hi").agg(F.round(F.avg("s"), 6).alias("mean_stretched"), F.count("*").alias("n")).select("band", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "mean_stretched", "n")
 
@@ -133,17 +133,12 @@ def stretch_p2_p98(spark, d):
 CASE WHEN greatest(count(DISTINCT band), 1) >= 3 THEN 'rgb' WHEN greatest(count(DISTINCT band), 1) = 2 THEN 'fallback' WHEN bool_or(value <> floor(value)) THEN 'continuous' WHEN count(DISTINCT value) <= 32 THEN 'categorical' ELSE 'continuous' END AS kind
 FROM pixels GROUP BY layer""")
 def panel_kind(spark, d):
-    p = table(spark, d, "pixels")
-    # distinct values first: the wide aggregation then sees few rows
-    v = p.groupBy("layer", "band", "value").agg(F.lit(1).alias("one"))
-    g = v.groupBy("layer").agg(F.greatest(F.count_distinct("band"), F.lit(1)).alias("n_bands"), F.count_distinct("value").alias("n_values"), F.bool_or(F.col("value") != F.floor("value")).alias("is_float"))
-    return g.withColumn("kind", classes.panel_kind(F.col("n_bands"), F.col("is_float"), F.col("n_values")))
+    return tiles.panel_summary(table(spark, d, "pixels"))
 
 
 @query("SELECT layer, string_agg(CAST(CAST(value AS INTEGER) AS VARCHAR), ',' ORDER BY value) AS classes FROM (SELECT DISTINCT layer, value FROM pixels WHERE layer IN ('scl', 'dynamicworld') AND value IS NOT NULL) GROUP BY layer")
 def classes_present(spark, d):
-    p = table(spark, d, "pixels").where(F.col("layer").isin("scl", "dynamicworld") & F.col("value").isNotNull())
-    return p.groupBy("layer").agg(F.array_sort(F.collect_set(F.col("value").cast("int"))).alias("c")).select("layer", F.concat_ws(",", F.col("c").cast("array<string>")).alias("classes"))
+    return tiles.classes_present(table(spark, d, "pixels").where(F.col("layer").isin("scl", "dynamicworld")))
 
 
 PALETTE = {0: "#419bdf", 1: "#397d49", 2: "#88b053", 3: "#7a87c6", 4: "#e49635"}
@@ -280,19 +275,21 @@ def _boxes(spark, d):
     return table(spark, d, "footprints").select(F.col("footprint_id").alias("key"), *[c.alias(n) for c, n in zip(b, ("w", "s", "e", "n"))], F.coalesce("geometry_type", F.lit("")).alias("kind"))
 
 
-_BOX = "b AS (SELECT footprint_id AS k, bbox[1] AS w, bbox[2] AS s, bbox[3] AS e, bbox[4] AS n, coalesce(geometry_type, '') AS kind FROM footprints WHERE bbox IS NOT NULL AND bbox[1] <= bbox[3])"
+_BOX = """b0 AS (SELECT footprint_id AS k, bbox[1] AS w, bbox[2] AS s, bbox[3] AS e, bbox[4] AS n, coalesce(geometry_type, '') AS kind, floor((bbox[1] + 180.0) / 360.0) * 360.0 AS turn FROM footprints WHERE bbox IS NOT NULL),
+b1 AS (SELECT k, kind, s, n, w - turn AS w, e - turn + CASE WHEN w > e THEN 360.0 ELSE 0.0 END AS e FROM b0),
+b AS (SELECT k, kind, s, n, w, e, FALSE AS t FROM b1 UNION ALL SELECT k, kind, s, n, w - 360.0, e - 360.0, TRUE FROM b1 WHERE e >= 180)"""
 
 
-@query(f"WITH {_BOX} SELECT p.kind AS kind, p.k AS a, q.k AS b FROM b p JOIN b q ON p.kind = q.kind AND p.k < q.k AND p.w <= q.e AND q.w <= p.e AND p.s <= q.n AND q.s <= p.n")
+@query(f"WITH {_BOX} SELECT DISTINCT p.kind AS kind, p.k AS a, q.k AS b FROM b p JOIN b q ON p.kind = q.kind AND p.k < q.k AND NOT (p.t AND q.t) AND p.w <= q.e AND q.w <= p.e AND p.s <= q.n AND q.s <= p.n")
 def touching_boxes(spark, d):
-    return components.touching_boxes(_boxes(spark, d), ["kind"], cell=0.25).select("kind", "a", "b")
+    return components.touching_boxes(_boxes(spark, d), ["kind"], cell=0.25, world=360.0).select("kind", "a", "b")
 
 
-@query(f"""WITH RECURSIVE {_BOX}, edge AS (SELECT p.k AS a, q.k AS b FROM b p JOIN b q ON p.kind = q.kind AND p.k <> q.k AND p.w <= q.e AND q.w <= p.e AND p.s <= q.n AND q.s <= p.n),
+@query(f"""WITH RECURSIVE {_BOX}, edge AS (SELECT DISTINCT p.k AS a, q.k AS b FROM b p JOIN b q ON p.kind = q.kind AND p.k <> q.k AND NOT (p.t AND q.t) AND p.w <= q.e AND q.w <= p.e AND p.s <= q.n AND q.s <= p.n),
 reach(k, c) AS (SELECT footprint_id, footprint_id FROM footprints UNION SELECT e.b, r.c FROM reach r JOIN edge e ON e.a = r.k)
 SELECT k AS key, min(c) AS component FROM reach GROUP BY k""")
 def box_components(spark, d):
-    return components.box_components(_boxes(spark, d), ["kind"], cell=0.25)
+    return components.box_components(_boxes(spark, d), ["kind"], cell=0.25, world=360.0)
 
 
 # --- scenes ------------------------------------------------------------------------------------------

@@ -62,11 +62,13 @@ def extract_key(spark, d):
 
 
 _LOC = """loc AS (SELECT footprint_id, CASE WHEN x >= -180 AND x < 180 THEN x ELSE x + 180 - floor((x + 180) / 360) * 360 - 180 END AS lon, y AS lat FROM (
-SELECT footprint_id, CASE WHEN bbox[1] > bbox[3] THEN (bbox[1] + bbox[3] + 360) / 2 ELSE (bbox[1] + bbox[3]) / 2 END AS x, (bbox[2] + bbox[4]) / 2 AS y FROM footprints WHERE bbox IS NOT NULL))"""
+SELECT footprint_id, CASE WHEN bbox IS NOT NULL THEN (CASE WHEN bbox[1] > bbox[3] THEN (bbox[1] + bbox[3] + 360) / 2 ELSE (bbox[1] + bbox[3]) / 2 END)
+  ELSE (list_min(list_transform(coordinates, lambda p: p[1])) + list_max(list_transform(coordinates, lambda p: p[1]))) / 2 END AS x,
+CASE WHEN bbox IS NOT NULL THEN (bbox[2] + bbox[4]) / 2 ELSE (list_min(list_transform(coordinates, lambda p: p[2])) + list_max(list_transform(coordinates, lambda p: p[2]))) / 2 END AS y FROM footprints) WHERE x IS NOT NULL AND y IS NOT NULL)"""
 
 
 def _locations(spark, d):
-    """Every footprint that has a location; the SQL (_LOC) knows only those with a bbox."""
+    """Every footprint that has a location."""
     lon, lat = points.footprint_location(F.col("bbox"), F.col("coordinates"))
     return table(spark, d, "footprints").select("footprint_id", lon.alias("lon"), lat.alias("lat"), "created_at", "bbox").where("lon IS NOT NULL AND lat IS NOT NULL")
 
@@ -93,12 +95,14 @@ def coordinate_text(spark, d):
     return _locations(spark, d).select("footprint_id", geo.coordinate_text(F.col("lon"), F.col("lat")).alias("place"))
 
 
-@query("""SELECT footprint_id, CAST(ceil(bbox[3] / 0.01) - floor(bbox[1] / 0.01) AS INTEGER) AS width, CAST(ceil(bbox[4] / 0.01) - floor(bbox[2] / 0.01) AS INTEGER) AS height, round(floor(bbox[1] / 0.01) * 0.01, 6) AS minx, round(ceil(bbox[4] / 0.01) * 0.01, 6) AS maxy
-FROM footprints WHERE bbox[1] <= bbox[3]""")
+@query("""WITH f AS (SELECT footprint_id, [bbox[1], bbox[2], CASE WHEN bbox[1] > bbox[3] THEN bbox[3] + 360 ELSE bbox[3] END, bbox[4]] AS bbox FROM footprints WHERE bbox IS NOT NULL)
+SELECT footprint_id, CAST(ceil(bbox[3] / 0.01) - floor(bbox[1] / 0.01) AS INTEGER) AS width, CAST(ceil(bbox[4] / 0.01) - floor(bbox[2] / 0.01) AS INTEGER) AS height, round(floor(bbox[1] / 0.01) * 0.01, 6) AS minx, round(ceil(bbox[4] / 0.01) * 0.01, 6) AS maxy
+FROM f""")
 def grid_of_box(spark, d):
+    """Grids of all boxes; one over the 180 degree line goes on beyond it."""
     w, s, e, n = (F.get("bbox", F.lit(i)) for i in range(4))
-    g = geo.grid_of_box(w, s, e, n, 0.01)
-    return table(spark, d, "footprints").where(w <= e).select("footprint_id", g["width"].alias("width"), g["height"].alias("height"), F.round(g["minx"], 6).alias("minx"), F.round(g["maxy"], 6).alias("maxy"))
+    g = geo.grid_of_box(w, s, F.when(w > e, e + 360.0).otherwise(e), n, 0.01)
+    return table(spark, d, "footprints").where("bbox IS NOT NULL").select("footprint_id", g["width"].alias("width"), g["height"].alias("height"), F.round(g["minx"], 6).alias("minx"), F.round(g["maxy"], 6).alias("maxy"))
 
 
 @query("""WITH r AS (SELECT footprint_id, coordinates AS c FROM footprints WHERE len(coordinates) >= 3)
@@ -168,6 +172,13 @@ def table_group(spark, d):
     return g.select("sample_id", "n_rows", "first_order", F.concat_ws(",", "file_name").alias("files"))
 
 
+@query("""WITH r AS (SELECT mgrs_tile AS sample_id, file_name, (row_number() OVER (PARTITION BY mgrs_tile ORDER BY label_no) - 1) // 16 AS block, label_no FROM yolo_labels WHERE mgrs_tile IS NOT NULL)
+SELECT sample_id, block, CAST(count(*) AS INTEGER) AS n_rows, string_agg(file_name, ',' ORDER BY label_no) AS files FROM r GROUP BY 1, 2""")
+def table_blocks(spark, d):
+    g = datasets.grouped_blocks(table(spark, d, "yolo_labels"), "mgrs_tile", ["file_name"], "label_no", size=16)
+    return g.select("sample_id", "block", "n_rows", F.concat_ws(",", "file_name").alias("files"))
+
+
 @query("SELECT vec_id AS sample_id, label FROM embeddings")
 def manifest(spark, d):
     return datasets.manifest(table(spark, d, "embeddings"), ["label"], "vec_id").withColumn("sample_id", F.col("sample_id").cast("long"))
@@ -268,6 +279,15 @@ def auroc_ovr(spark, d):
     return metrics.auroc(s).withColumn("auroc", F.round("auroc", 9))
 
 
+@query(f"""WITH {_PROB}, s AS (SELECT label, unnest(range(10)) AS class, unnest(p) AS score FROM t), m AS (SELECT 'micro' AS class, CAST(label = class AS INTEGER) AS pos, score FROM s UNION ALL SELECT CAST(class AS VARCHAR), CAST(label = class AS INTEGER), score FROM s),
+r AS (SELECT class, pos, rank() OVER (PARTITION BY class ORDER BY score) + (count(*) OVER (PARTITION BY class, score) - 1) / 2.0 AS rk FROM m),
+a AS (SELECT class, (sum(rk) FILTER (pos = 1) - sum(pos) * (sum(pos) + 1) / 2.0) / nullif(sum(pos) * (count(*) - sum(pos)), 0) AS auroc FROM r GROUP BY class)
+SELECT 'macro' AS mode, round(avg(auroc), 9) AS auroc FROM a WHERE class <> 'micro' UNION ALL SELECT 'micro', round(auroc, 9) FROM a WHERE class = 'micro'""")
+def auroc_macro_micro(spark, d):
+    s = predictions(spark, d).select("label", F.posexplode("p").alias("class", "score")).select("class", "score", (F.col("label") == F.col("class")).alias("positive"))
+    return metrics.auroc_summary(s).withColumn("auroc", F.round("auroc", 9))
+
+
 @query(f"""WITH {_PROB}, g AS (SELECT unnest(range(10)) AS c), h AS (SELECT c, unnest(range(0, 11)) / 10.0 AS t FROM g),
 x AS (SELECT c, h.t AS t, label, pred, pred <> c OR conf >= h.t AS shown FROM t, h),
 k AS (SELECT c, t, class, sum(tp) AS tp, sum(w) AS w FROM (SELECT c, t, label AS class, CASE WHEN shown AND label = pred THEN 1 ELSE 0 END AS tp, CASE WHEN shown AND label = pred THEN 0 ELSE 1 END AS w FROM x UNION ALL SELECT c, t, pred, 0, CASE WHEN shown AND label <> pred THEN 1 ELSE 0 END FROM x) GROUP BY ALL),
@@ -291,7 +311,7 @@ def cross_entropy(spark, d):
 
 @query("SELECT anchor_id, round(sum(value) * 10 * 10 / 10000.0, 6) AS total FROM pixels WHERE layer = 'ndvi' GROUP BY anchor_id")
 def area_weighted_total(spark, d):
-    return table(spark, d, "pixels").where("layer = 'ndvi'").groupBy("anchor_id").agg(F.round(F.sum("value") * 10 * 10 / 10000.0, 6).alias("total"))
+    return tiles.area_total(table(spark, d, "pixels").where("layer = 'ndvi'"), ["anchor_id"], res=10.0).withColumn("total", F.round("total", 6))
 
 
 def _tiles(spark, d):
@@ -350,8 +370,7 @@ def provenance_append(spark, d):
 
 @query("""SELECT i.rec_id, coalesce(s.n, 0) AS n_scenes FROM stac_items i LEFT JOIN (SELECT item_id, count(*) AS n FROM scenes WHERE item_id IS NOT NULL GROUP BY 1) s USING (item_id)""")
 def sidecar_join(spark, d):
-    s = table(spark, d, "scenes").where("item_id IS NOT NULL").groupBy("item_id").agg(F.count("*").alias("n"))
-    return table(spark, d, "stac_items").join(s, "item_id", "left").select("rec_id", F.coalesce("n", F.lit(0)).alias("n_scenes"))
+    return datasets.with_provenance(table(spark, d, "stac_items"), table(spark, d, "scenes"), "item_id", "n_scenes").select("rec_id", "n_scenes")
 
 
 @query("""SELECT p.band, count(*) AS n, max(g.gsd) AS gsd FROM pixels p JOIN (SELECT * FROM (VALUES ('B02', CAST(10 AS DOUBLE)), ('B03', 10), ('B04', 10), ('B08', 10)) t(band, gsd)) g USING (band) GROUP BY 1""")
@@ -411,6 +430,16 @@ def tag_json(spark, d):
     return t.select("rec_id", "tag", tiles.read_tag(F.col("tag"))[0].alias("start"))
 
 
+@query("""WITH e AS (SELECT anchor_id, layer, band, ts, y // 128 AS cy, x // 128 AS cx, (y % 128) * 128 + x % 128 AS i, value FROM pixels)
+SELECT anchor_id, layer, band, ts, CAST(cy AS INTEGER) AS cy, CAST(cx AS INTEGER) AS cx, CAST(count(*) AS INTEGER) AS n, CAST(min(i) AS INTEGER) AS first, CAST(max(i) AS INTEGER) AS last, count(value) AS n_values, round(sum(value), 4) AS total FROM e GROUP BY ALL""")
+def chunk_entries(spark, d):
+    """What the chunks of pixels hold: their number, first and last place, and sum."""
+    c = tiles.pixels_to_chunks(table(spark, d, "pixels"), ["anchor_id", "layer", "band", "ts"], 128)
+    values = F.filter(F.transform("entries", lambda e: e["v"]), lambda v: v.isNotNull())
+    total = F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, v: a + v))
+    return c.select("anchor_id", "layer", "band", "ts", "cy", "cx", F.size("entries").alias("n"), F.get("entries", F.lit(0))["i"].alias("first"), F.get("entries", F.size("entries") - 1)["i"].alias("last"), F.size(values).cast("long").alias("n_values"), F.round(total, 4).alias("total"))
+
+
 @query("""SELECT vec_id, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x, CAST(v AS DOUBLE) AS value FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddings)""")
 def nested_arrays(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.transform(F.slice("embedding", r * 8 + 1, 8), lambda v: v.cast("double"))).alias("values"))
@@ -424,14 +453,13 @@ def resize_bilinear(spark, d):
     return r.select("vec_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), (F.round("value", 6) + 0.0).alias("value"))
 
 
-@query(f"""WITH {_TILE} SELECT vec_id, y, x, CAST(CASE WHEN round(value, 4) > 0 THEN 0 ELSE 1 END AS INTEGER) AS pred FROM px WHERE abs(value) > 0.001""")
+@query(f"""WITH {_TILE} SELECT vec_id, y, x, CAST(CASE WHEN value >= 0 THEN 0 ELSE 1 END AS INTEGER) AS pred FROM px""")
 def segment_tiles(spark, d):
     """A model of two classes, the value and its negative, run over overlapping patches."""
     import numpy as np
 
     s = inference.segment(_tiles(spark, d), ["vec_id"], lambda x: np.stack([x, -x], axis=1), height=8, width=8, size=4, overlap=0.5, n_classes=2, pad=2)
-    known = _tiles(spark, d).where(F.abs("value") > 0.001).select("vec_id", "y", "x")
-    return s.join(known, ["vec_id", "y", "x"], "left_semi").select("vec_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "pred")
+    return s.select("vec_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "pred")
 
 
 def queries() -> dict:

@@ -29,7 +29,8 @@ def save_layers(pixels: DataFrame, path: str, *, overwrite: bool = True) -> None
         both = sorted(there & {r[0] for r in pixels.select("layer").distinct().collect()}) if there else []
         if both:
             raise ValueError(f"{path} already has {', '.join(both)}")
-    out = pixels.repartition("layer", "anchor_id").sortWithinPartitions("layer", "anchor_id", "y", "x")
+    # by blocks of pixels, so that a large anchor is written by several tasks
+    out = pixels.repartition("layer", "anchor_id", F.floor(F.col("y") / 512), F.floor(F.col("x") / 512)).sortWithinPartitions("layer", "anchor_id", "y", "x")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layer").parquet(path)
 
 

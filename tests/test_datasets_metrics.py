@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from terrafold.operators import catalog, datasets, metrics
+from terrafold.operators import catalog, datasets, metrics, ranking, tiles
 from terrafold.sources import sensors
 
 
@@ -121,3 +121,22 @@ def test_sensor_tables(spark):
             sensors.lookup(spark, *bad)
     p = spark.createDataFrame([("vv", -12.113), ("x", 1.0), ("vh", None)], "band string, value double")
     assert sorted(map(str, sensors.normalize(p, sensors.bands(spark).where("sensor = 'sentinel-1-rtc'")).select("value").collect())) == ["Row(value=0.0)", "Row(value=1.0)", "Row(value=None)"]
+
+
+def test_exact_percentiles_of_any_values(spark):
+    rng = np.random.default_rng(8)
+    data = {"a": rng.normal(0, 1e4, 501).tolist(), "b": [3.0] * 7, "c": rng.integers(-3, 3, 60).astype(float).tolist(), "d": [0.25]}
+    df = spark.createDataFrame([(g, v) for g, vs in data.items() for v in vs] + [("a", None), ("e", None), ("a", float("nan"))], "g string, value double")
+    got = ranking.exact_percentiles(df, ["g"], "value", [0.02, 0.5, 1.0], ["p", "q", "r"])
+    assert sorted(got.columns) == ["g", "p", "q", "r"]
+    for r in got.collect():
+        assert np.allclose([r.p, r.q, r.r], np.quantile(data[r.g], [0.02, 0.5, 1.0]))
+    assert got.count() == 4
+    flat = tiles.stretch_limits(df.where("g IN ('b', 'd')"), ["g"])
+    assert rows(flat) == [("b", 3.0, 3.0), ("d", 0.25, 0.25)]
+
+
+def test_blocks_of_a_large_key(spark):
+    df = spark.createDataFrame([(1, "x", i) for i in range(10)] + [(2, "y", 0), (None, "z", 1)], "k int, v string, o int")
+    g = datasets.grouped_blocks(df, "k", ["v"], "o", size=4)
+    assert rows(g, "sample_id", "block", "n_rows") == [("1", 0, 4), ("1", 1, 4), ("1", 2, 2), ("2", 0, 1)]

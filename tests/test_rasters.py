@@ -96,3 +96,16 @@ def test_components_of_chains_copies_and_nulls(spark):
     for cell in (0.3, 50.0):
         assert rows(components.box_components(boxes, ["kind"], cell=cell)) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 1), (6, 6), (7, 7)]
     assert rows(components.touching_boxes(boxes, ["kind"], cell=0.7, rows_per_salt=1), "a", "b") == [(1, 2), (1, 5), (2, 3), (2, 5)]
+
+
+def test_boxes_over_the_line_and_of_any_size(spark):
+    boxes = spark.createDataFrame(
+        [(1, 179.0, 0.0, -179.0, 1.0), (2, -179.5, 0.5, -178.0, 2.0), (3, 181.5, 0.0, 183.0, 1.0), (4, 178.0, 0.0, 179.0, 0.5), (5, -180.0, -90.0, 180.0, -10.0), (6, 10.0, -10.0, 10.0, 5.0), (7, 12.0, 4.0, 13.0, 6.0), (8, 170.0, -5.0, -170.0, -20.0)],
+        "key long, w double, s double, e double, n double",
+    )
+    want = [(1, 2), (1, 4), (2, 3), (5, 6)]
+    for cell in (0.25, 3.0, 500.0):
+        assert rows(components.touching_boxes(boxes, [], cell=cell, world=360.0), "a", "b") == want
+        assert rows(components.touching_boxes(boxes, [], cell=cell, world=360.0, rows_per_salt=1), "a", "b") == want
+    assert rows(components.touching_boxes(boxes, [], cell=0.25), "a", "b") == [(5, 6)]
+    assert rows(components.box_components(boxes, [], cell=0.25, world=360.0)) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5), (7, 7), (8, 8)]
