@@ -7,14 +7,18 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["wrap_longitude", "utm_epsg", "utm_forward", "grid_of_box", "coordinate_text", "footprint_json", "ring_area", "resolution_text"]
+__all__ = ["wrap_longitude", "utm_epsg", "utm_forward", "utm_inverse", "grid_of_box", "coordinate_text", "footprint_json", "ring_area", "resolution_text"]
 
 #: WGS 84.
 _A, _F = 6378137.0, 1 / 298.257223563
 _N = _F / (2 - _F)
 _RADIUS = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_E = 2 * math.sqrt(_N) / (1 + _N)
 #: Coefficients of the forward Krueger series, to the third order in the third flattening.
 _ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
+#: Those of the inverse series, and of the latitude from the conformal one.
+_BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
+_DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
 
 
 def wrap_longitude(lon: Column) -> Column:
@@ -32,12 +36,12 @@ def utm_epsg(lon: Column, lat: Column) -> Column:
 
 
 def utm_forward(lon: Column, lat: Column, epsg: Column | None = None) -> tuple[Column, Column]:
-    """(easting, northing) in the UTM zone of an EPSG code, the point's own if none is given. Polar codes are not projected."""
+    """(easting, northing) in the UTM zone of an EPSG code, the point's own if none is given. Polar codes are not projected; ``planes`` knows them."""
     code = utm_epsg(lon, lat) if epsg is None else epsg
     zone, south = code % 100, code >= 32700
     dlon = F.radians(lon - (zone * 6 - 183))
     s = F.sin(F.radians(lat))
-    e = 2 * math.sqrt(_N) / (1 + _N)
+    e = _E
     atanh = lambda x: F.lit(0.5) * F.log((1 + x) / (1 - x))
     t = F.sinh(atanh(s) - F.lit(e) * atanh(F.lit(e) * s))
     xi, eta = F.atan2(t, F.cos(dlon)), atanh(F.sin(dlon) / F.sqrt(1 + t * t))
@@ -48,6 +52,26 @@ def utm_forward(lon: Column, lat: Column, epsg: Column | None = None) -> tuple[C
     return F.lit(500000.0) + F.lit(0.9996 * _RADIUS) * x, F.when(south, F.lit(1e7)).otherwise(F.lit(0.0)) + F.lit(0.9996 * _RADIUS) * y
 
 
+def _latitude(conformal: Column) -> Column:
+    """Latitude in degrees from the conformal latitude in radians."""
+    out = conformal
+    for j, d in enumerate(_DELTA, 1):
+        out = out + F.lit(d) * F.sin(2 * j * conformal)
+    return F.degrees(out)
+
+
+def utm_inverse(easting: Column, northing: Column, epsg: Column) -> tuple[Column, Column]:
+    """(lon, lat) of a place in the UTM zone of an EPSG code, the longitude in [-180, 180)."""
+    zone, south = epsg % 100, epsg >= 32700
+    x0, y0 = (easting - 500000.0) / (0.9996 * _RADIUS), (northing - F.when(south, F.lit(1e7)).otherwise(F.lit(0.0))) / (0.9996 * _RADIUS)
+    eta, xi = x0, y0
+    for j, b in enumerate(_BETA, 1):
+        eta = eta - F.lit(b) * F.cos(2 * j * y0) * F.sinh(2 * j * x0)
+        xi = xi - F.lit(b) * F.sin(2 * j * y0) * F.cosh(2 * j * x0)
+    lat = _latitude(F.asin(F.sin(xi) / F.cosh(eta)))
+    return wrap_longitude(zone * 6 - 183 + F.degrees(F.atan2(F.sinh(eta), F.cos(xi)))), lat
+
+
 def grid_of_box(w: Column, s: Column, e: Column, n: Column, res: float) -> dict[str, Column]:
     """Pixel grid that covers a box, with its edges on multiples of the resolution."""
     x0, x1, y0, y1 = F.floor(w / res), F.ceil(e / res), F.floor(s / res), F.ceil(n / res)
