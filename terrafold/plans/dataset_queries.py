@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.functions import classes, dates, geo, strings
-from terrafold.operators import catalog, datasets, inference, metrics, patches, points, tiles
+from terrafold.operators import catalog, datasets, inference, metrics, patches, points, tiles, warp
 from terrafold.session import table
 from terrafold.sources import sensors, yolo
 
@@ -83,11 +83,74 @@ def utm_zone(spark, d):
     return _locations(spark, d).select("footprint_id", geo.utm_epsg(F.col("lon"), F.col("lat")).alias("epsg"), F.round("lon", 7).alias("lon"))
 
 
-@query(None)
+def _utm_sql(rows: str, lon: str, lat: str, epsg: str) -> str:
+    """CTEs that add easting and northing to ``rows``, written out from the series of the ellipsoid WGS 84."""
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    e = 2 * n**0.5 / (1 + n)
+    r = 0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    d = lambda v: f"CAST({v!r} AS DOUBLE)"
+    x = "eta" + "".join(f" + {d(a)} * cos({2 * j} * xi) * sh{j}" for j, a in enumerate(alpha, 1))
+    y = "xi" + "".join(f" + {d(a)} * sin({2 * j} * xi) * ch{j}" for j, a in enumerate(alpha, 1))
+    hyper = ", ".join(f"(exp({2 * j} * eta) - exp(-{2 * j} * eta)) / 2 AS sh{j}, (exp({2 * j} * eta) + exp(-{2 * j} * eta)) / 2 AS ch{j}" for j in (1, 2, 3))
+    return f"""u1 AS (SELECT *, radians({lon} - ({epsg} % 100 * 6 - 183)) AS dl, sin(radians({lat})) AS s FROM {rows}),
+u2 AS (SELECT *, 0.5 * ln((1 + s) / (1 - s)) - {d(e)} * 0.5 * ln((1 + {d(e)} * s) / (1 - {d(e)} * s)) AS q FROM u1),
+u3 AS (SELECT *, (exp(q) - exp(-q)) / 2 AS t FROM u2),
+u4 AS (SELECT *, atan2(t, cos(dl)) AS xi, 0.5 * ln((1 + sin(dl) / sqrt(1 + t * t)) / (1 - sin(dl) / sqrt(1 + t * t))) AS eta FROM u3),
+u5 AS (SELECT *, {hyper} FROM u4),
+utm AS (SELECT *, 500000 + {d(r)} * ({x}) AS easting, CASE WHEN {epsg} >= 32700 THEN 1e7 ELSE 0 END + {d(r)} * ({y}) AS northing FROM u5)"""
+
+
+_ZONE = "CAST(CASE WHEN lat > 84 THEN 5041 WHEN lat < -80 THEN 5042 WHEN lat >= 0 THEN 32600 + least(floor((lon + 180) / 6) + 1, 60) ELSE 32700 + least(floor((lon + 180) / 6) + 1, 60) END AS INTEGER)"
+_ZONED = f"{_LOC}, z AS (SELECT footprint_id, lon, lat, {_ZONE} AS epsg FROM loc)"
+
+
+@query(f"WITH {_ZONED}, zz AS (SELECT * FROM z WHERE epsg > 5042), {_utm_sql('zz', 'lon', 'lat', 'epsg')} SELECT footprint_id, epsg, round(easting, 3) AS easting, round(northing, 3) AS northing FROM utm")
 def utm_coordinates(spark, d):
-    p = _locations(spark, d)
+    """Places in their UTM zones; the polar ones have none."""
+    p = _locations(spark, d).withColumn("epsg", geo.utm_epsg(F.col("lon"), F.col("lat"))).where("epsg > 5042")
+    e, n = geo.utm_forward(F.col("lon"), F.col("lat"))
+    return p.select("footprint_id", "epsg", F.round(e, 3).alias("easting"), F.round(n, 3).alias("northing"))
+
+
+@query(f"WITH {_ZONED} SELECT footprint_id, epsg, TRUE AS same_lon, TRUE AS same_lat FROM z WHERE epsg > 5042")
+def utm_inverse(spark, d):
+    """Whether places come back from their zones to a hundred-millionth of a degree; utm_coordinates compares the zones' own numbers."""
+    p = _locations(spark, d).withColumn("epsg", geo.utm_epsg(F.col("lon"), F.col("lat"))).where("epsg > 5042")
+    e, n = geo.utm_forward(F.col("lon"), F.col("lat"))
+    p = p.withColumn("e", e).withColumn("n", n)
+    lon, lat = geo.utm_inverse(F.col("e"), F.col("n"), F.col("epsg"))
+    near = lambda a, b: (F.abs(a - b) < 1e-8)
+    return p.select("footprint_id", "epsg", near(lon, F.col("lon")).alias("same_lon"), near(lat, F.col("lat")).alias("same_lat"))
+
+
+def _anchor_grids(spark, d):
+    """A UTM grid of 512 by 512 pixels of 10 m around the least footprint of each anchor, and one of 40 by 40 in degrees over its middle."""
+    f = table(spark, d, "footprints").select("footprint_id", "anchor_id")
+    one = _locations(spark, d).join(f, "footprint_id").where("anchor_id IS NOT NULL").groupBy("anchor_id").agg(F.min_by(F.struct("lon", "lat"), "footprint_id").alias("p")).select("anchor_id", "p.lon", "p.lat")
+    z = one.withColumn("epsg", geo.utm_epsg(F.col("lon"), F.col("lat"))).where("epsg > 5042 AND abs(lon) < 179")
     e, n = geo.utm_forward(F.col("lon"), F.col("lat"))
-    return p.select("footprint_id", geo.utm_epsg(F.col("lon"), F.col("lat")).alias("epsg"), F.round(e, 3).alias("easting"), F.round(n, 3).alias("northing"))
+    z = z.withColumn("e", e).withColumn("n", n)
+    source = z.select("anchor_id", "epsg", (F.floor(F.col("e") / 10) * 10.0 - 2560).alias("minx"), (F.floor(F.col("n") / 10) * 10.0 + 2560).alias("maxy"), F.lit(10.0).alias("res"), F.lit(512).alias("height"), F.lit(512).alias("width"))
+    target = z.select("anchor_id", F.lit(4326).alias("epsg"), (F.round("lon", 3) - 0.01).alias("minx"), (F.round("lat", 3) + 0.01).alias("maxy"), F.lit(0.0005).alias("res"), F.lit(40).alias("height"), F.lit(40).alias("width"))
+    return source, target
+
+
+@query(f"""WITH {_ZONED}, a0 AS (SELECT anchor_id, arg_min({{'lon': lon, 'lat': lat, 'epsg': epsg}}, footprint_id) AS p FROM z JOIN footprints USING (footprint_id) WHERE anchor_id IS NOT NULL GROUP BY 1),
+a1 AS (SELECT anchor_id, p.lon AS lon, p.lat AS lat, p.epsg AS epsg, 'm' AS part, 0 AS y, 0 AS x FROM a0 WHERE p.epsg > 5042 AND abs(p.lon) < 179),
+px AS (SELECT anchor_id, y, x, max(value) AS value FROM pixels WHERE layer = 'scl' AND value IS NOT NULL GROUP BY ALL),
+c AS (SELECT anchor_id, round(lon, 3) - 0.01 + (x.i + 0.5) * 0.0005 AS lon, round(lat, 3) + 0.01 - (y.i + 0.5) * 0.0005 AS lat, epsg, 'c' AS part, y.i AS y, x.i AS x FROM a1, (SELECT unnest(range(40)) AS i) y, (SELECT unnest(range(40)) AS i) x WHERE anchor_id IN (SELECT anchor_id FROM px)),
+every AS (SELECT * FROM a1 UNION ALL SELECT * FROM c), {_utm_sql('every', 'lon', 'lat', 'epsg')},
+m AS (SELECT anchor_id, floor(easting / 10) * 10 - 2560 AS minx, floor(northing / 10) * 10 + 2560 AS maxy FROM utm WHERE part = 'm'),
+t AS (SELECT u.anchor_id, u.y, u.x, floor((m.maxy - u.northing) / 10) AS sy, floor((u.easting - m.minx) / 10) AS sx FROM utm u JOIN m USING (anchor_id) WHERE u.part = 'c')
+SELECT t.anchor_id, CAST(t.y AS INTEGER) AS y, CAST(t.x AS INTEGER) AS x, px.value FROM t JOIN px ON px.anchor_id = t.anchor_id AND px.y = t.sy AND px.x = t.sx WHERE sy BETWEEN 0 AND 511 AND sx BETWEEN 0 AND 511""")
+def warp_nearest(spark, d):
+    """Class pixels of every anchor from its UTM grid to a grid in degrees."""
+    source, target = _anchor_grids(spark, d)
+    p = table(spark, d, "pixels").where("layer = 'scl' AND value IS NOT NULL").groupBy("anchor_id", "y", "x").agg(F.max("value").alias("value"))
+    wanted = p.select("anchor_id").distinct()
+    return warp.warp(p, source.join(wanted, "anchor_id", "left_semi"), target, ["anchor_id"])
 
 
 @query(f"WITH {_LOC} SELECT footprint_id, printf('%.4f°%s, %.4f°%s', abs(lat), CASE WHEN lat >= 0 THEN 'N' ELSE 'S' END, abs(lon), CASE WHEN lon >= 0 THEN 'E' ELSE 'W' END) AS place FROM loc")
