@@ -59,3 +59,12 @@ def parse_end(text: Column) -> Column:
         return F.when(depth == 7, start).otherwise(after - micro)
 
     return _with_parts(text, end)
+
+
+def parse_range(text: Column, last: Column | None = None) -> tuple[Column, Column]:
+    """(start, end) of one text, of two with / between, or of a pair; an end that is empty or .. is open and null."""
+    open_ = lambda c: F.when(~F.trim(c).isin("", ".."), F.trim(c))
+    if last is not None:
+        return parse_start(open_(text)), parse_end(open_(last))
+    parts = F.split(text, "/", 2)
+    return parse_start(open_(F.get(parts, F.lit(0)))), parse_end(open_(F.get(parts, F.size(parts) - 1)))

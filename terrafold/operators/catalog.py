@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import re
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -136,6 +138,33 @@ def require_collection(items: DataFrame, name: str, collection: str = "collectio
         raise ValueError(f"no collection {name!r}")
 
 
+def search_iter(items: DataFrame, q: Search, *, page: int = 100, **names) -> Iterator[list[Row]]:
+    """Pages of a search's results, worked out partition by partition as they are asked for."""
+    if page < 1:
+        raise ValueError("page must be at least 1")
+    rows = []
+    for r in search(items, q, **names).toLocalIterator():
+        rows.append(r)
+        if len(rows) == page:
+            yield rows
+            rows = []
+    if rows:
+        yield rows
+
+
+def peek_item(items: DataFrame, name: str, collection: str = "collection") -> DataFrame:
+    """One row (item): a whole item of the collection as JSON text, or no row if there is none."""
+    return items.where(F.col(collection) == name).limit(1).select(F.to_json(F.struct("*")).alias("item"))
+
+
+def peek_bands(items: DataFrame, name: str, *, collection: str = "collection", assets: str = "assets") -> DataFrame:
+    """(band, fields) of one item's assets, a map of JSON texts: what each asset says beside its address. No rows if there is no item."""
+    one = items.where((F.col(collection) == name) & F.col(assets).isNotNull()).limit(1)
+    e = one.select(F.explode(assets).alias("band", "asset"))
+    kept = F.map_filter(F.from_json("asset", "map<string,string>"), lambda k, _: ~k.isin("href", "type", "title", "roles"))
+    return e.select("band", kept.alias("fields"))
+
+
 def nodata_within(pixels: DataFrame, on: list[str], most: float, value: str = "value") -> DataFrame:
     """Groups whose share of null values is at most ``most``: on, null_share."""
     g = pixels.groupBy(*on).agg(F.avg(F.col(value).isNull().cast("double")).alias("null_share"))

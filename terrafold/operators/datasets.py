@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -98,6 +99,75 @@ def with_provenance(rows: DataFrame, items: DataFrame, key: str, name: str = "n_
     return rows.join(per, key, "left").withColumn(name, F.coalesce("_n", F.lit(0))).drop("_n")
 
 
+class Dataset:
+    """Samples of a table by key. Subclasses change what a sample shows (``render``) or keeps in a manifest (``row``).
+
+    Nothing is read before a method that says so: ``keys``, ``len`` and ``get``.
+    """
+
+    def __init__(self, rows: DataFrame, *, key: str = "sample_id", order: str | None = None) -> None:
+        if key not in rows.columns:
+            raise ValueError(f"no column {key}")
+        self.rows, self.key, self.order = rows.where(F.col(key).isNotNull()), key, order or key
+
+    def render(self) -> DataFrame:
+        """The key and the fields of a sample: numeric columns as double, all others as they are."""
+        numeric = ("tinyint", "smallint", "int", "bigint", "float", "double")
+        cast = lambda c, t: F.col(c).cast("double") if t in numeric or t.startswith("decimal") else F.col(c).cast("array<double>") if t in [f"array<{n}>" for n in numeric] else F.col(c)
+        return self.rows.select(self.key, *[cast(c, t).alias(c) for c, t in self.rows.dtypes if c not in (self.key, self.order)])
+
+    def row(self) -> DataFrame:
+        """The key and the plain columns: no arrays, maps or structs."""
+        return self.rows.select(self.key, *[c for c, t in self.rows.dtypes if c != self.key and t.split("<")[0] not in ("array", "map", "struct", "binary")])
+
+    @property
+    def fields(self) -> list[str]:
+        return [c for c in self.render().columns if c != self.key]
+
+    def keys(self) -> DataFrame:
+        """Keys in the order of discovery, each once, with their place."""
+        return numbered(self.rows.groupBy(self.key).agg(F.min(self.order).alias("_at")), ["_at", self.key]).select(self.key, "ord")
+
+    def __len__(self) -> int:
+        return self.rows.select(self.key).distinct().count()
+
+    def get(self, key) -> list:
+        """The rendered rows of one key, read from their part of the table only where its storage allows."""
+        return self.render().where(F.col(self.key) == key).collect()
+
+    def reindex(self, wanted: DataFrame) -> Dataset:
+        """The same dataset with the keys of a list only."""
+        out = copy.copy(self)
+        out.rows = keep_split(self.rows, wanted, self.key)
+        return out
+
+    def __and__(self, other: Dataset) -> Dataset:
+        """Samples both have, with the fields of both as they render them."""
+        return Dataset(intersection([self.render(), other.render().withColumnRenamed(other.key, self.key)], self.key), key=self.key)
+
+
+def split_datasets(dataset: Dataset, lists: dict[str, DataFrame | None]) -> dict[str, Dataset]:
+    """A dataset for each split that is named, as train, val, test and predict; None gives it all samples.
+
+    A key in two of the lists is in both; ``shared_keys`` tells them.
+    """
+    return {name: dataset if wanted is None else dataset.reindex(wanted) for name, wanted in lists.items()}
+
+
+def shared_keys(lists: dict[str, DataFrame], key: str) -> DataFrame:
+    """(key, splits) of the keys that more than one split list has."""
+    every = reduce(DataFrame.unionAll, [df.select(key).distinct().withColumn("split", F.lit(n)) for n, df in lists.items()])
+    return every.groupBy(key).agg(F.array_sort(F.collect_set("split")).alias("splits")).where(F.size("splits") > 1)
+
+
+def check_dense(keys, what: str) -> int:
+    """The number of keys of a class or band map; raises unless they are 0 to n - 1."""
+    have = sorted(keys)
+    if have != list(range(len(have))) or not have:
+        raise ValueError(f"{what} must have the keys 0 to n - 1, not {have}")
+    return len(have)
+
+
 def manifest(rows: DataFrame, fields: list[str], key: str = "sample_id") -> DataFrame:
     """sample_id and the fields; a field of that name raises."""
     if "sample_id" in fields:

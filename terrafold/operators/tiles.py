@@ -39,6 +39,32 @@ def layer_summary(pixels: DataFrame) -> DataFrame:
     return g.select("anchor_id", "layer", F.greatest(F.size("b"), F.lit(1)).alias("n_bands"), F.concat_ws(",", "b").alias("bands"), "n_times", (F.col("n_times") > 0).alias("has_time"))
 
 
+def cast_layers(pixels: DataFrame, types: dict[str, str], value: str = "value") -> DataFrame:
+    """Pixels whose values went through the type of their layer, as int16 or float32; layers not named stay. What a type can't hold is null."""
+    names = {"uint8": ("int", 0, 255), "int8": ("tinyint",), "int16": ("smallint",), "uint16": ("int", 0, 65535), "int32": ("int",), "float32": ("float",), "float64": ("double",)}
+    out = F.col(value).cast("double")
+    for layer, t in types.items():
+        kind, *bounds = names[t]
+        v = F.when(F.isnan(value), None).otherwise(F.col(value)) if not t.startswith("float") else F.col(value)
+        cast = v.try_cast(kind)
+        cast = F.when(cast.between(*bounds), cast).otherwise(None) if bounds else cast
+        out = F.when(F.col("layer") == layer, cast.cast("double")).otherwise(out)
+    return pixels.withColumn(value, out)
+
+
+def declared_nodata(layers: DataFrame, on: list[str], nodata: str = "nodata") -> DataFrame:
+    """(on, nodata): the one nodata value a layer's files declare, or null where they declare none or several."""
+    g = layers.groupBy(*on).agg(F.count_distinct(nodata).alias("_n"), F.min(nodata).alias("_v"))
+    return g.select(*on, F.when(F.col("_n") == 1, F.col("_v")).alias(nodata))
+
+
+def tile_range(given: tuple[Column, Column], times: tuple[Column, Column], tag: tuple[Column, Column]) -> tuple[Column, Column]:
+    """(start, end) of a stored tile: those given, else the first and last of its times, else its tag's; none of them raises."""
+    missing = F.raise_error(F.lit("a tile without a time")).cast("timestamp_ntz")
+    chosen = F.when(given[0].isNotNull(), F.struct(given[0].alias("a"), F.coalesce(given[1], given[0]).alias("b"))).when(times[0].isNotNull(), F.struct(times[0].alias("a"), times[1].alias("b"))).when(tag[0].isNotNull(), F.struct(tag[0].alias("a"), F.coalesce(tag[1], tag[0]).alias("b")))
+    return F.coalesce(chosen["a"], missing), F.coalesce(chosen["b"], missing)
+
+
 def panel_summary(pixels: DataFrame) -> DataFrame:
     """(layer, n_bands, n_values, is_float, kind): what decides how a layer is shown, and how.
 

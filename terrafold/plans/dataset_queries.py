@@ -40,6 +40,14 @@ def date_parse(spark, d):
     return table(spark, d, "stack_samples").select("sample_no", dates.parse_start(g).alias("start_ts"), dates.parse_end(g).alias("end_ts")).where("start_ts IS NOT NULL")
 
 
+@query(f"""WITH {_STARTS.replace("geotag_datetime[1]", "geotag_datetime[len(geotag_datetime)]")}, s AS ({f"WITH {_STARTS} SELECT sample_no, t FROM p1"})
+SELECT s.sample_no, s.t AS start_ts, CASE WHEN p.f <> '' THEN p1.t WHEN p.s <> '' THEN p1.t + INTERVAL 1 SECOND - INTERVAL 1 MICROSECOND WHEN p.mi <> '' THEN p1.t + INTERVAL 1 MINUTE - INTERVAL 1 MICROSECOND ELSE p1.t + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND END AS end_ts FROM s JOIN p1 USING (sample_no)""")
+def date_range(spark, d):
+    """All entries of geotag_datetime as one range, written with / between where there are two."""
+    start, end = dates.parse_range(F.concat_ws("/", "geotag_datetime"))
+    return table(spark, d, "stack_samples").where(F.size("geotag_datetime") > 0).select("sample_no", start.alias("start_ts"), end.alias("end_ts")).where("start_ts IS NOT NULL AND end_ts IS NOT NULL")
+
+
 @query(f"""WITH {_STARTS}, e AS (SELECT sample_no, p, t FROM p1)
 SELECT sample_no, CASE WHEN p.h = '' AND p.z = '' THEN strftime(t, '%Y%m%d') WHEN p.f <> '' THEN strftime(t, '%Y%m%dT%H%M%S.%f') WHEN p.s <> '' THEN strftime(t, '%Y%m%dT%H%M%S') ELSE strftime(t, '%Y%m%dT%H%M') END AS token FROM e WHERE p.mi = '' OR p.s <> '' OR p.f <> '' OR p.mi <> ''""")
 def date_format(spark, d):

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import inspect
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,11 @@ class Pipeline:
         """Adds columns a model needs beside the tiles."""
         return samples
 
+    def stream(self, by: list[str], *, render: Callable[[DataFrame], DataFrame] | None = None) -> Iterator[Row]:
+        """Rendered samples one after the other, nothing written; partitions are worked out as they are asked for."""
+        out = self.ingest(by)
+        yield from (render(out) if render else out).toLocalIterator()
+
     def ingest(self, by: list[str]) -> DataFrame:
         from terrafold.operators.align import align_sources
 
@@ -41,6 +46,60 @@ class Pipeline:
         return self.context(out)
 
 
+@dataclass(frozen=True)
+class SourceOptions:
+    """How scenes of a collection become tiles. As many strides as slots if none are given."""
+
+    collection: str
+    bands: tuple[str, ...] | None = None
+    max_nodata: float = 0.0
+    resampling: str = "bilinear"
+    group: str = "solar_day"
+    dtype: str = "int16"
+    frequency: str = "scene"
+    reducer: str = "median"
+    slots: int = 1
+    strides: int | None = None
+    fallback: bool = False
+
+    def __post_init__(self) -> None:
+        if not 0 <= self.max_nodata <= 1 or self.slots < 1 or (1 if self.strides is None else self.strides) < 1:
+            raise ValueError("max_nodata lies in 0 to 1, slots and strides are at least 1")
+        if self.group not in ("solar_day", "id", "time"):
+            raise ValueError("group must be solar_day, id or time")
+
+    def group_of(self, ts: Column, item: Column, lon: Column) -> Column:
+        """What scenes of one step share: the day by the sun, the item itself, or the time."""
+        from terrafold.operators.tiles import solar_day
+
+        return {"solar_day": lambda: solar_day(ts, lon), "id": lambda: item, "time": lambda: ts}[self.group]()
+
+    def steps(self, scenes: DataFrame, by: list[str]) -> DataFrame:
+        """Steps of scenes (by, ts, item_id, value): reduced by bucket, empty ones filled if asked for, and cut into slots."""
+        from terrafold.operators import temporal
+
+        if self.fallback:
+            s = temporal.fill_nearest(temporal.all_buckets(scenes, by, frequency=self.frequency), scenes, by)
+        else:
+            s = temporal.reduce_scenes(scenes, by, frequency=self.frequency, reducer=self.reducer)
+        return temporal.slots(s, by, slots=self.slots, strides=self.strides)
+
+
+class ScenePipeline(Pipeline):
+    """One source as it comes: the scenes of a collection whose share of nodata is small enough, one step to a sample."""
+
+    options = SourceOptions("sentinel-2-l1c", bands=("coastal", "blue", "green", "red", "rededge1", "rededge2", "rededge3", "nir", "nir08", "nir09", "cirrus", "swir16", "swir22"), max_nodata=0.1)
+
+    def __init__(self, scenes: DataFrame, by: list[str]) -> None:
+        """scenes: (by, collection, ts, null_share and what the tiles hold)."""
+        self.scenes, self.by = scenes, by
+
+    def sources(self) -> dict[str, DataFrame]:
+        s = self.scenes.where((F.col("collection") == self.options.collection) & (F.col("null_share") <= self.options.max_nodata) & F.col("ts").isNotNull())
+        tiles = s.withColumn("ord", F.row_number().over(Window.partitionBy(*self.by).orderBy("ts"))).withColumn("start", F.col("ts")).withColumn("end", F.col("ts"))
+        return {self.options.collection: tiles.drop("ts", "collection")}
+
+
 @dataclass(frozen=True)
 class Step:
     """A function of columns: it takes those its parameters name and gives the named ones."""
@@ -140,5 +199,23 @@ class Registry:
         known = inspect.signature(f).parameters
         return f(**{k: v for k, v in options.items() if k in known})
 
+    def build_all(self, stages: dict[str, tuple[str, dict]]) -> dict[str, object]:
+        """Builds the stages in the order given. A parameter called STAGE_ATTRIBUTE that isn't among the options takes that
+        attribute of the stage built before; an attribute the stage doesn't have raises."""
+        built: dict[str, object] = {}
+        for stage, (name, options) in stages.items():
+            f = self._stages.get(stage.lower(), {}).get(name.lower())
+            wired = {}
+            for p in inspect.signature(f).parameters if f else ():
+                owner = max((s for s in built if p.startswith(s + "_")), key=len, default=None)
+                if owner is None or p in options:
+                    continue
+                attribute = p[len(owner) + 1 :]
+                if not hasattr(built[owner], attribute):
+                    raise AttributeError(f"{stage} {name} asks for {attribute} of {owner}, which has none")
+                wired[p] = getattr(built[owner], attribute)
+            built[stage] = self.build(stage, name, **wired, **options)
+        return built
+
     def names(self, stage: str) -> list[str]:
         return sorted(self._stages.get(stage.lower(), {}))

@@ -54,9 +54,24 @@ def _finish(anchors: DataFrame, res: float, tile_size: int | None) -> DataFrame:
     return a if tile_size is None else grid.chunk_cells(a, tile_size)
 
 
-def from_request(spark: SparkSession, request: dict) -> DataFrame:
+def vertices(shape: Column, coordinates: Column) -> Column:
+    """All positions [lon, lat] of a geometry's JSON coordinates, those of all parts and holes; null for what isn't one."""
+    at = lambda t: F.from_json(coordinates, t)
+    line, rings, parts = "array<array<double>>", "array<array<array<double>>>", "array<array<array<array<double>>>>"
+    return (
+        F.when(shape == "Point", F.array(at("array<double>")))
+        .when(shape.isin("LineString", "MultiPoint"), at(line))
+        .when(shape.isin("Polygon", "MultiLineString"), F.flatten(at(rings)))
+        .when(shape == "MultiPolygon", F.flatten(F.flatten(at(parts))))
+    )
+
+
+def from_request(spark: SparkSession, request: dict, *, limit: int | None = None) -> DataFrame:
     """Anchors of a request: {"type": "coordinate", lat, lon, area_m, ...}, {"type": "polygon", "polygon": GeoJSON, ...} or
-    {"type": "geojson", "path": file or folder, ...}; datetime, tile_size_px and resolution are common to all."""
+    {"type": "geojson", "path": file or folder, ...}; datetime, tile_size_px and resolution are common to all. A polygon of
+    several parts gives one grid over all of them; its geometry is kept as JSON text. ``limit`` is the most anchors given."""
+    if limit is not None:
+        return from_request(spark, request).limit(limit)
     kind = request.get("type")
     res, tile, when = float(request.get("resolution", RESOLUTION)), request.get("tile_size_px", TILE_SIZE), request.get("datetime")
     if kind == "coordinate":
@@ -66,8 +81,7 @@ def from_request(spark: SparkSession, request: dict) -> DataFrame:
         from terrafold.sources.geojson import parse_features, read_features
 
         f = read_features(spark, request["path"]) if kind == "geojson" else parse_features(spark.createDataFrame([(json.dumps(request["polygon"]),)], "value string"))
-        ring = F.coalesce(F.get(F.from_json(F.when(F.col("shape") == "Polygon", F.col("coordinates")), "array<array<array<double>>>"), F.lit(0)), F.when(F.col("shape") == "Point", F.array(F.from_json("coordinates", "array<double>"))))
-        f = f.withColumn("ring", ring).where("ring IS NOT NULL").withColumn("datetime", F.lit(when)).withColumn("key", F.xxhash64(*[c for c in ("path", "feature_no") if c in f.columns]))
+        f = f.withColumn("ring", vertices(F.col("shape"), F.col("coordinates"))).where("ring IS NOT NULL").withColumn("datetime", F.lit(when)).withColumn("key", F.xxhash64(*[c for c in ("path", "feature_no") if c in f.columns]))
         return from_polygons(f, key="key", ring="ring", res=res, tile_size=tile)
     raise ValueError(f"unknown source type {kind!r}")
 

@@ -10,10 +10,12 @@ import glob
 import json
 import os
 import time
+import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
 SCHEMA = "item_id string, collection string, ts string, bbox array<double>, properties map<string,string>, assets map<string,string>"
@@ -22,6 +24,36 @@ SCHEMA = "item_id string, collection string, ts string, bbox array<double>, prop
 RETRY_STATUS, RETRIES = (502, 503, 504), 5
 
 
+#: Fixed addresses of public catalogs by name.
+CATALOGS = {
+    "cdse": "https://stac.dataspace.copernicus.eu/v1/",
+    "planetary_computer": "https://planetarycomputer.microsoft.com/api/stac/v1/",
+    "element84": "https://earth-search.aws.element84.com/v1/",
+}
+
+
+def page_address(catalog: str, collection: str, *, limit: int = 100, **query: str) -> str:
+    """Address of the first page of a collection's items in a named catalog, for ``spark.read.format("catalog_pages")``."""
+    if catalog not in CATALOGS:
+        raise ValueError(f"unknown catalog {catalog!r}; one of {', '.join(sorted(CATALOGS))}")
+    return f"{CATALOGS[catalog]}collections/{urllib.parse.quote(collection)}/items?{urllib.parse.urlencode({'limit': limit, **query})}"
+
+
+def signed(items: DataFrame, tokens: dict[str, str], *, assets: str = "assets", collection: str = "collection") -> DataFrame:
+    """Items whose asset addresses carry their collection's access token; collections without one stay as they are.
+
+    Tokens are asked for once per collection by the caller, as they hold for all of its assets.
+    """
+    token = F.create_map(*[F.lit(v) for kv in tokens.items() for v in kv]) if tokens else F.create_map().cast("map<string,string>")
+    add = F.element_at(token, F.col(collection)) if tokens else F.lit(None).cast("string")
+
+    def with_token(_, asset):
+        href = F.get_json_object(asset, "$.href")
+        return F.when(add.isNotNull() & href.isNotNull(), F.replace(asset, href, F.concat(href, F.when(href.contains("?"), "&").otherwise("?"), add))).otherwise(asset)
+
+    return items.withColumn(assets, F.transform_values(assets, with_token))
+
+
 class Page(InputPartition):
     def __init__(self, place: str) -> None:
         self.place = place

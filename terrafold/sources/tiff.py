@@ -73,12 +73,19 @@ def decode(data: bytes) -> tuple[np.ndarray, dict]:
     return out, meta
 
 
-def encode(bands: np.ndarray, *, scale: float = 1.0, origin: tuple[float, float] = (0.0, 0.0), nodata: float | None = None, tags: dict | None = None, rows_per_strip: int = 512) -> bytes:
-    """A little-endian, band-sequential, deflate-compressed file of bands x height x width."""
+def encode(bands: np.ndarray, *, scale: float = 1.0, origin: tuple[float, float] = (0.0, 0.0), nodata: float | None = None, tags: dict | None = None, rows_per_strip: int = 512, tile: int | None = None) -> bytes:
+    """A little-endian, band-sequential, deflate-compressed file of bands x height x width, in strips or in square tiles of ``tile`` pixels, a multiple of 16."""
     n, h, w = bands.shape
+    if tile is not None and (tile < 16 or tile % 16):
+        raise ValueError("tiles must be a multiple of 16 pixels")
     kinds = {"u": 1, "i": 2, "f": 3}
     a = bands.astype(bands.dtype.newbyteorder("<"))
-    strips = [zlib.compress(a[b, y : y + rows_per_strip].tobytes()) for b in range(n) for y in range(0, h, rows_per_strip)]
+    if tile is None:
+        strips = [zlib.compress(a[b, y : y + rows_per_strip].tobytes()) for b in range(n) for y in range(0, h, rows_per_strip)]
+    else:
+        full = np.zeros((n, -(-h // tile) * tile, -(-w // tile) * tile), a.dtype)
+        full[:, :h, :w] = a
+        strips = [zlib.compress(full[b, y : y + tile, x : x + tile].tobytes()) for b in range(n) for y in range(0, h, tile) for x in range(0, w, tile)]
     entries: list[tuple[int, int, int, bytes]] = []
     put = lambda tag, kind, *v: entries.append((tag, kind, len(v), struct.pack("<" + _TYPES[kind][1] * len(v), *v)))
     text = lambda tag, s: entries.append((tag, 2, len(s.encode()) + 1, s.encode() + b"\0"))
@@ -88,7 +95,11 @@ def encode(bands: np.ndarray, *, scale: float = 1.0, origin: tuple[float, float]
     put(_COMPRESSION, 3, 8)
     put(_PHOTOMETRIC, 3, 1)
     put(_SAMPLES, 3, n)
-    put(_ROWS, 4, rows_per_strip)
+    if tile is None:
+        put(_ROWS, 4, rows_per_strip)
+    else:
+        put(_TILE_W, 4, tile)
+        put(_TILE_H, 4, tile)
     put(_PLANAR, 3, 2)
     put(_FORMAT, 3, *[kinds[a.dtype.kind]] * n)
     put(_SCALE, 12, scale, scale, 0.0)
@@ -96,14 +107,14 @@ def encode(bands: np.ndarray, *, scale: float = 1.0, origin: tuple[float, float]
     text(_META, json.dumps(tags or {}))
     if nodata is not None:
         text(_NODATA, repr(float(nodata)))
-    put(_COUNTS, 4, *map(len, strips))
+    put(_COUNTS if tile is None else _TILE_COUNTS, 4, *map(len, strips))
     head = 8 + 2 + 12 * (len(entries) + 1) + 4
     extra = sum(len(v) + len(v) % 2 for *_, v in entries if len(v) > 4) + (4 * len(strips) if len(strips) > 1 else 0)
     first, offsets = head + extra, []
     for s in strips:
         offsets.append(first)
         first += len(s)
-    put(_OFFSETS, 4, *offsets)
+    put(_OFFSETS if tile is None else _TILE_OFFSETS, 4, *offsets)
     entries.sort()
     body, tail, place = b"", b"", head
     for tag, kind, count, v in entries:
@@ -139,10 +150,11 @@ def read_pixels(spark: SparkSession, folder: str, *, bands: list[str] | None = N
     return files.select("path", "content").mapInPandas(run, "path string, band string, y int, x int, value double")
 
 
-def write_rasters(pixels: DataFrame, folder: str, *, key: str, height: int, width: int, dtype: str = "float32", scale: float = 10.0) -> DataFrame:
+def write_rasters(pixels: DataFrame, folder: str, *, key: str, height: int, width: int, dtype: str = "float32", scale: float = 10.0, tile: int | None = None, step: str | None = None) -> DataFrame:
     """One file per key of (key, band, y, x, value) pixels, bands in name order; returns (key, file). The folder is shared.
 
-    A task holds one raster at a time. Missing pixels and nulls are NaN for floats, 0 for integers.
+    With ``step``, a time column, there is one file per key and time, named KEY_yyyyMMdd with the time of day if there is
+    one; ``tile`` writes square tiles. A task holds one raster at a time. Missing pixels and nulls are NaN for floats, 0 for integers.
     """
     import os
 
@@ -154,12 +166,17 @@ def write_rasters(pixels: DataFrame, folder: str, *, key: str, height: int, widt
         a = np.full((len(names), height, width), fill, dtype)
         ok = pdf[pdf["value"].notna()]
         a[ok["band"].map({n: i for i, n in enumerate(names)}), ok["y"], ok["x"]] = ok["value"]
-        name = str(pdf[key].iloc[0])
+        name = str(pdf["_name"].iloc[0])
         path = os.path.join(folder, f"{name}.tif")
         with open(path + ".part", "wb") as f:
-            f.write(encode(a, scale=scale, nodata=None if fill == 0 else float("nan"), tags={"bands": names}))
+            f.write(encode(a, scale=scale, nodata=None if fill == 0 else float("nan"), tags={"bands": names}, tile=tile))
         os.replace(path + ".part", path)
         return pd.DataFrame({"key": [name], "file": [path]})
 
     ok = pixels.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1) & F.col("band").isNotNull())
-    return ok.groupBy(key).applyInPandas(put, "key string, file string")
+    name = F.col(key).cast("string")
+    if step is not None:
+        day = F.date_format(step, "yyyyMMdd")
+        when = F.when(F.date_format(step, "HHmmss") == "000000", day).otherwise(F.concat(day, F.lit("T"), F.date_format(step, "HHmmss")))
+        name = F.concat_ws("_", name, when)
+    return ok.withColumn("_name", name).select("_name", "band", "y", "x", "value").groupBy("_name").applyInPandas(put, "key string, file string")
