@@ -67,7 +67,7 @@ def label_nodes(records: DataFrame, *, key: str, payload: str, keep: str | None
                         v = n[8]
                         text_value = None
                         if values and n[6] not in ("object", "array", "null"):
-                            text_value = v if n[6] == "string" else json.dumps(v)
+                            text_value = v if n[6] == "string" else json.dumps(v, separators=(",", ":"))
                         out.append((rec, ord_, *n[:8], text_value))
             if out:
                 yield pd.DataFrame(out, columns=NODES.names).astype({"idx": "Int32"})

@@ -255,7 +255,29 @@ def box_variance_7(spark, d):
     return v.select("y", "x", F.round(F.sqrt(F.greatest("variance", F.lit(0.0))), 1).alias("deviation"))
 
 
-@query(None)
+def _weighted(column: str, axis: str) -> str:
+    """The Gaussian of one axis as a weighted sum of neighbours."""
+    w = focal.gaussian_weights(1.0)
+    r = len(w) // 2
+    at = lambda k: f"lag({column}, {-k}) OVER q" if k < 0 else f"lead({column}, {k}) OVER q" if k else column
+    return " + ".join(f"CAST({v!r} AS DOUBLE) * {at(k)}" for k, v in zip(range(-r, r + 1), w)) + f" AS {column}"
+
+
+_MEANS = ", ".join(f"avg({c}) OVER q AS {c}" for c in ("a", "aa", "b", "bb"))
+_ROWS7 = "ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING"
+
+
+@query(f"""WITH {_GRID}, s AS (SELECT y, x, v / 1e5 AS b07, (o_custkey % 1000 + 500) / CAST(1000 AS DOUBLE) AS b08, (o_orderkey % 97 + 50) / CAST(100 AS DOUBLE) AS b8a FROM g),
+g1 AS (SELECT y, x, b07, b8a, {_weighted("b08", "y")} FROM {_mirror("s", "y", "(SELECT h FROM hh)", 4)} WINDOW q AS (PARTITION BY x ORDER BY y)),
+g2 AS (SELECT * FROM g1 WHERE y BETWEEN 0 AND (SELECT h FROM hh) - 1),
+g3 AS (SELECT y, x, b07, b8a, {_weighted("b08", "x")} FROM {_mirror("g2", "x", "100", 4)} WINDOW q AS (PARTITION BY y ORDER BY x)),
+r0 AS (SELECT y, x, b07 / b8a AS a, b08 / b8a AS b FROM g3 WHERE x BETWEEN 0 AND 99),
+r AS (SELECT y, x, a, a * a AS aa, b, b * b AS bb FROM r0),
+m1 AS (SELECT y, x, {_MEANS} FROM {_mirror("r", "x", "100", 3)} WINDOW q AS (PARTITION BY y ORDER BY x {_ROWS7})),
+m2 AS (SELECT * FROM m1 WHERE x BETWEEN 0 AND 99),
+m3 AS (SELECT y, x, {_MEANS} FROM {_mirror("m2", "y", "(SELECT h FROM hh)", 3)} WINDOW q AS (PARTITION BY x ORDER BY y {_ROWS7})),
+c AS (SELECT y, x, ((aa - a * a) - (bb - b * b)) / ((aa - a * a) + (bb - b * b) + {_EPS}) AS cdi FROM m3 WHERE y BETWEEN 0 AND (SELECT h FROM hh) - 1)
+SELECT y, x, round(cdi, 6) AS cdi, cdi < -0.5 AS cloud FROM c""")
 def cdi_mask(spark, d):
     o, h = order_grid(spark, d)
     bands = o.select("g", "y", "x", (F.col("o_totalprice") / 1e5).alias("b07"), ((F.col("o_custkey") % 1000 + 500) / 1000.0).alias("b08"), ((F.col("o_orderkey") % 97 + 50) / 100.0).alias("b8a"))

@@ -46,6 +46,12 @@ def p4_unified(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified_table(table(spark, d, "raw_stac"))
 
 
+def p4_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the consistent table by file, and how many of their members had no place in it."""
+    u = drift.unified_table(table(spark, d, "raw_stac"))
+    return u.groupBy("feed", "file_name").agg(F.count("*").alias("n_features"), F.count_distinct("raw_id").alias("n_payloads"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.feature_children(table(spark, d, "raw_stac"), values=False).drop("value", "pre", "post")
 
@@ -67,7 +73,7 @@ def p6_asset_bands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_counts, p4_found, p4_changes, p4_unified, p6_found, p6_nodes, p6_asset_bands)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p4_found, p4_changes, p4_unified, p4_rows, p6_found, p6_nodes, p6_asset_bands)}
 
 
 _POINTS = """
@@ -109,6 +115,10 @@ feature AS (
 """
 
 
+_NUMBERS = r"^\[[-+0-9.eE,]+\]$"
+_KIND = "CASE json_type({0}) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN CASE WHEN regexp_matches(CAST({0} AS VARCHAR), '" + _NUMBERS + "') THEN 'vector' ELSE 'array' END WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {_POINTS} SELECT 'near' AS relation, key_a, key_b FROM near UNION ALL SELECT 'inside', k, tag_id FROM inside",
@@ -135,6 +145,18 @@ SELECT coalesce(new.file_name, old.file_name) AS file_name, coalesce(new.path, o
   CASE WHEN old.path IS NULL THEN 'added' WHEN new.path IS NULL THEN 'removed' ELSE 'type' END AS change
 FROM new FULL JOIN old ON new.file_name = old.file_name AND new.path = old.path
 WHERE new.path IS NULL OR old.path IS NULL OR new.types <> old.types""",
+        "p4_rows": f"WITH {_FEATURES} SELECT feed, file_name, count(*) AS n_features, count(DISTINCT raw_id) AS n_payloads FROM feature GROUP BY ALL",
+        "p6_nodes": f"""WITH RECURSIVE {_FEATURES},
+n(raw_id, feature_ord, place, depth, path, key, idx, v) AS (
+  SELECT raw_id, feature_ord, CAST([] AS BIGINT[]), 0, '', CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), json_extract(f, '$') FROM feature
+  UNION ALL
+  SELECT raw_id, feature_ord, list_append(place, c.i), depth + 1, CASE WHEN c.key IS NULL THEN path || '[]' WHEN path = '' THEN c.key ELSE path || '.' || c.key END, c.key, c.idx, c.v FROM (
+    SELECT raw_id, feature_ord, place, depth, path, unnest(CASE WHEN json_type(v) = 'OBJECT' THEN list_transform(range(len(json_keys(v))), lambda i: {{'i': i, 'key': json_keys(v)[i + 1], 'idx': CAST(NULL AS BIGINT), 'v': json_extract(v, '$."' || json_keys(v)[i + 1] || '"')}})
+      WHEN json_type(v) = 'ARRAY' AND NOT regexp_matches(CAST(v AS VARCHAR), '{_NUMBERS}') THEN list_transform(range(CAST(json_array_length(v) AS BIGINT)), lambda i: {{'i': i, 'key': CAST(NULL AS VARCHAR), 'idx': i, 'v': json_extract(v, '$[' || i || ']')}}) END) AS c FROM n)),
+t AS (SELECT *, {_KIND.format("v")} AS type, CASE WHEN json_type(v) = 'ARRAY' AND NOT regexp_matches(CAST(v AS VARCHAR), '{_NUMBERS}') AND json_array_length(v) > 0 THEN {_KIND.format("json_extract(v, '$[0]')")} END AS child_type, row_number() OVER (PARTITION BY raw_id, feature_ord ORDER BY place) - 1 AS pre FROM n),
+s AS (SELECT a.raw_id, a.feature_ord, a.pre, count(*) - 1 AS held FROM t a JOIN t b ON a.raw_id = b.raw_id AND a.feature_ord = b.feature_ord AND b.place[:len(a.place)] = a.place GROUP BY ALL)
+SELECT raw_id AS rec, feature_ord AS ord, CAST(pre AS INTEGER) AS pre, CAST(pre + held - depth AS INTEGER) AS post, CAST(depth AS INTEGER) AS depth, path, key, CAST(idx AS INTEGER) AS idx, type, child_type,
+  CASE WHEN type = 'string' THEN v ->> '$' WHEN type IN ('number', 'boolean', 'vector') THEN CAST(v AS VARCHAR) END AS value FROM t JOIN s USING (raw_id, feature_ord, pre)""",
         "p6_found": f"""WITH {_FEATURES},
 inst AS (SELECT raw_id, feature_ord, f -> '$.properties.instruments' AS v FROM feature),
 geo AS (SELECT raw_id, feature_ord, f ->> '$.geometry.type' AS t, f -> '$.geometry.coordinates' AS c FROM feature),
