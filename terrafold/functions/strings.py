@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed pattern of the dates at the end of a file name stem: one or two, then anything.
-STEM_DATES = r"[-_](\d{8}(?:T\d{6})?)(?:[-_](\d{8}(?:T\d{6})?))?[^/]*$"
+#: What a date at the beginning of a word of a file name looks like.
+DATE_WORD = r"^\d{8}(T\d{6})?"
 #: Fixed list of administrative suffixes.
 ADMIN_SUFFIX = r"(?i)\s+(Province|State|Region|District|Prefecture|Department|Governorate|Oblast|Krai|County|Municipality)$"
 
@@ -33,9 +33,19 @@ def extract_key(path: Column, pattern: str | None = None, *, strict: bool = Fals
 
 
 def stem_dates(stem: Column) -> Column:
-    """'a' or 'a/b' of the date suffix; null where the stem has none."""
-    a, b = F.regexp_extract(stem, STEM_DATES, 1), F.regexp_extract(stem, STEM_DATES, 2)
-    return F.when(a != "", F.when(b != "", F.concat_ws("/", a, b)).otherwise(a))
+    """'a' or 'a/b' of the dates in a stem; null where it has none.
+
+    The words of a stem are parted by - and _; the first one behind another word that begins with a date gives it, and
+    if it is no more than a date the next word may give the end.
+    """
+    words = F.split(stem, "[-_]")
+    date = lambda w: F.regexp_extract(w, DATE_WORD, 0)
+    later = F.when(F.size(words) > 1, F.slice(words, 2, F.size(words)))
+    dated = F.filter(F.transform(later, lambda w, i: F.struct(w.alias("word"), F.get(later, i + 1).alias("next"))), lambda p: date(p["word"]) != "")
+    first = F.get(dated, F.lit(0))
+    start = date(first["word"])
+    end = F.when(first["word"] == start, date(first["next"]))
+    return F.when(first.isNotNull(), F.when(F.coalesce(end, F.lit("")) != "", F.concat_ws("/", start, end)).otherwise(start))
 
 
 def compact_range(start: Column, end: Column) -> Column:

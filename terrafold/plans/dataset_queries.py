@@ -409,6 +409,21 @@ def stitch_identity(spark, d):
     return s.select("vec_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), (F.round("value", 4) + 0.0).alias("value"))
 
 
+_HANN = "(0.5 - 0.5 * cos(2 * pi() * {0} / 3.0))"
+
+
+@query(f"""WITH {_TILE}, pos AS (SELECT p, CASE WHEN p < 2 THEN 2 - p WHEN p > 9 THEN 16 - p ELSE p - 2 END AS i FROM {_MIRROR8}), st AS (SELECT unnest([0, 2, 4, 6, 8]) AS s),
+e AS (SELECT vec_id, ry.p - 2 AS y, rx.p - 2 AS x, ry.p - a.s AS py, rx.p - b.s AS px, value + 10 * (ry.p - a.s) + (rx.p - b.s) AS v FROM px JOIN pos ry ON ry.i = y JOIN pos rx ON rx.i = x JOIN st a ON ry.p BETWEEN a.s AND a.s + 3 JOIN st b ON rx.p BETWEEN b.s AND b.s + 3),
+w AS (SELECT vec_id, y, x, v, {_HANN.format("py")} * {_HANN.format("px")} AS w FROM e WHERE y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7)
+SELECT vec_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(sum(v * w) / greatest(sum(w), CAST(1e-6 AS DOUBLE)), 5) AS value FROM w GROUP BY ALL""")
+def stitch_weighted(spark, d):
+    """Stitching of patches that differ where they overlap: each pixel's value also tells its place in the patch."""
+    p = patches.split_patches(_tiles(spark, d), ["vec_id"], height=8, width=8, size=4, overlap=0.5, pad=2).drop("y", "x")
+    p = p.withColumn("value", F.col("value") + 10 * F.col("py") + F.col("px"))
+    s = patches.stitch_patches(p, ["vec_id"], height=8, width=8, size=4, pad=2)
+    return s.select("vec_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.round("value", 5).alias("value"))
+
+
 # --- catalog -----------------------------------------------------------------------------------------
 
 
