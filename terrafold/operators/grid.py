@@ -9,8 +9,11 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MOSAIC = ("first", "last", "min", "max", "sum", "count")
 
@@ -90,11 +93,17 @@ def mosaic(tiles: DataFrame, on: list[str], *, method: str = "first", order: str
 
 
 def mosaic_with(tiles: DataFrame, on: list[str], merge, *, order: str = "tile_ord", value: str = "value") -> DataFrame:
-    """Mosaic by a function of the pixel's values in tile order (a list of floats) that returns a float."""
+    """Mosaic by a function of whole arrays: ``merge`` gets the values of many pixels, a row for each with its tiles' in order and NaN
+    behind them, and returns one value for each. Null and NaN values are left out; a pixel of none is a row of NaN."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def merged(values):
-        return values.map(lambda vs: merge([x for x in vs if x is not None and x == x]))
+        rows = [np.asarray([np.nan if x is None else x for x in v] if v is not None else [], float) for v in values]
+        rows = [r[~np.isnan(r)] for r in rows]
+        a = np.full((len(rows), max(1, max(map(len, rows), default=0))), np.nan)
+        for i, r in enumerate(rows):
+            a[i, : len(r)] = r
+        return pd.Series(np.asarray(merge(a), float))
 
     listed = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value])
     return tiles.groupBy(*on).agg(listed.alias("_v")).select(*on, merged("_v").alias("value"))

@@ -1,4 +1,4 @@
-"""A plain GeoTIFF codec: one image, striped or tiled, uncompressed or deflate, with its grid and band names.
+"""A plain GeoTIFF codec: one image, striped or tiled, uncompressed, LZW (reading) or deflate, with its grid and band names.
 
 Only what rasters of this engine need; other compressions raise.
 """
@@ -22,6 +22,39 @@ _WIDTH, _HEIGHT, _BITS, _COMPRESSION, _PHOTOMETRIC, _OFFSETS, _SAMPLES, _ROWS, _
 _TILE_W, _TILE_H, _TILE_OFFSETS, _TILE_COUNTS, _FORMAT, _SCALE, _TIE, _META, _NODATA = 322, 323, 324, 325, 339, 33550, 33922, 42112, 42113
 
 
+def unpack_lzw(data: bytes) -> bytes:
+    """The bytes of a block in the format's variable-length codes, most significant bit first: 256 clears the table, 257 ends."""
+    out = bytearray()
+    table: list[bytes] = []
+    width, held, n_held, last = 9, 0, 0, b""
+    for byte in data:
+        held, n_held = held << 8 | byte, n_held + 8
+        if n_held < width:
+            continue
+        n_held -= width
+        code, held = held >> n_held, held & ((1 << n_held) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+            continue
+        if not table:
+            raise ValueError("a block that doesn't begin with a clear code")
+        if code < len(table):
+            entry = table[code]
+        elif last and code == len(table):
+            entry = last + last[:1]
+        else:
+            raise ValueError("a code beyond the table")
+        out += entry
+        if last:
+            table.append(last + entry[:1])
+        last = entry
+        # codes grow one entry before the table is full
+        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+    return bytes(out)
+
+
 def decode(data: bytes) -> tuple[np.ndarray, dict]:
     """(bands x height x width, {'scale', 'origin', 'nodata', 'tags'}) of a file's first image."""
     end = {b"II": "<", b"MM": ">"}.get(data[:2])
@@ -41,7 +74,7 @@ def decode(data: bytes) -> tuple[np.ndarray, dict]:
     w, h, n = tags[_WIDTH][0], tags[_HEIGHT][0], tags.get(_SAMPLES, (1,))[0]
     dtype = np.dtype(_DTYPES[tags.get(_FORMAT, (1,))[0], tags.get(_BITS, (1,))[0]]).newbyteorder(end)
     planar, compression, predictor = tags.get(_PLANAR, (1,))[0], tags.get(_COMPRESSION, (1,))[0], tags.get(_PREDICTOR, (1,))[0]
-    if compression not in (1, 8, 32946) or predictor not in (1, 2):
+    if compression not in (1, 5, 8, 32946) or predictor not in (1, 2):
         raise ValueError(f"compression {compression} with predictor {predictor} is not supported")
     tiled = _TILE_W in tags
     bw, bh = (tags[_TILE_W][0], tags[_TILE_H][0]) if tiled else (w, min(h, tags.get(_ROWS, (h,))[0]))
@@ -51,7 +84,7 @@ def decode(data: bytes) -> tuple[np.ndarray, dict]:
     for k, (o, c) in enumerate(zip(offsets, counts)):
         block = data[o : o + c]
         if compression != 1:
-            block = zlib.decompress(block)
+            block = unpack_lzw(block) if compression == 5 else zlib.decompress(block)
         plane, cell = divmod(k, across * down) if planar == 2 else (None, k)
         y, x = cell // across * bh, cell % across * bw
         rows = bh if tiled else min(bh, h - y)

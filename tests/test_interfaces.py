@@ -11,7 +11,7 @@ from tests.conftest import rows
 from terrafold.functions import dates
 from terrafold.operators import augment, catalog, datasets, tiles
 from terrafold.plans import pipeline
-from terrafold.sources import anchors, catalog_pages, images, tiff
+from terrafold.sources import anchors, catalog_pages, coco, images, tiff
 
 
 def test_ranges_in_one_text_or_two(spark):
@@ -197,3 +197,59 @@ def test_anchors_of_many_parts(spark):
     assert both.width > 4 * one.width and json.loads(both.coordinates) == multi["coordinates"]
     tiled = anchors.from_request(spark, {"type": "polygon", "polygon": multi, "tile_size_px": 50})
     assert tiled.count() > 3 and anchors.from_request(spark, {"type": "polygon", "polygon": multi, "tile_size_px": 50}, limit=2).count() == 2
+
+
+def pack_lzw(data):
+    """The plainest writer of the codes, to test the reader."""
+    bits, out, width = [], bytearray(), 9
+
+    def put(code):
+        bits.extend((code >> i) & 1 for i in range(width - 1, -1, -1))
+
+    put(256)
+    table, word = {bytes([i]): i for i in range(256)}, b""
+    n = 258
+    for b in data:
+        if word + bytes([b]) in table:
+            word += bytes([b])
+            continue
+        put(table[word])
+        table[word + bytes([b])] = n
+        n += 1
+        width = 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
+        if n == 4094:
+            put(256)
+            table, n, width = {bytes([i]): i for i in range(256)}, 258, 9
+        word = bytes([b])
+    if word:
+        put(table[word])
+        n += 1
+        width = 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
+    put(257)
+    bits.extend([0] * (-len(bits) % 8))
+    for i in range(0, len(bits), 8):
+        out.append(int("".join(map(str, bits[i : i + 8])), 2))
+    return bytes(out)
+
+
+@pytest.mark.parametrize("size", [0, 1, 7, 300, 20_000])
+def test_variable_length_codes(size):
+    r = np.random.default_rng(size)
+    for data in (r.integers(0, 256, size, dtype=np.uint8).tobytes(), b"ab" * (size // 2), b"\0" * size):
+        assert tiff.unpack_lzw(pack_lzw(data)) == data
+    with pytest.raises(ValueError):
+        tiff.unpack_lzw(b"\0\0\0")
+
+
+def test_annotations_of_a_split(spark, tmp_path):
+    doc = {
+        "images": [{"id": 1, "file_name": "a/one.jpg", "width": 100, "height": 50}, {"id": 2, "file_name": "two.png", "width": 10, "height": 10}],
+        "annotations": [{"id": 5, "image_id": 1, "category_id": 3, "bbox": [10, 5, 20, 10], "iscrowd": 0}, {"id": 6, "image_id": 9, "category_id": 3, "bbox": [0, 0, 1, 1]}, {"id": 7, "image_id": 1, "category_id": 4, "bbox": [1, 2]}, {"id": 8, "image_id": 1, "category_id": 8, "bbox": [0.0, 0.0, 100, 50]}],
+        "categories": [{"id": 3, "name": "house"}],
+    }
+    (tmp_path / "split.json").write_text(json.dumps(doc, indent=1))
+    got = rows(coco.read_annotations(spark, str(tmp_path / "split.json")).where("annotation_id IS NOT NULL"), "sample_id", "annotation_id", "class", "cx", "cy", "sw", "sh")
+    assert got == [("one", 5, "house", 0.2, 0.2, 0.2, 0.2), ("one", 8, None, 0.5, 0.5, 1.0, 1.0)]
+    assert coco.read_annotations(spark, str(tmp_path / "split.json")).where("annotation_id IS NULL").first().sample_id == "two"
+    (tmp_path / "none.json").write_text("{}")
+    assert coco.read_annotations(spark, str(tmp_path / "none.json")).collect() == []
