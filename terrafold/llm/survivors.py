@@ -393,11 +393,22 @@ def _vote_groups(packed: DataFrame, n_trust: int, fields: list[str]) -> DataFram
             kept, out = [], [[] for _ in fields]
             start = 0
             for end in ends:
+                votes = [w if w is not None and w > 0 else 0.0 for w in weight[start:end]]
+                if end == start + 1:
+                    kept.append(keys[start])
+                    for o, column in zip(out, values):
+                        o.append(column[start] if votes[0] else None)
+                    start = end
+                    continue
                 kept.append(nearest(keys[start:end], [t[start:end] for t in trust]))
                 for o, column in zip(out, values):
+                    own = column[start:end]
+                    if own.count(own[0]) == len(own):  # one value, or none
+                        o.append(own[0] if any(votes) else None)
+                        continue
                     weights: dict[str, float] = {}
-                    for v, w in zip(column[start:end], weight[start:end]):
-                        if v is not None and w is not None and w > 0:
+                    for v, w in zip(own, votes):
+                        if v is not None and w:
                             weights[v] = weights.get(v, 0.0) + w
                     o.append(consensus(weights) if weights else None)
                 start = end
