@@ -7,9 +7,10 @@ the cells of a grid that is as fine as a region's size and, where its edges are
 cell holds the slabs and edges inside it and knows how many edges lie below. Cells are distributed, points
 go to the cells they lie in, so locating is one equi-join and meets each part of a region at most once.
 
-Near pairs use latitude slabs of the search radius, each cut into longitude segments at least as wide as the
-radius is there: a point's partners lie in its own segment or the adjoining ones, which again is an equi-join.
-Segments with many points are salted, so no task has to pair a hot place alone.
+Near pairs use latitude slabs of the search radius, each cut into longitude segments several times as wide as the
+radius is there. A segment's points are ordered by longitude; a point goes to the one or two segments of its own
+slab and of the next that its reach lies in, and finds its partners there by binary search. Segments with many
+points are kept in several blocks, so no task has to pair a hot place alone.
 """
 
 from __future__ import annotations
@@ -80,55 +81,67 @@ def great_circle_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Co
 # --- near -----------------------------------------------------------------------------------------
 
 
-def _segments(slab: Column, radius_m: float, height: float) -> Column:
-    """Number of longitude segments of a latitude slab: each at least as wide as the radius reaches there.
+#: How many times as wide as the radius a segment is at least.
+SEGMENT_REACHES = 8
 
-    The reach is taken at the slab's far neighbour edge (one slab nearer to the pole), so it holds for pairs
-    of which one point lies in this slab and the other in it or in a slab beside it.
+
+def _reach(slab: Column, radius_m: float, height: float) -> Column:
+    """Degrees of longitude that the radius spans in a slab, at most 360.
+
+    It is taken at the slab's far neighbour edge (one slab nearer to the pole), so it holds for pairs of which one point
+    lies in this slab and the other in it or in a slab beside it.
     """
     low, high = slab * height - 90.0 - height, (slab + 1) * height - 90.0 + height
     far = F.least(F.lit(90.0), F.greatest(F.abs(low), F.abs(high)))
     x = F.lit(math.sin(radius_m * 1.000001 / (2 * EARTH_RADIUS_M))) / F.greatest(F.cos(F.radians(far)), F.lit(1e-9))
-    reach = F.when(x >= 1.0, F.lit(360.0)).otherwise(F.degrees(2 * F.asin(F.least(x, F.lit(1.0)))))
-    return F.greatest(F.lit(1), F.floor(F.lit(360.0) / reach)).cast("long")
+    return F.when(x >= 1.0, F.lit(360.0)).otherwise(F.degrees(2 * F.asin(F.least(x, F.lit(1.0)))))
 
 
-def near_pairs(points: DataFrame, radius_m: float, *, key: str = "key", lon: str = "lon", lat: str = "lat", rows_per_salt: int = 1000) -> DataFrame:
+def near_pairs(points: DataFrame, radius_m: float, *, key: str = "key", lon: str = "lon", lat: str = "lat", block_size: int = 256) -> DataFrame:
     """Pairs (key_a < key_b, distance_m) of points at most ``radius_m`` apart on the sphere.
 
     Rows with a null key or coordinate, or a latitude beyond 90, have no place and no pair. Keys are taken as
     unique; a row given twice is dropped once. Longitudes may be in any convention. Other columns are ignored.
-    Segments with more than ``rows_per_salt`` points are split over several tasks; nothing is left out.
+    Segments with more than ``block_size`` points are cut into blocks of about that size, each of which every point with
+    a partner there meets; nothing is left out.
     """
     height = math.degrees(radius_m * 1.000001 / EARTH_RADIUS_M)
     n_slabs = math.ceil(180.0 / height)
     pts = points.select(F.col(key).alias("k"), wrap_longitude(F.col(lon).cast("double")).alias("x"), F.col(lat).cast("double").alias("y"))
     pts = pts.where(F.col("k").isNotNull() & F.col("x").isNotNull() & F.col("y").between(-90.0, 90.0)).dropDuplicates(["k"])
-    seg = lambda slab: F.least(F.floor((F.col("x") + 180.0) / 360.0 * _segments(slab, radius_m, height)), _segments(slab, radius_m, height) - 1)
     pts = pts.withColumn("slab", F.least(F.floor((F.col("y") + 90.0) / height), F.lit(n_slabs - 1)).cast("long"))
-    # placed once, then read by the count of hot segments, the homes and the probes
-    pts = cut(pts.withColumn("seg", seg(F.col("slab")).cast("long")))
-    # each cell's partners: itself, the next segment, and the three next to it in the slab above
+    pts = pts.withColumn("reach", _reach(F.col("slab"), radius_m, height)).withColumn("reach_up", _reach(F.col("slab") + 1, radius_m, height))
+    count = lambda reach: F.greatest(F.lit(1), F.floor(F.lit(360.0 / SEGMENT_REACHES) / reach)).cast("long")
+    pts = pts.withColumn("n", count(F.col("reach"))).withColumn("n_up", count(F.col("reach_up")))
+    place = lambda x, n: F.least(F.floor((x + 180.0) / 360.0 * n), n - 1).cast("long")
+    # placed once, then read by the count of hot segments, the blocks and the probes
+    pts = cut(pts.withColumn("seg", place(F.col("x"), F.col("n"))))
+
+    def targets(slab: Column, n: Column) -> Column:
+        """The segments of a slab that the point's reach lies in, with the longitudes between which its partners are there."""
+        west, east = F.col("x") - F.col("reach"), F.col("x") + F.col("reach")
+        turn_w, turn_e = F.when(west < -180.0, 360.0).otherwise(0.0), F.when(east >= 180.0, -360.0).otherwise(0.0)
+        part = lambda g, lo, hi: F.struct(slab.alias("slab"), g.alias("seg"), lo.alias("lo"), hi.alias("hi"))
+        a, b = place(west + turn_w, n), place(east + turn_e, n)
+        whole = F.array(part(F.lit(0).cast("long"), F.lit(-1e9), F.lit(1e9)))
+        one, two = part(a, west + turn_w, east + turn_w), part(b, west + turn_e, east + turn_e)
+        return F.when(n == 1, whole).when(a == b, F.array(one)).otherwise(F.array(one, two))
+
     up = F.col("slab") + 1
-    n_here, n_up = _segments(F.col("slab"), radius_m, height), _segments(up, radius_m, height)
-    here_next = F.when((n_here > 2) | ((n_here == 2) & (F.col("seg") == 0)), F.pmod(F.col("seg") + 1, n_here))
-    above = F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.pmod(seg(up) + d, n_up).cast("long")))
-    cell = lambda s, g: F.struct(s.cast("long").alias("slab"), g.cast("long").alias("seg"))
-    targets = F.concat(
-        F.array(cell(F.col("slab"), F.col("seg"))),
-        F.when(here_next.isNotNull(), F.array(cell(F.col("slab"), here_next))).otherwise(F.array()),
-        F.when(up < n_slabs, F.transform(above, lambda g: cell(up, g))).otherwise(F.array()),
-    )
-    hot = pts.groupBy("slab", "seg").agg(F.count("*").alias("n")).where(F.col("n") > rows_per_salt)
-    hot = hot.select("slab", "seg", F.ceil(F.col("n") / rows_per_salt).cast("int").alias("salts"))
-    salts = F.coalesce(F.col("salts"), F.lit(1))
-    home = pts.join(hot, ["slab", "seg"], "left").select("slab", "seg", salt_of(F.col("k"), salts).alias("salt"), F.col("k").alias("kb"), F.col("x").alias("xb"), F.col("y").alias("yb"))
-    probe = pts.select("k", "x", "y", F.col("slab").alias("s0"), F.col("seg").alias("g0"), F.explode(targets).alias("t"))
-    probe = probe.select("k", "x", "y", F.col("t.slab").alias("slab"), F.col("t.seg").alias("seg"), ((F.col("t.slab") == F.col("s0")) & (F.col("t.seg") == F.col("g0"))).alias("own"))
-    probe = probe.join(hot, ["slab", "seg"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-    d = great_circle_m(F.col("x"), F.col("y"), F.col("xb"), F.col("yb"))
-    pairs = probe.join(home, ["slab", "seg", "salt"]).where(~F.col("own") | (F.col("k") < F.col("kb"))).where(F.abs(F.col("y") - F.col("yb")) <= height)
-    pairs = pairs.withColumn("distance_m", d).where(F.col("distance_m") <= radius_m)
+    hot = pts.groupBy("slab", "seg").agg(F.count("*").alias("c")).where(F.col("c") > block_size)
+    hot = cut(hot.select("slab", "seg", F.ceil(F.col("c") / block_size).cast("int").alias("blocks")))
+    blocks = F.coalesce(F.col("blocks"), F.lit(1))
+    home = pts.join(hot, ["slab", "seg"], "left").withColumn("block", salt_of(F.col("k"), blocks))
+    home = home.groupBy("slab", "seg", "block").agg(F.array_sort(F.collect_list(F.struct("x", "y", "k"))).alias("held"))
+    probe = pts.select("k", "x", "y", F.col("slab").alias("own"), F.explode(F.concat(targets(F.col("slab"), F.col("n")), F.when(up < n_slabs, targets(up, F.col("n_up"))).otherwise(F.array()))).alias("t"))
+    probe = probe.select("k", "x", "y", "own", "t.*").join(hot, ["slab", "seg"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+    met = probe.join(home, ["slab", "seg", "block"])
+    size = F.size("held")
+    met = met.withColumn("first", _search(F.lit(0), size, _steps(size), lambda i: F.get("held", i)["x"] < F.col("lo")))
+    met = met.withColumn("end", _search(F.col("first"), size, _steps(size - F.col("first")), lambda i: F.get("held", i)["x"] <= F.col("hi")))
+    around = F.filter(F.slice("held", F.col("first") + 1, F.col("end") - F.col("first")), lambda p: ((F.col("own") != F.col("slab")) | (F.col("k") < p["k"])) & (F.abs(p["y"] - F.col("y")) <= height))
+    pairs = met.where("end > first").select("k", "x", "y", F.explode(around).alias("p")).select("k", "x", "y", F.col("p.k").alias("kb"), F.col("p.x").alias("xb"), F.col("p.y").alias("yb"))
+    pairs = pairs.withColumn("distance_m", great_circle_m(F.col("x"), F.col("y"), F.col("xb"), F.col("yb"))).where(F.col("distance_m") <= radius_m)
     return pairs.select(F.least("k", "kb").alias("key_a"), F.greatest("k", "kb").alias("key_b"), "distance_m")
 
 

@@ -33,7 +33,7 @@ def test_near_pairs_match_brute_force_everywhere(spark):
     df = spark.createDataFrame([(k, x, y, "x") for k, x, y in named], SCHEMA)
     want = brute_near(named, 500.0)
     assert rows(points.near_pairs(df, 500.0), "key_a", "key_b") == want
-    assert rows(points.near_pairs(df, 500.0, rows_per_salt=2), "key_a", "key_b") == want
+    assert rows(points.near_pairs(df, 500.0, block_size=2), "key_a", "key_b") == want
     got = {r.key: r.n_near for r in points.near_counts(df, 500.0).collect()}
     assert got == {k: sum(k in p for p in want) for k, _, _ in named}
 
