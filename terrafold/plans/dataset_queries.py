@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import classes, dates, geo, strings
 from terrafold.operators import catalog, datasets, inference, metrics, patches, points, tiles, warp
+from terrafold.plans import pipeline
 from terrafold.session import table
-from terrafold.sources import sensors, yolo
+from terrafold.sources import anchors, sensors, yolo
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -133,6 +134,65 @@ def utm_inverse(spark, d):
     return p.select("footprint_id", "epsg", near(lon, F.col("lon")).alias("same_lon"), near(lat, F.col("lat")).alias("same_lat"))
 
 
+@query(f"""WITH {_ZONED}, zz AS (SELECT * FROM z WHERE epsg > 5042), {_utm_sql('zz', 'lon', 'lat', 'epsg')}
+SELECT footprint_id, 'EPSG:' || epsg AS crs, floor((easting - 1000) / 10) * 10 AS minx, ceil((northing + 1000) / 10) * 10 AS maxy, CAST(ceil((easting + 1000) / 10) - floor((easting - 1000) / 10) AS INTEGER) AS width, CAST(ceil((northing + 1000) / 10) - floor((northing - 1000) / 10) AS INTEGER) AS height,
+  CAST(date_trunc('day', created_at) AS TIMESTAMP) AS start_ts, CAST(date_trunc('day', created_at) AS TIMESTAMP) + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND AS end_ts FROM utm JOIN footprints USING (footprint_id)""")
+def anchor_grids(spark, d):
+    """A square of two kilometres around every place, on the pixels of its zone."""
+    p = _locations(spark, d).where(geo.utm_epsg(F.col("lon"), F.col("lat")) > 5042)
+    p = p.select("footprint_id", "lon", "lat", F.lit(2000.0).alias("size_m"), F.date_format("created_at", "yyyy-MM-dd").alias("datetime"))
+    return anchors.from_coordinates(p, tile_size=None).select("footprint_id", "crs", "minx", "maxy", "width", "height", "start_ts", "end_ts")
+
+
+@query("""WITH e AS (SELECT anchor_id, max(y) + 1 AS height, max(x) + 1 AS width FROM pixels GROUP BY anchor_id), c AS (SELECT *, unnest(range((height + 99) // 100)) AS cy FROM e), g AS (SELECT *, unnest(range((width + 99) // 100)) AS cx FROM c)
+SELECT anchor_id, CAST(cy AS INTEGER) AS cy, CAST(cx AS INTEGER) AS cx, CAST(cy * 100 AS INTEGER) AS y0, CAST(cx * 100 AS INTEGER) AS x0, CAST(least(100, height - cy * 100) AS INTEGER) AS h, CAST(least(100, width - cx * 100) AS INTEGER) AS w FROM g""")
+def cells_in_sql(spark, d):
+    """Cells of every anchor by the table function."""
+    anchors.register_cells(spark)
+    e = table(spark, d, "pixels").groupBy("anchor_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
+    e.createOrReplaceTempView("anchor_extents")
+    return spark.sql("SELECT anchor_id, cy, cx, y0, x0, h, w FROM anchor_extents, LATERAL cells(width, height, 100)")
+
+
+@pipeline.step("fill", "spread")
+def _fill(first, last):
+    return F.coalesce(first, last), F.abs(last - first)
+
+
+@pipeline.step("grade")
+def _grade(fill, bound):
+    return F.when(fill > bound, "high").when(fill <= bound, "low")
+
+
+@pipeline.step("never")
+def _never(missing):
+    return missing
+
+
+REGISTRY = pipeline.Registry()
+
+
+@REGISTRY.register("bound", "Share")
+class _Share:
+    def __init__(self, percent: float = 50.0) -> None:
+        self.value = percent
+
+
+@REGISTRY.register("steps", "Graded")
+class _Graded:
+    def __init__(self, bound_value: float) -> None:
+        self.run = lambda df: pipeline.run_steps(df.withColumn("bound", F.lit(bound_value)), [_grade, _never, _fill], {"grade", "spread"})
+
+
+@query("""WITH s AS (SELECT rec_id, cloud_cover AS first, CAST(relative_orbit AS DOUBLE) AS last FROM stac_items)
+SELECT rec_id, abs(last - first) AS spread, CASE WHEN coalesce(first, last) > 20 THEN 'high' WHEN coalesce(first, last) <= 20 THEN 'low' END AS grade FROM s""")
+def wired_steps(spark, d):
+    """Steps in the order of what they take, built by name from stages that take each other's attributes; the one nothing needs isn't run."""
+    t = table(spark, d, "stac_items").select("rec_id", F.col("cloud_cover").alias("first"), F.col("relative_orbit").cast("double").alias("last"))
+    built = REGISTRY.build_all({"bound": ("share", {"percent": 20.0, "unknown": 1}), "steps": ("GRADED", {})})
+    return built["steps"].run(t).select("rec_id", "spread", "grade")
+
+
 def _anchor_grids(spark, d):
     """A UTM grid of 512 by 512 pixels of 10 m around the least footprint of each anchor, and one of 40 by 40 in degrees over its middle."""
     f = table(spark, d, "footprints").select("footprint_id", "anchor_id")
