@@ -231,7 +231,7 @@ def flip_pixels(spark, d):
 def order_grid(spark, d):
     """orders as a dense grid, with its height as a column of every row."""
     o = table(spark, d, "orders")
-    height = o.agg(F.max(F.floor(F.col("o_orderkey") / 100)).cast("int") + 1).first()[0]
+    height = o.agg(F.coalesce(F.max(F.floor(F.col("o_orderkey") / 100)).cast("int") + 1, F.lit(1))).first()[0]
     o = o.select(F.lit(1).alias("g"), F.floor(F.col("o_orderkey") / 100).cast("int").alias("y"), (F.col("o_orderkey") % 100).cast("int").alias("x"), "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
     return o, height
 

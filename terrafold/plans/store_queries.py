@@ -42,15 +42,19 @@ def _folder(spark: SparkSession, name: str, *, files: bool = False) -> str:
 @query("SELECT anchor_id, layer, ts, band, y, x, value FROM pixels WHERE layer IN ('ndvi', 'scl')")
 def store_layers(spark, d):
     path = _folder(spark, "layers")
-    layers.save_layers(table(spark, d, "pixels"), path)
-    return layers.load_layers(spark, path, required=["ndvi", "scl"]).select("anchor_id", "layer", "ts", "band", "y", "x", "value")
+    p = table(spark, d, "pixels")
+    layers.save_layers(p, path)
+    # a layer that is required and not there raises, so those of the table are
+    there = [n for n in ("ndvi", "scl") if n in layers.layers_of(spark, path)]
+    return layers.load_layers(spark, path, required=there, schema=p.schema).select("anchor_id", "layer", "ts", "band", "y", "x", "value")
 
 
 @query("SELECT strftime(date_trunc('month', ts), '%Y%m%dT%H%M%S') AS step, count(*) AS n, round(sum(value), 3) AS total FROM pixels GROUP BY 1")
 def store_steps(spark, d):
     path = _folder(spark, "steps")
-    layers.write_steps(table(spark, d, "pixels").withColumn("ts", F.date_trunc("month", "ts").cast("timestamp_ntz")), path)
-    return spark.read.parquet(path).groupBy(F.col("step").cast("string").alias("step")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+    p = table(spark, d, "pixels").withColumn("ts", F.date_trunc("month", "ts").cast("timestamp_ntz"))
+    layers.write_steps(p, path)
+    return spark.read.schema(p.withColumn("step", F.lit("")).schema).parquet(path).groupBy("step").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
 
 
 @query("""WITH a AS (SELECT anchor_id, collection, ts FROM scenes WHERE ts < TIMESTAMP '2019-06-01'), b AS (SELECT anchor_id, collection, ts FROM scenes WHERE (anchor_id, collection) NOT IN (SELECT (anchor_id, collection) FROM a))
@@ -61,6 +65,8 @@ def store_new(spark, d):
     s = table(spark, d, "scenes").select(F.col("anchor_id").alias("stem"), F.col("collection").alias("layer"), "ts")
     layers.write_new(s.where("ts < TIMESTAMP_NTZ '2019-06-01'"), path)
     layers.write_new(s, path)
+    if not layers.layers_of(spark, path):  # nothing was new
+        return s.limit(0).groupBy("stem", "layer").agg(F.count("*").alias("n"), F.max("ts").alias("latest"))
     return spark.read.parquet(path).groupBy("stem", "layer").agg(F.count("*").alias("n"), F.max("ts").alias("latest"))
 
 

@@ -92,8 +92,10 @@ def register_cells(spark: SparkSession, name: str = "cells") -> None:
     @F.udtf(returnType="cy int, cx int, y0 int, x0 int, h int, w int")
     class Cells:
         def eval(self, width: int, height: int, size: int):
-            if size < 1:
+            if size is None or size < 1:
                 raise ValueError("size must be at least 1")
+            if width is None or height is None:
+                return
             for y in range(0, height, size):
                 for x in range(0, width, size):
                     yield y // size, x // size, y, x, min(size, height - y), min(size, width - x)
