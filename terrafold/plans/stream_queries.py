@@ -9,7 +9,7 @@ from terrafold.streaming import windows
 
 
 def stream_daily(spark: SparkSession, d: str) -> DataFrame:
-    s = windows.window_stats(windows.scene_stream(spark, d), ["collection"], size="1 day", late="3650 days")
+    s = windows.window_stats(windows.scene_stream(spark, d), ["collection"], size="1 day")
     out = windows.run_to_end(s)
     return out.select("collection", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n", F.round("mean", 6).alias("mean"))
 
@@ -17,7 +17,7 @@ def stream_daily(spark: SparkSession, d: str) -> DataFrame:
 def stream_distinct(spark: SparkSession, d: str) -> DataFrame:
     """Scenes of a collection and anchor by month of arrival, each scene once."""
     s = windows.scene_stream(spark, d).where("ts IS NOT NULL AND item_id IS NOT NULL")
-    once = windows.without_repeats(s, ["anchor_id", "collection", "item_id", "ts", "value"], late="3650 days")
+    once = windows.without_repeats(s, ["anchor_id", "collection", "item_id", "ts", "value"])
     out = windows.run_to_end(once.select("anchor_id", "collection", "item_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "value"), mode="append")
     return out.select("anchor_id", "collection", "item_id", "ts", "value")
 
