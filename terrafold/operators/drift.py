@@ -14,6 +14,7 @@ import json
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -115,6 +116,7 @@ def _grams(name: str) -> set[str]:
     return {s[i : i + 3] for i in range(max(1, len(s) - 2))}
 
 
+@lru_cache(1 << 16)
 def name_likeness(a: str, b: str) -> float:
     """Likeness of two member names in [0, 1]: prefix and letter case aside, the better of shared words and shared trigrams."""
     if a == b:
