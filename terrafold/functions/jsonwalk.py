@@ -34,21 +34,13 @@ def features_of(doc: Any) -> Iterator[tuple[int, dict]]:
         yield 0, doc
 
 
-def json_type(v: Any) -> str:
-    if v is None:
-        return "null"
-    if isinstance(v, bool):
-        return "boolean"
-    if isinstance(v, (int, float)):
-        return "number"
-    if isinstance(v, str):
-        return "string"
-    return "array" if isinstance(v, list) else "object"
+_KINDS = {type(None): "null", bool: "boolean", int: "number", float: "number", str: "string", list: "array", dict: "object"}
+_NUMBERS = frozenset((int, float))
 
 
 def is_vector(v: Any) -> bool:
     """A non-empty array of numbers, which the walk treats as one leaf."""
-    return isinstance(v, list) and bool(v) and all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in v)
+    return type(v) is list and bool(v) and _NUMBERS.issuperset(map(type, v))
 
 
 def number_nodes(root: Any, vectors: bool = True) -> list[list]:
@@ -60,23 +52,41 @@ def number_nodes(root: Any, vectors: bool = True) -> list[list]:
     """
     nodes: list[list] = []
     post = 0
-    stack: list = [(root, 0, "", None, None, -1)]
-    while stack:
-        v, depth, path, key, idx, done = stack.pop()
-        if done >= 0:
-            nodes[done][1] = post
-            post += 1
-            continue
-        kind = "vector" if vectors and is_vector(v) else json_type(v)
-        first = None
+    # containers on the way down: (node, members left, what their paths begin with, whether they have names)
+    stack: list[tuple] = []
+    v, depth, path, key, idx = root, 0, "", None, None
+    while True:
+        kind, first = _KINDS[type(v)], None
         if kind == "array" and v:
-            first = "vector" if vectors and is_vector(v[0]) else json_type(v[0])
-        me = len(nodes)
-        nodes.append([me, 0, depth, path, key, idx, kind, first, v])
-        stack.append((v, depth, path, key, idx, me))
-        if kind == "object":
-            base = path + "." if path else ""
-            stack.extend((c, depth + 1, base + k, k, None, -1) for k, c in reversed(list(v.items())))
-        elif kind == "array":
-            stack.extend((c, depth + 1, path + "[]", None, i, -1) for i, c in zip(range(len(v) - 1, -1, -1), reversed(v)))
-    return nodes
+            if vectors and _NUMBERS.issuperset(map(type, v)):
+                kind = "vector"
+            else:
+                first = _KINDS[type(v[0])]
+                if vectors and first == "array" and is_vector(v[0]):
+                    first = "vector"
+        node = [len(nodes), 0, depth, path, key, idx, kind, first, v]
+        nodes.append(node)
+        if kind == "object" and v:
+            stack.append((node, iter(v.items()), path + "." if path else "", True))
+        elif kind == "array" and v:
+            stack.append((node, iter(enumerate(v)), path + "[]", False))
+        else:
+            node[1] = post
+            post += 1
+        while stack:
+            node, members, base, named = stack[-1]
+            member = next(members, None)
+            if member is not None:
+                break
+            node[1] = post
+            post += 1
+            stack.pop()
+        else:
+            return nodes
+        depth = len(stack)
+        if named:
+            key, v = member
+            path, idx = base + key, None
+        else:
+            idx, v = member
+            path, key = base, None
